@@ -5,13 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidloom.llm.canonical import map_values
+from evidloom.llm.formatting_duplicates import collapse, duplicates
 from evidloom.llm.leakage import leaked_spans, remove_leaks
+from evidloom.llm.pii import redact_fields
 from evidloom.llm.shared_spans import shared_pairs, shared_part
 from evidloom.llm.splitting import split_texts
 from evidloom.llm.tokenizer import encode_corpus
 from evidloom.session import table
 
 
+#: Secret of the pseudonyms in these queries; a real corpus brings its own.
+PSEUDONYM_KEY = b"evidloom query key"
+NOTES = (("review_items", ["review_note"]), ("case_review_queue", ["reviewer_note", "final_answer"]))
+
+
+def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    parts = [redact_fields(table(spark, sf, t), fields, ["load_seq"], PSEUDONYM_KEY).withColumn("source_table", F.lit(t)) for t, fields in NOTES]
+    return parts[0].unionByName(parts[1])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p2_redacted(spark, sf).select("source_table", "load_seq", "field_name", F.explode("pii_types").alias("pii_type"))
+
+
 def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return split_texts(table(spark, sf, "documents"))
 
@@ -20,6 +37,33 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_pieces(spark, sf).where("piece_index = 0").select("doc_id")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    got = duplicates(table(spark, sf, "questionnaire_draft"))
+    return got.where("load_seq <> first").select(F.col("first").alias("first_seq"), F.col("load_seq").alias("copy_seq"))
+
+
+def p6_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return collapse(table(spark, sf, "questionnaire_draft"))
+
+
+TYPED_VALUES = (("review_items", "review_status"), ("case_review_queue", "reviewer_decision"))
+
+
+def p7_mapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Every non-blank typed value with its entry, literal ones included."""
+    lists = table(spark, sf, "canonical_values")
+    parts = []
+    for name, column in TYPED_VALUES:
+        reference = lists.where(F.col("list_name") == column).select("canon_value", "label_en", "label_de")
+        mapped = map_values(table(spark, sf, name), column, reference, ["load_seq"])
+        parts.append(mapped.select(F.lit(name).alias("source_table"), "load_seq", F.col(column).alias("typed"), "canon_value", "distance"))
+    return parts[0].unionByName(parts[1])
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_mapped(spark, sf).where("typed <> canon_value").select("source_table", "load_seq", "canon_value")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
@@ -41,7 +85,7 @@ def p10_shared_part(spark: SparkSession, sf: str) -> DataFrame:
     return shared_part(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p8_ids, p9_found, p9_cleaned, p10_found, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p6_found, p6_questions, p7_found, p7_mapped, p8_ids, p9_found, p9_cleaned, p10_found, p10_shared_part)}
 
 SQL = {
     "p3_found": "select doc_id from documents where length(text) > 2400",
