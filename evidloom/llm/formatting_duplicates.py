@@ -149,23 +149,28 @@ def duplicates(rows: DataFrame, key: str = "load_seq", text: str = "original_que
     """(key, first, copies): for every row with a letter or digit, the smallest key of its group and the group's size.
 
     Two texts are in a group if their letters and digits, case-folded, are the same sequence, or if both consist of the
-    same `label: value` fields (two or more, between `|`, `;` or line breaks) in any order. Null texts, and texts with
+    same `label: value` fields (two or more, between `|`, `;` or line breaks) in any order. Each row is compared with the
+    first of its sequence and with the first of its fields. Null texts, and texts with
     no letter or digit, ask nothing and do not appear. Keys must be unique. Rows that share both hashes without being
     the same, if ever, are regrouped by an exact digest.
     """
     keys = materialize(keyed(rows, key, text), "question-keys")
-    tagged = keys.join(_groups(keys), "sequence").select(key, text, "gid")
-    heads = tagged.groupBy("gid").agg(F.min(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))).alias("head"), F.count("*").alias("n"))
+    tagged = keys.join(_groups(keys), "sequence")
+    heads = tagged.groupBy("gid").agg(F.min(key).alias("first"), F.count("*").alias("n"))
+    by_sequence = keys.groupBy("sequence").agg(F.min_by(text, key).alias("like_sequence"))
+    by_fields = keys.where("fields is not null").groupBy("fields").agg(F.min_by(text, key).alias("like_fields"))
     kind = rows.schema[key].dataType.simpleString()
-    paired = tagged.join(heads.where("n > 1").select("gid", F.col("head.k").alias("first"), F.col("head.t").alias("first_text")), "gid").select(key, "first", "gid", text, "first_text")
+    several = tagged.join(heads.where("n > 1").select("gid", "first"), "gid")
+    paired = several.join(by_sequence, "sequence").join(by_fields, "fields", "left").select(key, "first", text, "like_sequence", F.coalesce("like_fields", text).alias("like_fields"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same = same_text(b.column(3).to_pylist(), b.column(4).to_pylist())
-            odd = [None if ok else hashlib.sha256(repr(_fields(t) or folded([t])[0].tolist()).encode()).digest() for ok, t in zip(same.tolist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(odd, pa.binary())], names=[key, "first", "gid", "odd"])
+            texts = b.column(2).to_pylist()
+            same = same_text(texts, b.column(3).to_pylist()) & same_text(texts, b.column(4).to_pylist())
+            odd = [None if ok else hashlib.sha256(repr(_fields(t) or folded([t])[0].tolist()).encode()).digest() for ok, t in zip(same.tolist(), texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(odd, pa.binary())], names=[key, "first", "odd"])
 
-    checked = materialize(paired.mapInArrow(run, f"`{key}` {kind}, first {kind}, gid binary, odd binary"), "question-pairs")
+    checked = materialize(paired.mapInArrow(run, f"`{key}` {kind}, first {kind}, odd binary"), "question-pairs")
     even = checked.where("odd is null").select(key, "first")
     odd = checked.where("odd is not null")
     odd = odd.join(odd.groupBy("odd").agg(F.min(key).alias("own")), "odd").select(key, F.col("own").alias("first"))
