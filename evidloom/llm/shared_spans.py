@@ -75,7 +75,9 @@ def branch_points(docs: DataFrame, key: str, text: str, least: int, around: int
     """The chunks (digest, before, n, doc, pos) where a common passage of several documents begins, with the text to
     the left and right of pos, up to `around` code points each (None: all of it). Written to shared storage."""
     placed = chunk_table(docs, key, text, least).repartition("digest")
-    splits = placed.groupBy("digest").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("digest", "n")
+    # the aggregate also reads doc and pos, so that it and the join read one shuffle, not two with different columns
+    stats = placed.groupBy("digest").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("n"), F.max("doc").alias("d"), F.max("pos").alias("p"))
+    splits = stats.where("lo <> hi and d is not null and p is not null").select("digest", "n")
     points = materialize(placed.join(splits, "digest"), "branch-points")
     p = F.col("pos")
     sides = (
