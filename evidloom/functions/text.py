@@ -96,7 +96,7 @@ def stable_id(prefix: str, parts: list[Column], length: int) -> Column:
 def string_list(s: Column) -> Column:
     """A JSON array of strings, or a plain string, as trimmed entries that are not empty."""
     parsed = F.coalesce(F.from_json(F.when(s.rlike(r"^\s*\["), s), "array<string>"), F.array(s))
-    return F.filter(F.transform(parsed, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parsed, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def guard_formula(s: Column) -> Column:

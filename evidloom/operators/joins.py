@@ -54,7 +54,7 @@ def match_controls(questions: DataFrame, key: str, text: str, controls: dict[str
 def best_answer(answers: DataFrame, by: list[str]) -> DataFrame:
     """The best reviewed answer of each key: most confident, then latest, then smallest id. By aggregation, so that a
     hot key is combined before the shuffle."""
-    order = F.struct((-F.col("confidence")).alias("c"), (-F.unix_micros("updated_at")).alias("t"), F.col("answer_id").alias("i"))
+    order = F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("c"), (-F.unix_micros("updated_at")).alias("t"), F.col("answer_id").alias("i"))
     best = answers.where("review_status = 'reviewed'").groupBy(*by).agg(F.min_by(F.struct(*[c for c in answers.columns if c not in by]), order).alias("_best"))
     return best.select(*by, "_best.*")
 
