@@ -19,6 +19,15 @@ def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, SPACE, " "))
 
 
+def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column whose expression is evaluated once per row, however often it is used afterwards.
+
+    A plain projection would be inlined into every later filter, and into every branch that uses it; an attribute made
+    by a generator is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def strip(s: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(s, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

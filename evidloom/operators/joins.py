@@ -47,7 +47,7 @@ def match_controls(questions: DataFrame, key: str, text: str, controls: dict[str
 
     each = F.array(*(F.struct((-score(c)).alias("minus"), F.lit(name).alias("control")) for name, c in controls.items()))
     hits = F.slice(F.array_sort(F.filter(each, lambda x: x["minus"] < 0)), 1, most)
-    rows = questions.withColumn("_flat", flat).select(key, F.posexplode(hits).alias("_i", "_c"))
+    rows = TX.bind(questions.select(key, text), "_flat", flat).select(key, F.posexplode(hits).alias("_i", "_c"))
     return rows.select(key, F.col("_c.control").alias("control"), (-F.col("_c.minus")).alias("score"), (F.col("_i") + 1).alias("rank"))
 
 

@@ -14,7 +14,7 @@ STATES = ("open", "accepted", "reviewed", "rejected", "false_positive", "needs_e
 
 def review_state(raw: Column, states=STATES) -> Column:
     """(state, unknown): lower case and trimmed; blank and unknown values become `open`."""
-    low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    low = F.lower(TX.strip(F.coalesce(raw, F.lit(""))))
     known = low.isin(*states)
     return F.struct(F.when(known, low).otherwise(F.lit("open")).alias("state"), (~known & (low != "")).alias("unknown"))
 

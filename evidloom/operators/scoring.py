@@ -48,9 +48,9 @@ def keyword_confidence(passage: Column, keyword: Column, boost=L.CONTEXT_BOOST_T
 
 
 def signals(category: Column, citation: Column, families=None, absences=L.ABSENCE_SIGNALS, outdated_before: int = 2024) -> Column:
-    """Sorted distinct negative signals of a citation: the families that occur, `outdated` also for a year before the
+    """Sorted distinct negative signals of a citation in lower case: the families that occur, `outdated` also for a year before the
     given one beside the word review, and the signals for a category's missing own terms."""
-    low = F.lower(citation)
+    low = citation
     families = L.NEGATIVE_SIGNALS if families is None else families
     years = "|".join(str(y) for y in range(2000, outdated_before))
     found = [F.when(TM.any_hit(low, terms) | (F.lit(name == "outdated") & low.contains("review") & low.rlike(years)), F.lit(name)) for name, terms in families.items()]
@@ -59,8 +59,8 @@ def signals(category: Column, citation: Column, families=None, absences=L.ABSENC
 
 
 def features(category: Column, citation: Column, lists=None, by_category=L.CATEGORY_FEATURES) -> Column:
-    """Sorted concrete features of a citation."""
-    low = F.lower(citation)
+    """Sorted concrete features of a citation in lower case."""
+    low = citation
     lists = L.CONCRETE_FEATURES if lists is None else lists
     found = [F.when(TM.any_hit(low, terms), F.lit(name)) for name, terms in lists.items()]
     found += [F.when((category == own) & TM.any_hit(low, terms), F.lit(name)) for own, name, terms in by_category]
@@ -72,14 +72,15 @@ def quality(evidence: DataFrame, citation: str = "citation", strong: tuple[float
 
     `warning` where the row is not positive or has a hard signal, else by score and number of features.
     """
-    out = evidence.withColumn("features", features(F.col("category"), F.col(citation)))
+    low = TX.bind(evidence, "_low", F.lower(F.col(citation)))
+    out = TX.bind(low, "features", features(F.col("category"), F.col("_low")))
     missing = F.array_compact(F.array(F.when(~F.array_contains("features", "owner"), F.lit("missing_owner")), F.when(~F.array_contains("features", "review_or_frequency"), F.lit("missing_review_date"))))
-    out = out.withColumn("_base", signals(F.col("category"), F.col(citation)))
+    out = TX.bind(out, "_base", signals(F.col("category"), F.col("_low")))
     out = out.withColumn("signals", F.array_sort(F.array_distinct(F.concat("_base", missing))))
     bad = ~F.col("positive") | F.arrays_overlap(F.col("_base"), F.array(*(F.lit(h) for h in hard)))
     n = F.size("features")
     level = F.when(bad, "warning").when((F.col("score") >= d(strong[0])) & (n >= strong[1]), "strong").when((F.col("score") >= d(medium[0])) & (n >= medium[1]), "medium").otherwise("weak")
-    return out.withColumn("quality", level).drop("_base")
+    return out.withColumn("quality", level).drop("_base", "_low")
 
 
 def fold_term(term: str) -> str:
@@ -108,9 +109,8 @@ def chunk_scores(chunks: DataFrame, text: str = "chunk_text", topics=None, concr
     term (0.32). status: conflicting, stale_evidence, needs_review or covered, the first that applies.
     """
     topics = L.TOPIC_ALIASES if topics is None else topics
-    any_alias = TM.alternation([fold_term(a) for aliases in topics.values() for a in aliases], bounded=False)
-    flat = chunks.withColumn("_flat", TX.for_match(F.col(text))).where(F.col("_flat").rlike(any_alias))
-    out = flat.withColumn("_topics", topic_hits(F.col("_flat"), topics))
+    flat = TX.bind(chunks, "_flat", TX.for_match(F.col(text)))
+    out = TX.bind(flat, "_topics", topic_hits(F.col("_flat"), topics)).where(F.size("_topics") > 0)
     out = out.withColumn("topics", F.array_sort(F.array_distinct(F.transform("_topics", lambda t: t["topic"])))).withColumn("n_terms", F.size(F.array_distinct(F.transform("_topics", lambda t: t["term"]))))
     f = F.col("_flat")
     for name, lists in (("_concrete", concrete), ("_negative", negative), ("_stale", stale), ("_conflict", conflict)):
@@ -136,17 +136,17 @@ def item_features(df: DataFrame, key: str, text: str, lists=None) -> DataFrame:
     """(key, word_count, has_date, one boolean per list)."""
     lists = L.ITEM_FEATURES if lists is None else lists
     body = F.coalesce(F.col(text), F.lit(""))
-    low = TX.casefold(body)
-    flags = [TM.any_hit(low, [t.casefold() for t in terms]).alias(name) for name, terms in lists.items()]
-    return df.select(key, F.size(TX.tokens(body)).alias("word_count"), body.rlike(DATE).alias("has_date"), *flags)
+    flags = [TM.any_hit(F.col("_low"), [t.casefold() for t in terms]).alias(name) for name, terms in lists.items()]
+    return TX.bind(df, "_low", TX.casefold(body)).select(key, F.size(TX.tokens(body)).alias("word_count"), body.rlike(DATE).alias("has_date"), *flags)
 
 
 def weak_labels(df: DataFrame, key: str, text: str, rules=None, document_labels=L.DOCUMENT_LABELS, negative=L.LABEL_CONFLICT_TERMS) -> DataFrame:
     """(key, labels, conflict, confidence): labels whose terms occur, sorted. A conflict is more than one document label,
     or an evidence label beside a negative term."""
     rules = L.WEAK_LABELS if rules is None else rules
-    low = TX.casefold(F.coalesce(F.col(text), F.lit("")))
-    out = df.select(key, F.array_sort(TM.families(low, rules)).alias("labels"), TM.any_hit(low, negative).alias("_neg"))
+    low = F.col("_low")
+    bound = TX.bind(df.select(key, text), "_low", TX.casefold(F.coalesce(F.col(text), F.lit(""))))
+    out = TX.bind(bound, "labels", F.array_sort(TM.families(low, rules))).select(key, "labels", TM.any_hit(low, negative).alias("_neg"))
     kinds = F.size(F.array_intersect("labels", F.array(*(F.lit(x) for x in document_labels))))
     conflict = (kinds > 1) | (F.exists("labels", lambda x: x.endswith("_evidence")) & F.col("_neg"))
     out = out.withColumn("conflict", conflict)
@@ -178,9 +178,9 @@ def severity_rules() -> list[tuple[str, Column, int]]:
 def suggest(df: DataFrame, key: str, text: str, rules=None, least: float = 0.55, firm: float = 0.7) -> DataFrame:
     """(key, control, n_terms, confidence, status) of the controls that enough of their terms suggest."""
     rules = L.CONTROL_TERMS if rules is None else rules
-    low = TX.casefold(F.col(text))
+    low = F.col("_low")
     each = F.array(*(F.struct(F.lit(control).alias("control"), TM.count_hits(low, terms).alias("n_terms")) for control, terms in rules.items()))
-    rows = df.select(key, F.inline(F.filter(each, lambda x: x["n_terms"] > 0)))
+    rows = TX.bind(df.select(key, text), "_low", TX.casefold(F.col(text))).select(key, F.inline(F.filter(each, lambda x: x["n_terms"] > 0)))
     conf = F.least(d(0.9), d(0.45) + F.col("n_terms") * d(0.1))
     return rows.withColumn("_c", conf).where(F.col("_c") >= d(least)).select(key, "control", "n_terms", F.round("_c", 2).alias("confidence"), F.when(F.col("_c") >= d(firm), "suggested").otherwise("experimental").alias("status"))
 

@@ -12,7 +12,7 @@ from evidloom.operators import extract as X
 from evidloom.operators import rollup as R
 from evidloom.operators import scoring as S
 from evidloom.plans import duck as K
-from evidloom.session import table
+from evidloom.session import spread, table
 
 CATEGORIES = list(L.CORPUS_CATEGORIES)
 #: Which categories count for which control, m to n.
@@ -31,7 +31,7 @@ TOPICS = {
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "document_id", "lang", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "document_id", "lang", "text"))
 
 
 def text_sizes(spark, sf):
@@ -165,7 +165,7 @@ def topic_label_metrics(spark, sf):
 
 def candidates(spark, sf):
     """Candidates from chunks: how sure, by concrete, stale and conflicting terms; any negative term rules one out."""
-    c = X.chunks(docs(spark, sf), "doc_id", "text").withColumn("flat", TX.for_match(F.col("chunk_text")))
+    c = TX.bind(X.chunks(docs(spark, sf), "doc_id", "text"), "flat", TX.for_match(F.col("chunk_text")))
     from evidloom.functions.terms import any_hit, count_hits
 
     kept = c.where(~any_hit(F.col("flat"), L.NEGATIVE_TERMS))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidloom.functions import text as TX
 from evidloom.operators import bayes, constraints as C, components as M, gate, joins as J, ledger as G, review as V, rollup as R, scoring as S, search, similarity as H, vault as A
 from evidloom.plans import duck as K
-from evidloom.session import table
+from evidloom.session import spread, table
 
 AS_OF = "2026-01-01"
 QUERY = "Backup copies, audit exercises and vendor audits after the restore"
@@ -24,30 +24,30 @@ REQUIRED = [("SC-01", ["contract", "audit report"]), ("SC-02", ["timeline"]), ("
 
 
 def bm25_top10(spark, sf):
-    return search.bm25(table(spark, sf, "documents"), "doc_id", "text", QUERY, 10)
+    return search.bm25(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", QUERY, 10)
 
 
 def simhash_fingerprints(spark, sf):
-    fp = H.fingerprints_by_group(table(spark, sf, "documents"), "doc_id", "text")
+    fp = H.fingerprints_by_group(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return fp.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
 
 
 def near_duplicate_pairs(spark, sf):
     """Pairs of different fingerprints within 6 bits; documents of one fingerprint are in near_duplicate_links."""
-    pairs = H.near_pairs(H.fingerprints_by_group(table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+    pairs = H.near_pairs(H.fingerprints_by_group(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
     return pairs.select(F.lower(F.lpad(F.hex("fp_a"), 16, "0")).alias("fp_a"), F.lower(F.lpad(F.hex("fp_b"), 16, "0")).alias("fp_b"), "distance")
 
 
 def near_duplicate_links(spark, sf):
-    return H.links(H.fingerprints_by_group(table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+    return H.links(H.fingerprints_by_group(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
 def language_model(spark, sf):
-    return bayes.train(table(spark, sf, "documents").withColumn("lang", F.lower("lang")), "lang", "text")[1]
+    return bayes.train(spread(table(spark, sf, "documents").select("doc_id", "text", F.lower("lang").alias("lang"))), "lang", "text")[1]
 
 
 def language_predictions(spark, sf):
-    docs = table(spark, sf, "documents").withColumn("lang", F.lower("lang"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text", F.lower("lang").alias("lang")))
     terms, labels = bayes.train(docs, "lang", "text")
     return bayes.predict(docs, "doc_id", "text", terms, labels).select("doc_id", "label", F.round("confidence", 2).alias("confidence"))
 
@@ -308,7 +308,8 @@ _PRINTS = (
     f" fp as (select d.doc_id, coalesce({_FP}, 0::ubigint) as fp from documents d left join vo using (doc_id))"
 )
 _FIND = "fi as (select load_seq, evidence_id, trim(source_finding_id) as finding_id from evidence_record where trim(source_finding_id) <> '')"
-_STATE = "case when lower(trim(coalesce(review_status, ''))) in (" + ", ".join(K.quote(s) for s in V.STATES) + ") then lower(trim(coalesce(review_status, ''))) else 'open' end"
+_TYPED = f"lower({K.strip('coalesce(review_status, $$$$)')})".replace("$$$$", "''")
+_STATE = f"case when {_TYPED} in (" + ", ".join(K.quote(s) for s in V.STATES) + f") then {_TYPED} else 'open' end"
 _APPLIED = f"{_FIND}, la as (select finding_id, arg_max(coalesce(review_status, ''), load_seq) as review_status from review_items where finding_id is not null group by 1), ap as (select fi.load_seq, finding_id, {_STATE} as review_state from fi left join la using (finding_id))"
 
 
