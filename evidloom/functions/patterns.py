@@ -28,9 +28,11 @@ def plausible_phone(match: Column) -> Column:
 
 #: Private and reserved IPv4 blocks, as first address and prefix length.
 _PRIVATE_BLOCKS = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24),
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.2.0", 24),
     ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4), ("255.255.255.255", 32),
 )
+#: Public addresses in these blocks.
+_PUBLIC_INSIDE = ("192.0.0.9", "192.0.0.10")
 
 
 def private_ip(match: Column) -> Column:
@@ -42,7 +44,7 @@ def private_ip(match: Column) -> Column:
     for first, bits in _PRIVATE_BLOCKS:
         low = sum(int(o) << (24 - 8 * k) for k, o in enumerate(first.split(".")))
         inside = inside | number.between(low, low + (1 << (32 - bits)) - 1)
-    return F.coalesce(valid & inside, F.lit(False))
+    return F.coalesce(valid & inside & ~match.isin(*_PUBLIC_INSIDE), F.lit(False))
 
 
 def secret_kind(key: Column) -> Column:

@@ -32,7 +32,7 @@ def document_type(path: Column) -> Column:
 
 def scan(spark: SparkSession, root: str, glob: str | None = None, skip: tuple[str, ...] = SKIPPED_DIRECTORIES) -> DataFrame:
     """(path, length, modificationTime, content, source_type) of all files below root; directories named in `skip` are
-    left out. Content is only read where a query uses it."""
+    left out. Content is only read where a query uses it. Files of no bytes have no row: Spark's listing passes over them."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -44,8 +44,8 @@ def scan(spark: SparkSession, root: str, glob: str | None = None, skip: tuple[st
 
 def decode(content: Column) -> Column:
     """(text, truncated, reason): UTF-8 with replacement, cut to MAX_CHARS; a NUL byte or too many bytes is a reason."""
-    text = F.make_valid_utf8(F.decode(content, "UTF-8"))
-    reason = F.when(F.length(content) > MAX_BYTES, "too_large").when(F.position(F.lit("00"), F.hex(F.substring(content, 1, 4096))) % 2 == 1, "binary_content")
+    text = F.make_valid_utf8(content.cast("string"))
+    reason = F.when(F.length(content) > MAX_BYTES, "too_large").when(text.contains("\x00"), "binary_content")
     return F.struct(F.when(reason.isNull(), F.left(text, F.lit(MAX_CHARS))).alias("text"), (F.char_length(text) > MAX_CHARS).alias("truncated"), reason.alias("reason"))
 
 
