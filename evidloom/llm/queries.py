@@ -9,7 +9,7 @@ from evidloom.llm.canonical import map_values
 from evidloom.llm.formatting_duplicates import collapse, duplicates
 from evidloom.llm.leakage import leaked_spans, remove_leaks
 from evidloom.llm.pii import redact_fields
-from evidloom.llm.shared_spans import shared_pairs, shared_part
+from evidloom.llm.shared_spans import shared_pairs, shared_part, shared_passages
 from evidloom.llm.splitting import split_texts
 from evidloom.llm.tokenizer import encode_corpus
 from evidloom.session import table
@@ -81,11 +81,15 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_pairs(table(spark, sf, "documents"))
 
 
+def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return shared_passages(table(spark, sf, "documents"))
+
+
 def p10_shared_part(spark: SparkSession, sf: str) -> DataFrame:
     return shared_part(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p6_found, p6_questions, p7_found, p7_mapped, p8_ids, p9_found, p9_cleaned, p10_found, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p6_found, p6_questions, p7_found, p7_mapped, p8_ids, p9_found, p9_cleaned, p10_found, p10_passages, p10_shared_part)}
 
 SQL = {
     "p3_found": "select doc_id from documents where length(text) > 2400",

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidloom.llm import codepoints as cp
@@ -71,22 +71,18 @@ def chunk_table(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return rows.mapInArrow(run, "digest long, before long, doc long, pos int")
 
 
-def branch_points(docs: DataFrame, key: str, text: str, least: int, around: int | None) -> DataFrame:
-    """The chunks (digest, before, n, doc, pos) where a common passage of several documents begins, with the text to
-    the left and right of pos, up to `around` code points each (None: all of it). Written to shared storage."""
+def branch_points(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """The chunks (digest, before, n, doc, pos) where a common passage of several documents begins, with up to `least`
+    code points to the left and right of pos. Written to shared storage."""
     placed = chunk_table(docs, key, text, least).repartition("digest")
     # the aggregate also reads doc and pos, so that it and the join read one shuffle, not two with different columns
     stats = placed.groupBy("digest").agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("n"), F.max("doc").alias("d"), F.max("pos").alias("p"))
     splits = stats.where("lo <> hi and d is not null and p is not null").select("digest", "n")
     points = materialize(placed.join(splits, "digest"), "branch-points")
     p = F.col("pos")
-    sides = (
-        (F.substring(F.col("text"), F.lit(1), p), F.substring(F.col("text"), p + 1, F.char_length("text")))
-        if around is None
-        else (F.substring(F.col("text"), F.greatest(p - around, F.lit(0)) + 1, F.least(p, F.lit(around))), F.substring(F.col("text"), p + 1, F.lit(around)))
-    )
+    left = F.substring(F.col("text"), F.greatest(p - least, F.lit(0)) + 1, F.least(p, F.lit(least)))
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    return materialize(points.join(source, "doc").select("digest", "before", "n", "doc", "pos", sides[0].alias("left"), sides[1].alias("right")), "branch-contexts")
+    return materialize(points.join(source, "doc").select("digest", "before", "n", "doc", "pos", left.alias("left"), F.substring(F.col("text"), p + 1, F.lit(least)).alias("right")), "branch-contexts")
 
 
 def _common(a: str, b: str) -> int:
@@ -163,35 +159,65 @@ def shared_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     matched by hash, so that only documents which do share a span ever meet. Other columns are ignored.
     """
     _, _, lead = geometry(least)
-    points = branch_points(docs, key, text, least, least)
+    points = branch_points(docs, key, text, least)
     cold = _aligned(points.where(F.col("n") <= hot)).where(F.col("left") + F.col("right") >= least).select("doc_a", "doc_b")
     found = cold.unionByName(_hot_pairs(points.where(F.col("n") > hot), least, lead)).distinct()
     return found.select(F.col("doc_a").alias(f"{key}_a"), F.col("doc_b").alias(f"{key}_b"))
 
 
-def shared_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 300) -> DataFrame:
-    """(doc, start, end, other): every maximal span of at least `least` code points that a document shares with another,
-    in both directions. Unlike shared_pairs() it forms all pairs of a digest and compares whole texts."""
-    aligned = _aligned(branch_points(docs, key, text, least, None)).where(F.col("left") + F.col("right") >= least)
+def _span_hashes(docs: DataFrame, least: int, reach: int) -> DataFrame:
+    """(h1, h2, doc, start): every span of `least` code points of a document that holds one of its shared chunks, given
+    (doc, text, places)."""
 
-    def side(a: str, b: str) -> DataFrame:
-        return aligned.select(F.col(f"doc_{a}").alias("doc"), (F.col(f"pos_{a}") - F.col("left")).alias("start"), (F.col(f"pos_{a}") + F.col("right")).alias("end"), F.col(f"doc_{b}").alias("other"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                points, _ = cp.decode([text])
+                pos = np.unique(np.array(places, np.int64))
+                low, high = np.maximum(pos + reach - least, 0), np.minimum(pos, len(points) - least)
+                starts = np.unique(cp.spread(low, np.maximum(high - low + 1, 0)))
+                if not len(starts):
+                    continue
+                pair = [cp.span_hash(cp.prefix_hash(x), starts, starts + least).view(np.int64) for x in (points, points * np.uint32(2654435761))]
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(len(starts), doc, np.int64)), pa.array(starts.astype(np.int32))], names=["h1", "h2", "doc", "start"])
 
-    return side("a", "b").unionByName(side("b", "a")).distinct()
+    return docs.mapInArrow(run, "h1 long, h2 long, doc long, start int")
 
 
-def covered(spans: Column) -> Column:
-    """Length of the union of an array of (start, end)."""
-    merged = F.aggregate(
-        F.array_sort(spans),
-        F.struct(F.lit(0).alias("until"), F.lit(0).alias("total")),
-        lambda acc, s: F.struct(F.greatest(acc["until"], s["end"]).alias("until"), (acc["total"] + F.greatest(s["end"] - F.greatest(s["start"], acc["until"]), F.lit(0))).alias("total")),
-    )
-    return merged["total"]
+def shared_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 300) -> DataFrame:
+    """(key, start, end): the longest stretches of each document in which every span of `least` code points also stands
+    in another document. No pairs are formed, so a passage that a third of the documents share costs what it measures.
+
+    Chunks that several documents have mark where to look; there, spans are matched by a 128-bit hash. Null, empty and
+    shorter texts have no passage; keys are unique whole numbers.
+    """
+    _, reach, _ = geometry(least)
+    placed = chunk_table(docs, key, text, least).select("digest", "doc", "pos").repartition("digest")
+    stats = placed.groupBy("digest").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("pos").alias("p")).where("lo <> hi and p is not null").select("digest")
+    places = placed.join(stats, "digest").groupBy("doc").agg(F.collect_set("pos").alias("places"))
+    source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    spans = _span_hashes(places.join(source, "doc").select("doc", "text", "places"), least, reach).repartition("h1", "h2")
+    common = spans.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.max("start").alias("s")).where("lo <> hi and s is not null").select("h1", "h2")
+    hits = spans.join(common, ["h1", "h2"]).groupBy("doc").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, starts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = np.array(starts, np.int32)
+                edge = np.flatnonzero(np.diff(s) > 1)
+                first, last = s[np.append(0, edge + 1)], s[np.append(edge, len(s) - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), doc, np.int64)), pa.array(first), pa.array(last + np.int32(least))], names=["doc", "start", "end"])
+
+    return hits.mapInArrow(run, "doc long, start int, end int").select(F.col("doc").alias(key), "start", "end")
 
 
 def shared_part(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 300) -> DataFrame:
-    """Per document: n_chars, shared_chars that also stand in other documents, and with how many; 0 where none."""
-    spans = shared_spans(docs, key, text, least).groupBy("doc").agg(covered(F.collect_set(F.struct("start", "end"))).alias("shared_chars"), F.countDistinct("other").alias("others"))
+    """Per document: n_chars, and shared_chars of them in passages that also stand in other documents; 0 where none."""
+    spans = shared_passages(docs, key, text, least).select(F.col(key).alias("_doc"), "start", "end").groupBy("_doc").agg(F.collect_list(F.struct("start", "end")).alias("_s"))
+    covered = F.aggregate(
+        F.array_sort("_s"),
+        F.struct(F.lit(0).alias("until"), F.lit(0).alias("total")),
+        lambda acc, s: F.struct(F.greatest(acc["until"], s["end"]).alias("until"), (acc["total"] + F.greatest(s["end"] - F.greatest(s["start"], acc["until"]), F.lit(0))).alias("total")),
+    )["total"]
     sizes = docs.select(F.col(key), F.coalesce(F.char_length(text), F.lit(0)).alias("n_chars"))
-    return sizes.join(spans, sizes[key] == spans["doc"], "left").select(key, "n_chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("others", F.lit(0)).alias("others"))
+    return sizes.join(spans, sizes[key] == spans["_doc"], "left").select(key, "n_chars", F.coalesce(covered, F.lit(0)).alias("shared_chars"))

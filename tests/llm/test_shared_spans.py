@@ -63,14 +63,32 @@ def test_null_empty_and_short(spark):
     assert pairs(spark, {}, 80) == set()
 
 
-def test_shared_part(spark):
+def test_passages_and_shared_part(spark):
     rnd = random.Random(4)
     fresh = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
     a, b = fresh(120), fresh(150)
-    texts = {1: "1" * 30 + a + "2" * 30 + b, 2: "3" * 10 + a, 3: b + "4" * 90, 4: fresh(200)}
+    texts = {1: "1" * 30 + a + "2" * 30 + b, 2: "3" * 10 + a, 3: b + "4" * 90, 4: fresh(200), 5: None, 6: a[:99]}
+    df = spark.createDataFrame([(k, t, 0) for k, t in texts.items()], "doc_id long, text string, start int")
+    got = {(r.doc_id, r.start, r.end) for r in S.shared_passages(df, least=100).collect()}
+    assert got == {(1, 30, 150), (1, 180, 330), (2, 10, 130), (3, 0, 150)}
+    part = {r.doc_id: (r.n_chars, r.shared_chars) for r in S.shared_part(df, least=100).collect()}
+    assert part == {1: (330, 270), 2: (130, 120), 3: (240, 150), 4: (200, 0), 5: (0, 0), 6: (99, 0)}
+
+
+def test_passages_equal_brute_force(spark):
+    texts, least = corpus(6), 80
+    owners = {}
+    for k, t in texts.items():
+        for i in range(len(t) - least + 1):
+            owners.setdefault(t[i : i + least], set()).add(k)
+    want = set()
+    for k, t in texts.items():
+        hit = [i for i in range(len(t) - least + 1) if len(owners[t[i : i + least]]) > 1]
+        for _, run in itertools.groupby(enumerate(hit), lambda x: x[1] - x[0]):
+            run = [i for _, i in run]
+            want.add((k, run[0], run[-1] + least))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_chars, r.shared_chars, r.others) for r in S.shared_part(df, least=100).collect()}
-    assert got == {1: (330, 270, 2), 2: (130, 120, 1), 3: (240, 150, 1), 4: (200, 0, 0)}
+    assert {tuple(r) for r in S.shared_passages(df, least=least).collect()} == want
 
 
 def test_landmarks_are_local_and_dense():
