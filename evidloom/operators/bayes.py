@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidloom.functions.text import tokens
+from evidloom.functions.text import bind, tokens
 
 
 def train(df: DataFrame, label: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -22,25 +24,31 @@ def train(df: DataFrame, label: str, text: str) -> tuple[DataFrame, DataFrame]:
     return terms, labels.select("label", "docs", F.coalesce("total", F.lit(0)).alias("total"), prior.alias("prior"), "vocabulary")
 
 
+MOST_LABELS = 10_000  # rows of the label table that predict() reads; more are refused
+
+
 def predict(df: DataFrame, key: str, text: str, terms: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, label, confidence): the likeliest label with Laplace smoothing; ties go to the smaller label, and a text
-    without tokens gets the smallest label with confidence 0.
+    without tokens gets the smallest label with confidence 0. Keys must be unique.
 
     The log score is the label's base score, as if no token had been seen in training, plus a correction for each token
-    that was, so that the tokens meet the model in one join and labels are no factor of the shuffle. `labels` is small:
-    one row per label.
+    that was. Tokens meet the model in one join; a document's corrections, one for each label at most, come together in
+    one row, and the labels, a small table, are part of the expression.
     """
+    rows = labels.select("label", "prior", "total", "vocabulary").limit(MOST_LABELS + 1).collect()
+    if len(rows) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    if not rows:
+        return df.select(key, F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("confidence"))
+    model = sorted((r["label"], math.log(r["prior"]), math.log(r["total"] + r["vocabulary"]) if r["total"] + r["vocabulary"] else 0.0) for r in rows)
     counted = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("m"))
-    sizes = df.select(key, F.size(tokens(F.col(text))).alias("length"))
-    low = labels.select(F.col("label").alias("_l"), F.col("total").alias("_t"), F.col("vocabulary").alias("_v"))
-    known = terms.join(F.broadcast(low), F.col("label") == F.col("_l")).select("label", "token", F.log(F.col("n") + F.lit(1.0)).alias("gain"))
-    gains = counted.join(known, "token").groupBy(key, "label").agg(F.sum(F.col("m") * F.col("gain")).alias("gain"))
-    base = F.log("prior") - F.col("length") * F.log(F.col("total") + F.col("vocabulary"))
-    spine = sizes.crossJoin(F.broadcast(labels)).select(key, "length", "label", base.alias("base"))  # documents x labels: the scores themselves
-    scored = spine.join(gains, [key, "label"], "left").select(key, "length", "label", F.round(F.col("base") + F.coalesce("gain", F.lit(0.0)), 9).alias("score"))
-    every = Window.partitionBy(key)
-    best = F.max("score").over(every)
-    share = F.sum(F.exp(F.col("score") - best)).over(every)
-    first = F.row_number().over(every.orderBy(F.when(F.col("length") == 0, F.lit(0.0)).otherwise(-F.col("score")), "label"))
-    out = scored.withColumn("_c", F.exp(F.col("score") - best) / share).withColumn("_n", first).where("_n = 1")
-    return out.select(key, "label", F.when(F.col("length") == 0, F.lit(0.0)).otherwise(F.round("_c", 4)).alias("confidence"))
+    gains = counted.join(terms.select("label", "token", F.log(F.col("n") + F.lit(1.0)).alias("g")), "token").groupBy(key, "label").agg(F.sum(F.col("m") * F.col("g")).alias("g"))
+    gathered = gains.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "g"))).alias("_gains"))
+    sized = df.select(key, F.size(tokens(F.col(text))).alias("length")).join(gathered, key, "left")
+    fixed = F.array(*(F.struct(F.lit(name).alias("label"), F.lit(a).alias("a"), F.lit(b).alias("b")) for name, a, b in model))
+    scores = F.transform(fixed, lambda m: F.struct((-F.round(m["a"] - F.col("length") * m["b"] + F.coalesce(F.try_element_at("_gains", m["label"]), F.lit(0.0)), 9)).alias("s"), m["label"].alias("label")))
+    scored = bind(sized, "_scores", scores)
+    best = bind(scored, "_best", F.array_min("_scores"))
+    total = F.aggregate("_scores", F.lit(0.0), lambda acc, x: acc + F.exp(F.col("_best.s") - x["s"]))
+    empty = F.col("length") == 0
+    return best.select(key, F.when(empty, F.lit(model[0][0])).otherwise(F.col("_best.label")).alias("label"), F.when(empty, F.lit(0.0)).otherwise(F.round(F.lit(1.0) / total, 4)).alias("confidence"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,26 +13,10 @@ from evidloom.functions.text import tokens
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, fp bigint): each token votes for the bits of the first 8 bytes of its SHA-256, as often as it occurs; a bit
-    is set at a sum of 0 or more. Texts without tokens get 0.
+    is set at a sum of 0 or more. Texts without tokens, and nulls, get 0.
 
-    Tokens are counted per document before they are hashed. A row's tokens stay in its row, so there is no shuffle.
+    Tokens are counted per document, combined before the shuffle, and hashed once for each document and token.
     """
-    distinct = F.array_distinct("_tokens")
-    voted = df.select(F.col(key), tokens(F.col(text)).alias("_tokens")).select(
-        key, F.transform(distinct, lambda t: F.struct(F.conv(F.left(F.sha2(t, 256), F.lit(16)), 16, -10).cast("bigint").alias("h"), F.size(F.filter("_tokens", lambda u: u == t)).alias("n"))).alias("_votes")
-    )
-    return _from_votes(voted, key)
-
-
-def _from_votes(voted: DataFrame, key: str) -> DataFrame:
-    zero = F.array_repeat(F.lit(0).cast("bigint"), 64)
-    sums = F.aggregate("_votes", zero, lambda acc, v: F.transform(acc, lambda s, i: s + F.when(F.getbit(v["h"], i) == 1, v["n"]).otherwise(-v["n"])))
-    bits = F.aggregate(F.transform(sums, lambda s, i: F.when(s >= 0, F.expr("1L")).otherwise(F.expr("0L"))), F.struct(F.lit(0).alias("i"), F.expr("0L").alias("fp")), lambda acc, b: F.struct((acc["i"] + 1).alias("i"), acc["fp"].bitwiseOR(F.call_function("shiftleft", b, acc["i"])).alias("fp")))
-    return voted.select(key, F.when(F.size("_votes") == 0, F.expr("0L")).otherwise(bits["fp"]).alias("fp"))
-
-
-def fingerprints_by_group(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The same by one aggregation: 64 sums over (document, token) counts. Faster on long texts; shuffles the counts."""
     counted = df.select(key, F.explode(tokens(F.col(text))).alias("_t")).groupBy(key, "_t").agg(F.count("*").alias("_n"))
     hashed = counted.select(key, "_n", F.conv(F.left(F.sha2("_t", 256), F.lit(16)), 16, -10).cast("bigint").alias("_h"))
     votes = hashed.groupBy(key).agg(*(F.sum(F.when(F.getbit("_h", F.lit(i)) == 1, F.col("_n")).otherwise(-F.col("_n"))).alias(f"b{i}") for i in range(64)))
@@ -39,25 +24,33 @@ def fingerprints_by_group(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key).join(votes.select(F.col(key), fp.alias("fp")), key, "left").select(key, F.coalesce("fp", F.expr("0L")).alias("fp"))
 
 
+def _scheme(count: int, most: int, group: int = 32) -> tuple[list[int], list[tuple[int, ...]]]:
+    """(edges of blocks, combinations of blocks): with most + keep blocks, two fingerprints that differ in `most` bits
+    agree on at least `keep` of them. keep grows with the number of fingerprints, so that about `group` share a key."""
+    keep = 1
+    while keep < 6 and count / 2 ** (64 * keep / (most + keep)) > group:
+        keep += 1
+    blocks = most + keep
+    return [round(64 * k / blocks) for k in range(blocks + 1)], list(combinations(range(blocks), keep))
+
+
 def near_pairs(prints: DataFrame, key: str, most: int = 6) -> DataFrame:
     """(fp_a, fp_b, distance), fp_a < fp_b: pairs of different fingerprints at most `most` bits apart, exactly.
 
-    Documents with one fingerprint are one class, see classes(). The 64 bits are cut into most + 1 bands; two
-    fingerprints that differ in `most` bits agree on at least one band, and a pair is given out only at the first band
-    it agrees on, so none comes twice and nothing needs a distinct.
+    Documents with one fingerprint are one class, see classes(). Fingerprints meet on the bits of a combination of
+    blocks; the larger the corpus, the more bits, so the number of fingerprints with one key stays small. A pair is
+    given out at the first combination it agrees on only, so none comes twice.
     """
     distinct = prints.select("fp").distinct()
-    count = most + 1
-    edges = [round(64 * k / count) for k in range(count + 1)]
-    bands = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(count)]
-    each = distinct.select("fp", F.posexplode(F.array(*bands)).alias("band", "bits"))
-    a, b = (each.select("band", "bits", F.col("fp").alias(f"fp_{s}")) for s in "ab")
-    pairs = a.join(b, ["band", "bits"]).where("fp_a < fp_b").withColumn("_x", F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    first = F.lit(None).cast("int")
-    for k in range(count - 1, -1, -1):
-        same = F.shiftrightunsigned("_x", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) == 0
-        first = F.when(same, F.lit(k)).otherwise(first)
-    return pairs.where((F.bit_count("_x") <= most) & (first == F.col("band"))).select("fp_a", "fp_b", F.bit_count("_x").alias("distance"))
+    edges, chosen = _scheme(distinct.agg(F.approx_count_distinct("fp")).first()[0], most)
+    part = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(len(edges) - 1)]
+    each = distinct.select("fp", F.posexplode(F.array(*(F.xxhash64(*(part[k] for k in c)) for c in chosen))).alias("combination", "bits"))
+    a, b = (each.select("combination", "bits", F.col("fp").alias(f"fp_{s}")) for s in "ab")
+    x = F.col("fp_a").bitwiseXOR(F.col("fp_b"))
+    pairs = a.join(b, ["combination", "bits"]).where((F.col("fp_a") < F.col("fp_b")) & (F.bit_count(x) <= most))
+    clean = F.array_compact(F.array(*(F.when(F.shiftrightunsigned(x, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) == 0, F.lit(k)) for k in range(len(edges) - 1))))
+    own = F.element_at(F.array(*(F.array(*(F.lit(k) for k in c)) for c in chosen)), F.col("combination") + 1)
+    return pairs.where(F.slice(clean, 1, len(chosen[0])) == own).select("fp_a", "fp_b", F.bit_count(x).alias("distance"))
 
 
 def classes(prints: DataFrame, key: str) -> DataFrame:

@@ -28,18 +28,18 @@ def bm25_top10(spark, sf):
 
 
 def simhash_fingerprints(spark, sf):
-    fp = H.fingerprints_by_group(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
+    fp = H.fingerprints(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return fp.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
 
 
 def near_duplicate_pairs(spark, sf):
     """Pairs of different fingerprints within 6 bits; documents of one fingerprint are in near_duplicate_links."""
-    pairs = H.near_pairs(H.fingerprints_by_group(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
+    pairs = H.near_pairs(H.fingerprints(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
     return pairs.select(F.lower(F.lpad(F.hex("fp_a"), 16, "0")).alias("fp_a"), F.lower(F.lpad(F.hex("fp_b"), 16, "0")).alias("fp_b"), "distance")
 
 
 def near_duplicate_links(spark, sf):
-    return H.links(H.fingerprints_by_group(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
+    return H.links(H.fingerprints(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text"), "doc_id")
 
 
 def language_model(spark, sf):

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidloom.functions.text import strip
+
 # File types by suffix, and directories that are passed over.
 TYPES = {
     ".txt": "text", ".md": "markdown", ".markdown": "markdown", ".csv": "csv", ".json": "json", ".docx": "docx", ".xlsx": "xlsx", ".pdf": "pdf",
@@ -183,7 +185,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     body = files.withColumn("_plain", F.when(plain & ~big, decode(F.col("content")))).withColumn("_other", F.when(parsed & ~big, _parse(F.when(parsed & ~big, F.col("source_type")), F.when(parsed & ~big, F.col("content")))))
     text = F.coalesce("_plain.text", "_other.text")
     reason = F.when(big, "too_large").when(F.col("source_type") == "image", "image_ocr_required").when(F.col("source_type") == "unsupported", "unsupported_type").otherwise(F.coalesce("_plain.reason", "_other.reason", F.lit("")))
-    status = F.when(F.col("source_type") == "image", "ocr_required").when(F.col("source_type") == "unsupported", "unsupported").when(reason != "", "error").when(F.trim(F.coalesce(text, F.lit(""))) == "", "empty").otherwise("parsed")
+    status = F.when(F.col("source_type") == "image", "ocr_required").when(F.col("source_type") == "unsupported", "unsupported").when(reason != "", "error").when(strip(F.coalesce(text, F.lit(""))) == "", "empty").otherwise("parsed")
     return body.select(
         "path", "source_type", F.sha2("content", 256).alias("sha256"), text.alias("text"), F.coalesce(F.char_length(text), F.lit(0)).alias("n_chars"),
         F.coalesce("_plain.truncated", "_other.truncated", F.lit(False)).alias("truncated"), status.alias("status"), reason.alias("reason"),

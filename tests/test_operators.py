@@ -144,13 +144,20 @@ def test_simhash_and_pairs(spark):
     texts += [t + " extra" if t else t for t in rnd.sample(texts, 20)] + texts[:5]
     want = {i: model_simhash(t) for i, t in enumerate(texts)}
     d = docs(spark, texts)
-    assert {r.doc_id: r.fp for r in H.fingerprints(d, "doc_id", "text").collect()} == want
-    prints = H.fingerprints_by_group(d, "doc_id", "text")
+    prints = H.fingerprints(d, "doc_id", "text")
     assert {r.doc_id: r.fp for r in prints.collect()} == want
     ham = lambda a, b: bin((a ^ b) & (1 << 64) - 1).count("1")
+    assert [len(H._scheme(n, 6)[1]) for n in (10_000, 200_000, 10**7, 10**9)] == [7, 28, 84, 210]
     for most in (3, 6, 10):
         pairs = {(a, b, ham(a, b)) for a, b in itertools.combinations(sorted(set(want.values())), 2) if ham(a, b) <= most}
         assert {tuple(r) for r in H.near_pairs(prints, "doc_id", most).collect()} == pairs
+    scheme = H._scheme
+    H._scheme = lambda n, most: scheme(10**8, most)
+    try:
+        pairs = {(a, b, ham(a, b)) for a, b in itertools.combinations(sorted(set(want.values())), 2) if ham(a, b) <= 6}
+        assert {tuple(r) for r in H.near_pairs(prints, "doc_id", 6).collect()} == pairs
+    finally:
+        H._scheme = scheme
     classes = {r.doc_id: (r.class_id, r.copies) for r in H.classes(prints, "doc_id").collect()}
     assert classes == {i: (min(k for k in want if want[k] == v), sum(x == v for x in want.values())) for i, v in want.items()}
 
