@@ -91,6 +91,59 @@ def p10_shared_part(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p6_found, p6_questions, p7_found, p7_mapped, p8_ids, p9_found, p9_cleaned, p10_found, p10_passages, p10_shared_part)}
 
+# --- the same in SQL -------------------------------------------------------------------------------------------------
+
+# p6: letters and digits, lower case; the data have no character that folds to several. A question's fields, sorted.
+_SOLID = "regexp_replace(lower(%s), '[^\\pL\\pN]+', '', 'g')"
+_QUESTIONS = f"""
+with p as (
+  select load_seq, {_SOLID % "original_question"} as s, list_filter(string_split_regex(original_question, '[|;\\n\\r]'), lambda x: {_SOLID % "x"} <> '') as parts
+  from questionnaire_draft where original_question is not null
+), k as (
+  select load_seq, s, case when len(parts) > 1 and len(list_filter(parts, lambda x: contains(x, ':') and {_SOLID % "string_split(x, ':')[1]"} <> '')) = len(parts)
+    then list_sort(list_transform(parts, lambda x: {_SOLID % "string_split(x, ':')[1]"} || ':' || {_SOLID % "substr(x, strpos(x, ':'))"}))::varchar end as f
+  from p where s <> ''
+), g as (select load_seq, coalesce(min(f) over (partition by s), s) as gid from k),
+h as (select load_seq, min(load_seq) over (partition by gid) as first_seq from g)
+"""
+
+# p7: the readings of a typed value, from most to least literal, and the nearest entry of the first that has one.
+_FOLD = "trim(regexp_replace(lower(nfc_normalize(%s)), '[\\s_\\x{A0}\\x{2010}-\\x{2015}\\x{200B}\\x{FEFF}-]+', ' ', 'g'))"
+_EDGES = "regexp_replace(%s, '^[^\\pL\\pN_]+|[^\\pL\\pN_]+$', '', 'g')"
+_PLAIN = "replace(replace(replace(replace(%s, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
+_MAPPED = f"""
+with t as (
+  select 'review_items' as source_table, load_seq, 'review_status' as list_name, review_status as v from review_items
+  union all select 'case_review_queue', load_seq, 'reviewer_decision', reviewer_decision from case_review_queue
+), d as (select distinct list_name, v from t where regexp_matches(v, '[^\\s\\x{{A0}}\\x{{200B}}\\x{{FEFF}}]')),
+w as (select *, {_FOLD % "v"} as whole from d),
+u as (select *, regexp_replace(regexp_replace(whole, '^[^\\pL\\pN_]+', ''), '^[\\pL]{{2,12}} ?[:=]\\s*', '') as bare from w),
+r as (
+  select list_name, v, 1 as o, whole as q from u union all select list_name, v, 2, {_EDGES % "whole"} from u union all select list_name, v, 3, {_EDGES % "bare"} from u
+  union all select list_name, v, 4, {_EDGES % "string_split_regex(bare, '[,;/(\\[|]| [?!–-]')[1]"} from u
+), e as (
+  select distinct list_name, canon_value, path from (
+    select list_name, canon_value, unnest([{_FOLD % "canon_value"}, {_FOLD % "label_en"}, {_FOLD % "label_de"}]) as path from canonical_values)
+  union select distinct list_name, canon_value, {_PLAIN % "path"} from (select list_name, canon_value, unnest([{_FOLD % "canon_value"}, {_FOLD % "label_en"}, {_FOLD % "label_de"}]) as path from canonical_values)
+), m as (
+  select r.list_name, v, o, canon_value, min(damerau_levenshtein(q, path)) as dist, min(damerau_levenshtein(q, path) * 1000 + damerau_levenshtein(q, path)::double / length(path)) as score
+  from r join e on r.list_name = e.list_name and q <> '' and abs(length(q) - length(path)) <= 3
+    and damerau_levenshtein(q, path) <= case when length(path) < 3 then 0 when length(path) < 6 then 1 when length(path) < 9 then 2 else 3 end
+  group by all
+), b as (select *, rank() over (partition by list_name, v order by o, score) as n from m),
+c as (select list_name, v, min(canon_value) as canon_value, count(*) as ties from b where n = 1 group by all)
+"""
+
+# p9: every run of twelve words of an item and of a document. p10: every span of 300 code points.
+_WORDS = "regexp_extract_all(lower(text), '[\\pL\\pN]+')"
+_GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
+
 SQL = {
     "p3_found": "select doc_id from documents where length(text) > 2400",
+    "p6_found": _QUESTIONS + "select first_seq, load_seq as copy_seq from h where load_seq <> first_seq",
+    "p6_questions": _QUESTIONS + "select load_seq, original_question, copies from questionnaire_draft join (select first_seq as load_seq, count(*) as copies from h group by 1) using (load_seq)",
+    "p7_found": _MAPPED + "select source_table, load_seq, case when ties = 1 then canon_value else 'unmatched' end as canon_value from t join d using (list_name, v) left join c using (list_name, v) where v <> coalesce(case when ties = 1 then canon_value end, 'unmatched')",
+    "p9_found": f"with i as (select item_id, {_WORDS} as w from test_items), d as (select doc_id, {_WORDS} as w from documents), ig as (select distinct item_id, {_GRAMS} as g from i where len(w) >= 12), dg as (select doc_id, {_GRAMS} as g from d where len(w) >= 12) select distinct doc_id, item_id from dg join ig using (g)",
+    "p10_found": "with g as (select distinct doc_id, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)), k as (select h from g group by 1 having count(*) > 1), s as (select g.* from g semi join k using (h)) select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b using (h) where a.doc_id < b.doc_id",
+    "p10_shared_part": "with g as (select doc_id, i, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)), k as (select h from g group by 1 having min(doc_id) <> max(doc_id)), s as (select doc_id, i, coalesce(lead(i) over (partition by doc_id order by i), i + 300) as n from g semi join k using (h)), t as (select doc_id, sum(least(300, n - i)) as c from s group by 1) select doc_id, coalesce(length(text), 0)::int as n_chars, coalesce(c, 0)::int as shared_chars from documents left join t using (doc_id)",
 }
