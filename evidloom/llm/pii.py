@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -89,9 +90,9 @@ _EMAIL = re.compile(rf"(?:mailto:)?(?<![\w.+\-])[\w][\w.+\-]*{_AT}[\w\-]+(?:{_DO
 
 _NOT_PHONE = re.compile(
     r"(?<!\d)\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?(?!\d)|(?<![\d.])\d{1,2}\.\d{1,2}\.(?:19|20)\d{2}(?!\d|\.\d)|(?<![\d/])\d{1,2}/(?:19|20)\d{2}(?!\d)"
-    r"|(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)|(?<!\d)\d{1,2}:\d{2}(?::\d{2})?(?!\d)|[A-Z]{2,}-?\d+(?:-\d+)*"
+    r"|(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)|(?<!\d)\d{1,2}:\d{2}(?::\d{2})?(?!\d)|(?<![A-Z])[A-Z]{2,12}-?\d+(?:-\d+)*"
 )
-_DIGIT_RUN = re.compile(r"(?<![\w.,/\-+#])(?:\+|\(\+?)?\d[\d \t()./\-–]*\d(?: ?(?:x|ext\.?|extn\.?|Durchwahl) ?\d{1,5}(?!\w))?", re.I)
+_DIGIT_RUN = re.compile(r"(?<![\w.,/\-+#])(?:\+|\(\+?)?\d[\d \t()./\-–]{0,38}\d(?: ?(?:x|ext\.?|extn\.?|Durchwahl) ?\d{1,5}(?!\w))?", re.I)
 _EXTENSION = re.compile(r" ?(?:x|ext\.?|extn\.?|Durchwahl) ?\d{1,5}$", re.I)
 _NORTH_AMERICA = re.compile(r"(?:\+?1[-. ])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[-. ])\d{3}[-. ]\d{4}")
 
@@ -215,6 +216,16 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
             yield m.start("a"), m.end("b")
 
 
+def _ranked_names(text: str) -> list[tuple[int, int]]:
+    """Names without overlaps: of two that overlap, the one that the more certain rule found."""
+    kept: list[tuple[int, int]] = []
+    for a, z in _names(text):
+        k = bisect_left(kept, (a, z))
+        if a < z and (k == 0 or kept[k - 1][1] <= a) and (k == len(kept) or z <= kept[k][0]):
+            kept.insert(k, (a, z))
+    return kept
+
+
 def detect(text: str | None) -> list[Item]:
     """The items in order, none overlapping another. Null and blank texts have none."""
     if not text or not text.strip():
@@ -223,12 +234,16 @@ def detect(text: str | None) -> list[Item]:
     work = text
 
     def take(spans: Iterator[tuple[int, int]], kind: str | None) -> None:
+        """Note the spans that no earlier one has taken, and hide them from later detectors."""
         nonlocal work
-        for a, z in spans:
-            if a < z and MASK not in work[a:z]:
+        parts, at = [], 0
+        for a, z in sorted(spans):
+            if a < z and a >= at and MASK not in work[a:z]:
                 if kind:
                     found.append(Item(a, z, kind))
-                work = work[:a] + MASK * (z - a) + work[z:]
+                parts += [work[at:a], MASK * (z - a)]
+                at = z
+        work = "".join([*parts, work[at:]])
 
     take((m.span() for m in _EMAIL.finditer(text)), "email")
     take((m.span("a") if m["a"] else m.span("l") for m in _ID.finditer(work)), "id_number")
@@ -238,8 +253,9 @@ def detect(text: str | None) -> list[Item]:
     kept = work
     take((m.span() for m in _NOT_PHONE.finditer(work)), None)
     take(((m.start(), m.start() + n) for m in _DIGIT_RUN.finditer(work) if (n := _phone_length(m[0]))), "phone")
-    work = "".join(MASK if any(i.start <= k < i.end for i in found) else c for k, c in enumerate(kept)) if found else kept
-    take(_names(work), "name")
+    work = kept
+    take(((i.start, i.end) for i in list(found) if i.kind == "phone"), None)
+    take(_ranked_names(work), "name")
     return sorted(found, key=lambda i: i.start)
 
 
