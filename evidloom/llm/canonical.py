@@ -62,9 +62,11 @@ class Node:
 class Trie:
     def __init__(self) -> None:
         self.root = Node()
+        self.longest = 0
 
     def add(self, entry: str, path: str) -> None:
         limit = allowed(len(path))
+        self.longest = max(self.longest, len(path))
         node = self.root
         node.reach = max(node.reach, limit)
         for c in path:
@@ -76,6 +78,8 @@ class Trie:
     def search(self, text: str) -> list[tuple[int, str, str]]:
         """(distance, entry, path) of every path within what its length allows; a swap of neighbours is one edit."""
         found: list[tuple[int, str, str]] = []
+        if len(text) > self.longest + self.root.reach:
+            return found
         start = list(range(len(text) + 1))
         stack: list[tuple[Node, str, list[int], list[int] | None, str]] = [(n, c, start, None, "") for c, n in self.root.next.items()]
         while stack:
