@@ -50,6 +50,16 @@ def test_hot_digests_equal_brute_force(spark):
     assert pairs(spark, texts, 80, hot=2) == pairs(spark, texts, 80) == brute(texts, 80)
 
 
+def test_a_third_of_all_documents_shares_a_passage(spark):
+    rnd = random.Random(7)
+    fresh = lambda n: "".join(rnd.choices("abcdefghij .", k=n))
+    boiler, copy, short = fresh(900), fresh(700), fresh(250)
+    texts = {k: fresh(120) + (boiler if k % 3 == 0 else short if k % 3 == 1 else "") + fresh(120) for k in range(210)}
+    texts |= {k: copy for k in range(300, 380)}
+    want = set(itertools.combinations(range(0, 210, 3), 2)) | set(itertools.combinations(range(300, 380), 2))
+    assert pairs(spark, texts, 300) == want
+
+
 def test_production_length(spark):
     rnd = random.Random(3)
     fresh = lambda n: "".join(rnd.choices("abcdefgh .\n", k=n))
