@@ -307,7 +307,7 @@ _SUGGEST = "sg as (select * from (" + " union all ".join(
     f"select doc_id, {K.quote(c)} as control, {K.hits(K.casefold('text'), t)} as n_terms from documents" for c, t in L.CONTROL_TERMS.items()
 ) + ") where n_terms > 0), sh as (select doc_id, control, n_terms, round(least(0.9::double, 0.45::double + n_terms * 0.1::double), 2) as confidence, case when least(0.9::double, 0.45::double + n_terms * 0.1::double) >= 0.7::double then 'suggested' else 'experimental' end as status from sg where least(0.9::double, 0.45::double + n_terms * 0.1::double) >= 0.55::double)"
 _WINDOWS = (
-    "win as (select doc_id, k as window_index, k * 1536 as \"start\", case when k = f then n else k * 1536 + 2048 end as \"end\", case when k = f then n else k * 1536 + 1536 end as core_end, k = f as is_tail from ("
+    "win as (select doc_id, k::int as window_index, (k * 1536)::int as \"start\", (case when k = f then n else k * 1536 + 2048 end)::int as \"end\", (case when k = f then n else k * 1536 + 1536 end)::int as core_end, k = f as is_tail from ("
     "select doc_id, n, f, unnest(range(0, f + 1)) as k from (select doc_id, length(text) as n, greatest(ceil((length(text) - 3584) / 1536.0), 0)::int as f from documents where length(text) > 0)))"
 )
 
