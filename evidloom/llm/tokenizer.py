@@ -21,7 +21,7 @@ from evidloom.llm import codepoints as cp
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SLICE = 1_500_000  # characters that are in work at once
-MEMO = 1 << 16  # distinct misses that a worker remembers
+MEMO = 1 << 17  # distinct misses that a worker remembers; long numbers, which hardly recur, are not among them
 
 
 @dataclass
@@ -182,9 +182,10 @@ class Encoder:
         ids = self.memo.get(token)
         if ids is None:
             ids = merge_bytes(token.encode("utf-8", "surrogatepass"), self.v.ranks)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[token] = ids
+            if len(token) < 6 or not token[-1].isdigit():
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[token] = ids
         return ids
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
