@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidloom.session import materialize
+
 REF_COLUMNS = ("ref_table", "load_seq", "recorded_at", "ref_value")
 
 
@@ -58,7 +60,7 @@ def orphans(refs: DataFrame, targets: DataFrame, least: int = 50_000) -> DataFra
     lifetimes, so their rows stay where they are; the rows of all other keys meet their targets in a shuffled join.
     A row without recorded_at counts as broken only if no such target exists at all. Result order is undefined.
     """
-    heavy = heavy_keys(refs, least).cache()
+    heavy = materialize(heavy_keys(refs, least), "heavy-keys")
     heavy_life = F.broadcast(heavy.join(targets, "ref_value", "left"))
     hot = refs.join(heavy_life, "ref_value").where(_broken())
     cold = refs.join(F.broadcast(heavy), "ref_value", "left_anti").join(targets, "ref_value", "left").where(_broken())
