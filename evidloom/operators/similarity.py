@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidloom.functions.text import tokens
+from evidloom.session import materialize
 
 
 def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,7 +42,7 @@ def near_pairs(prints: DataFrame, key: str, most: int = 6) -> DataFrame:
     blocks; the larger the corpus, the more bits, so the number of fingerprints with one key stays small. A pair is
     given out at the first combination it agrees on only, so none comes twice.
     """
-    distinct = prints.select("fp").distinct()
+    distinct = materialize(prints.select("fp").distinct(), "fingerprints")  # counted, then joined with itself
     edges, chosen = _scheme(distinct.agg(F.approx_count_distinct("fp")).first()[0], most)
     part = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(len(edges) - 1)]
     each = distinct.select("fp", F.posexplode(F.array(*(F.xxhash64(*(part[k] for k in c)) for c in chosen))).alias("combination", "bits"))
