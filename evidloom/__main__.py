@@ -38,7 +38,7 @@ def main(args: list[str] | None = None) -> int:
             df.write.mode("overwrite").format(a.format).save(a.out)
         return 0
     got = pipeline.run_folder(spark, a.root, strict=a.strict)
-    report = sinks.markdown_report("Folder", {"Documents": got.documents, "Verdicts": got.verdicts, "Coverage": got.coverage})
+    report = sinks.markdown_report("Folder", {"Documents": got.documents, "Verdicts": got.verdicts, "Not or partly scanned": got.skipped, "Coverage": got.coverage})
     sinks.staged(a.out, lambda where: sinks.write_text(f"{where}/report.md", report), {"report.md"})
     return int(got.verdicts.where("status = 'block'").limit(1).count() > 0)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidloom.functions.text import collapse
 
@@ -134,10 +139,57 @@ def overlaps(start: Column, end: Column, spans: Column) -> Column:
     return F.exists(spans, lambda s: (start < s["end"]) & (s["start"] < end))
 
 
-def scan_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, type, severity, match) of every finding of every line; null and empty texts have none."""
+def _python(pattern: str) -> re.Pattern[str]:
+    flags = re.match(r"\(\?(i?)U\)", pattern)
+    return re.compile(pattern[flags.end() :], re.I if flags[1] else 0)
+
+
+_LONG = [(kind, _python(p)) for kind, p in (("token", TOKEN_VALUE), ("email", EMAIL), ("phone", PHONE), ("iban", IBAN), ("private_network", IPV4), ("private_network", HOST))]
+_LONG_SECRET, _LONG_KEYWORD = _python(SECRET), _python(KEYWORD)
+_REACH = 600  # characters before and after a stretch that its matches may see
+
+
+def _is_private(value: str) -> bool:
+    try:
+        return ipaddress.ip_address(value).is_private
+    except ValueError:
+        return False
+
+
+def long_line(line: str, step: int = MAX_LINE) -> list[tuple[str, str, str]]:
+    """(type, severity, match) of a line of any length, as line_findings() has it for a short one. It is read in
+    stretches that see what surrounds them, so that time grows with the length; a match belongs to the stretch in which
+    it begins and is listed up to _REACH characters beyond that."""
+    found: list[tuple[int, int, str, str]] = []
+    for at in range(0, len(line), step):
+        left = max(0, at - _REACH)
+        piece = line[left : at + step + _REACH]
+        secrets = list(_LONG_SECRET.finditer(piece))
+        hits = [(0, m.start(), "token" if "token" in (k := m[2].lower()) or "api" in k or k in ("authorization", "cookie") else "secret", m[3]) for m in secrets]
+        for rank, (kind, pattern) in enumerate(_LONG, 1):
+            for m in pattern.finditer(piece):
+                if kind == "phone" and not 7 <= sum(c.isdigit() for c in m[0]) <= 15 or pattern is _LONG[4][1] and not _is_private(m[0]):
+                    continue
+                hits.append((rank, m.start(), kind, m[0]))
+        hits += [(9, m.start(), "keyword", m[0]) for m in _LONG_KEYWORD.finditer(piece) if not any(s.start() < m.end() and m.start() < s.end() for s in secrets)]
+        found += [(rank, left + start, kind, match) for rank, start, kind, match in hits if at <= left + start < at + step]
+    return [(kind, SEVERITIES[kind], match) for _, _, kind, match in sorted(found)]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("type", "severity", "match")])))
+def _long_findings(lines: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None else [dict(zip(("type", "severity", "match"), f, strict=True)) for f in long_line(s)] for s in lines], dtype=object)
+
+
+def scan_lines(df: DataFrame, key: str, text: str, whole_lines: bool = False) -> DataFrame:
+    """(key, line, type, severity, match) of every finding of every line; null and empty texts have none. Of a line only
+    MAX_LINE characters are read, or with `whole_lines` all: longer ones then pass through Python."""
     lines = df.select(key, F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("_i", "_line"))
-    return lines.select(key, (F.col("_i") + 1).alias("line"), F.explode(line_findings(F.col("_line"))).alias("_f")).select(key, "line", "_f.type", "_f.severity", "_f.match")
+    found = line_findings(F.col("_line"))
+    if whole_lines:
+        long = F.char_length("_line") > MAX_LINE
+        found = F.when(long, _long_findings(F.when(long, F.col("_line")))).otherwise(found)
+    return lines.select(key, (F.col("_i") + 1).alias("line"), F.explode(found).alias("_f")).select(key, "line", "_f.type", "_f.severity", "_f.match")
 
 
 def verdicts(findings: DataFrame, documents: DataFrame, key: str, per_document: int = 25, strict: bool = False) -> DataFrame:

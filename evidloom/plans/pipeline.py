@@ -11,7 +11,7 @@ from evidloom import lexicon as L
 from evidloom.functions import patterns as P
 from evidloom.functions import text as TX
 from evidloom.operators import evaluate, extract, rollup, scoring
-from evidloom.sources import files
+from evidloom.sources import files, preflight
 from evidloom.session import materialize
 
 
@@ -22,15 +22,30 @@ class FolderResult:
     verdicts: DataFrame  # pass, warn or block per file
     evidence: DataFrame  # scored chunks
     coverage: DataFrame  # per topic
+    skipped: DataFrame  # files that were not looked through for sensitive values, or only in part
 
 
 def run_folder(spark: SparkSession, root: str, topics: dict[str, tuple[str, ...]] | None = None, strict: bool = False) -> FolderResult:
-    """Everything about a folder. The parsed texts are written to shared storage once; all else is lazy."""
+    """Everything about a folder. The parsed texts are written to shared storage once; all else is lazy.
+
+    Findings and verdicts are over the files as they are, not over the parsed texts, which are cut. A file that was not
+    looked through has a finding in `skipped`, which counts in its verdict; images alone do not count unless oversize, their
+    verdict has `scanned` false.
+    """
     topics = L.TOPIC_ALIASES if topics is None else topics
-    read = materialize(files.read_documents(files.scan(spark, root)), "documents").withColumn("document_id", TX.stable_id("DOC-", [F.col("path"), F.col("sha256")], 12))
+    identity = TX.stable_id("DOC-", [F.col("path"), F.col("sha256")], 12)
+    listed = files.scan(spark, root)
+    read = materialize(files.read_documents(listed), "documents").withColumn("document_id", identity)
     parsed = read.where("status = 'parsed'")
-    findings = P.scan_lines(parsed, "document_id", "text")
+    scanned = listed.join(read.select("path", "document_id"), "path")
+    hidden = preflight.unlisted(spark, root).withColumn("sha256", F.lit("")).withColumn("document_id", identity)
+    findings = preflight.findings(scanned, parsed, "document_id")
+    skipped = preflight.skipped(scanned, hidden, "document_id")
+    counted = findings.unionByName(skipped.where("reason <> 'image_ocr_required'").select("document_id", F.lit(None).cast("int").alias("line"), "type", "severity", F.col("reason").alias("match")))
+    everything = read.select("document_id").unionByName(hidden.select("document_id"))
+    verdicts = P.verdicts(counted, everything, "document_id", strict=strict)
+    verdicts = verdicts.join(skipped.select("document_id", F.lit(False).alias("scanned")).distinct(), "document_id", "left").withColumn("scanned", F.coalesce("scanned", F.lit(True)))
     chunks = extract.chunks(parsed, "document_id", "text")
     scored = scoring.chunk_scores(chunks, topics=topics)
     documents = evaluate.document_summary(read.drop("text"), chunks, scored, "document_id")
-    return FolderResult(documents, findings, P.verdicts(findings, read, "document_id", strict=strict), scored, rollup.topic_coverage(scored, list(topics)))
+    return FolderResult(documents, findings, verdicts, scored, rollup.topic_coverage(scored, list(topics)), skipped)

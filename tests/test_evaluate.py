@@ -1,8 +1,12 @@
 import hashlib
+import io
+import json
+import zipfile
 
 from pyspark.sql import functions as F
 
 from evidloom.__main__ import main
+from evidloom.functions import patterns as P
 from evidloom.operators import evaluate as E
 from evidloom.plans.pipeline import run_folder
 
@@ -49,3 +53,39 @@ def test_folder(spark, tmp_path, capsys):
     assert main(["list"]) == 0 and "p5_found" in capsys.readouterr().out
     assert main(["folder", str(root), str(tmp_path / "out")]) == 1 and "mfa" in (tmp_path / "out" / "report.md").read_text()
     assert main(["run", "p4_found", "/root/testdata/sf0.001", f"file://{tmp_path}/rows", "--format", "csv"]) == 0
+
+
+def test_folder_verdicts_are_over_whole_files(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    office = io.BytesIO()
+    with zipfile.ZipFile(office, "w") as z:
+        z.writestr("word/document.xml", "<d xmlns:w='w'><w:t>password = hunter2</w:t></d>")
+    bodies = {
+        "row.csv": "k\n" * 400 + "password=hunter2\n", "cell.csv": ",".join(["k"] * 25 + ["password=hunter2"]), "scalar.json": json.dumps([*range(600), "password=hunter2"]), "line.json": json.dumps(["k" * 9 + " "] * 900 + ["password=hunter2"]),
+        "escape.json": '["a\\u0040b.example", "password\\u003dhunter2"]', "broken.json": "{ password=hunter2", "far.txt": "k\n" * 600_000 + "password=hunter2", "conf.yaml": "password: hunter2", "notes.rst": "password: hunter2",
+        "key.pem": "k", "x.zip": "k", "y.db": "k", "prod.env": "k", ".env": "k", "my-secrets.txt": "k", "_hidden.txt": "k", "n.txt": "a\x00b", "latin.txt": b"\xe4", "tool.xyz": "k", "ok.txt": "nothing", "ok.csv": "a,b", "d.docx": office.getvalue(),
+    }
+    for name, body in bodies.items():
+        (root / name).write_bytes(body if isinstance(body, bytes) else body.encode())
+    got = run_folder(spark, str(root))
+    names = {r.document_id: r.path.rpartition("/")[2] for r in [*got.documents.collect(), *got.skipped.collect()]}
+    status = {names[r.document_id]: (r.status, r.scanned) for r in got.verdicts.collect()}
+    low = {"_hidden.txt", "n.txt", "latin.txt", "tool.xyz"}
+    assert status.keys() == bodies.keys() and {n for n, (s, _) in status.items() if s == "warn"} == low and {n for n, s in status.items() if s == ("pass", True)} == {"ok.txt", "ok.csv"}
+    assert all(status[n][0] == "block" for n in bodies.keys() - low - {"ok.txt", "ok.csv"})
+    reasons = {r.path.rpartition("/")[2]: r.reason for r in got.skipped.collect()}
+    assert (reasons[".env"], reasons["x.zip"], reasons["n.txt"], reasons["latin.txt"], reasons["d.docx"]) == ("secret_file", "forbidden_input", "binary_content", "not_utf8", "unsupported_type")
+    found = {(names[r.document_id], r.line, r.type) for r in got.findings.collect()}
+    assert {("row.csv", 401, "secret"), ("line.json", 1, "secret"), ("escape.json", None, "email"), ("far.txt", 600001, "secret")} <= found
+
+
+def test_long_lines_are_read_as_short_ones(spark):
+    values = ["a@b.example", "password = hunter2", "10.0.0.1", "8.8.8.8", "host.lan", "ghp_abcdefghijklmnop", "+49 30 1234567", "DE89370400440532013000", "token", "plain"]
+    line = " ; ".join(values[k * 7 % 10] for k in range(3000))
+    want = sorted(tuple(r) for k in values for r in P.long_line(k))
+    got = P.long_line(line)
+    assert sorted(set(got)) == want and len(got) == 300 * len(want)
+    df = spark.createDataFrame([(1, line), (2, "\n".join(values))], "k int, t string")
+    rows = P.scan_lines(df, "k", "t", whole_lines=True).collect()
+    assert sorted((r.type, r.severity, r.match) for r in rows if r.k == 2) == want and len([r for r in rows if r.k == 1]) == 300 * len(want)
