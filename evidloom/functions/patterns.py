@@ -192,16 +192,12 @@ def scan_lines(df: DataFrame, key: str, text: str, whole_lines: bool = False) ->
     return lines.select(key, (F.col("_i") + 1).alias("line"), F.explode(found).alias("_f")).select(key, "line", "_f.type", "_f.severity", "_f.match")
 
 
-def verdicts(findings: DataFrame, documents: DataFrame, key: str, per_document: int = 25, strict: bool = False) -> DataFrame:
-    """(key, high, medium, low, status) of every document; at most `per_document` findings of one count.
+def verdicts(findings: DataFrame, documents: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """(key, high, medium, low, status) of every document, over all of its findings.
 
     status is `block` with a high finding (with `strict`, also with a medium one), `warn` with another, else `pass`.
     """
-    from pyspark.sql import Window
-
-    first = Window.partitionBy(key).orderBy("line", "type", "match")
-    few = findings.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_document)
-    counts = few.groupBy(key).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")))
+    counts = findings.groupBy(key).agg(*(F.count_if(F.col("severity") == s).alias(s) for s in ("high", "medium", "low")))
     all_ = documents.select(key).distinct().join(counts, key, "left").select(key, *(F.coalesce(s, F.lit(0)).alias(s) for s in ("high", "medium", "low")))
     stop = (F.col("high") > 0) | (F.lit(strict) & (F.col("medium") > 0))
     return all_.withColumn("status", F.when(stop, "block").when(F.col("medium") + F.col("low") > 0, "warn").otherwise("pass"))

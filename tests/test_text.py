@@ -83,6 +83,13 @@ def test_lines_and_snippets(spark):
     assert one == ["before [email:redacted] after [private_network:redacted]"]
 
 
+def test_a_verdict_is_over_all_findings(spark):
+    mails = " ".join(f"a{i}@b.example" for i in range(30))
+    df = spark.createDataFrame([(1, f"{mails} password=hunter2"), (2, "\n".join(["a@b.example"] * 40 + ["10.0.0.1", "secret=abc"])), (3, mails)], "k int, t string")
+    got = {r.k: (r.high, r.medium, r.low, r.status) for r in P.verdicts(P.scan_lines(df, "k", "t"), df, "k").collect()}
+    assert got == {1: (1, 30, 0, "block"), 2: (1, 40, 1, "block"), 3: (0, 30, 0, "warn")}
+
+
 def test_overlaps(spark):
     spans = F.array(F.struct(F.lit(5).alias("start"), F.lit(9).alias("end")))
     assert column(spark, ["x"], lambda t: F.array(*(P.overlaps(F.lit(a), F.lit(b), spans) for a, b in ((0, 5), (8, 10), (9, 12))))) == [[False, True, False]]
