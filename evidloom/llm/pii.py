@@ -92,13 +92,17 @@ _NOT_PHONE = re.compile(
     r"(?<!\d)\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2})?)?(?!\d)|(?<![\d.])\d{1,2}\.\d{1,2}\.(?:19|20)\d{2}(?!\d|\.\d)|(?<![\d/])\d{1,2}/(?:19|20)\d{2}(?!\d)"
     r"|(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)|(?<!\d)\d{1,2}:\d{2}(?::\d{2})?(?!\d)|(?<![A-Z])[A-Z]{2,12}-?\d+(?:-\d+)*"
 )
-_DIGIT_RUN = re.compile(r"(?<![\w.,/\-+#])(?:\+|\(\+?)?\d[\d \t()./\-–]{0,38}\d(?: ?(?:x|ext\.?|extn\.?|Durchwahl) ?\d{1,5}(?!\w))?", re.I)
+_DIGIT_RUN = re.compile(r"(?<![\w.,/\-+#])(?:\+|\(\+?)?\d[\d \t()./\-–]{0,38}\d(?!\d)(?: ?(?:x|ext\.?|extn\.?|Durchwahl) ?\d{1,5}(?!\w))?", re.I)
+_GROUP = re.compile(r"[(+]*\d+")
+_NEXT_RUN = re.compile(rf"[ \t]?[/\-–.,]?[ \t]?(?P<run>{_DIGIT_RUN.pattern.partition(')')[2]})", re.I)
 _EXTENSION = re.compile(r" ?(?:x|ext\.?|extn\.?|Durchwahl) ?\d{1,5}$", re.I)
 _NORTH_AMERICA = re.compile(r"(?:\+?1[-. ])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[-. ])\d{3}[-. ]\d{4}")
 
 
 def _phone_length(run: str) -> int:
     """How much of a run of digits and separators is a telephone number; 0 if none."""
+    if run[0] != "+" and run[:2] != "(+" and run.lstrip("(")[0] != "0" and not _NORTH_AMERICA.match(run):
+        return 0
     body, tail = _EXTENSION.sub("", run), _EXTENSION.search(run)
     while True:
         digits = re.sub(r"\D", "", body.replace("(0)", ""))
@@ -122,6 +126,20 @@ def _phone_length(run: str) -> int:
         body = shorter
 
 
+def _phones(text: str) -> Iterator[tuple[int, int]]:
+    """Telephone numbers from left to right. After one the search goes on where it ends, whatever separates the next;
+    after a run of digits that begins with none, at the run's next group of digits."""
+    at = 0
+    while m := _DIGIT_RUN.search(text, at):
+        n = _phone_length(m[0])
+        at = m.start() + n if n else _GROUP.match(text, m.start()).end()
+        while n:
+            yield at - n, at
+            m = _NEXT_RUN.match(text, at)
+            n = _phone_length(m["run"]) if m else 0
+            at = m.start("run") + n if n else at
+
+
 _LABEL = (
     r"(?:tax[ -]?(?:id|number|no)|TIN|steuer-?(?:id(?:entifikationsnummer)?|nummer|nr)|idnr|sozialversicherungs(?:nummer|-?nr)|rentenversicherungsnummer|sv-?(?:nummer|nr)"
     r"|passport|reisepass|pass-?nr|personalausweis|ausweis|identity card|id card|driv(?:ing|er'?s?) licen[cs]e|führerschein|fuehrerschein"
@@ -252,7 +270,7 @@ def detect(text: str | None) -> list[Item]:
     take((m.span() for m in _ADDRESS_EN.finditer(work) if not _NO_STREET.match(m[0]) and not _runs_on(work, m.start())), "address")
     kept = work
     take((m.span() for m in _NOT_PHONE.finditer(work)), None)
-    take(((m.start(), m.start() + n) for m in _DIGIT_RUN.finditer(work) if (n := _phone_length(m[0]))), "phone")
+    take(_phones(work), "phone")
     work = kept
     take(((i.start, i.end) for i in list(found) if i.kind == "phone"), None)
     take(_ranked_names(work), "name")

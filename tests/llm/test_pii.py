@@ -60,6 +60,24 @@ def test_not_found(text):
     assert kinds(text or "") == [] and P.redact(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("030 23125 409 / 040 66969 542", ["030 23125 409", "040 66969 542"]),
+        ("030/23125-760 0171/3920075", ["030/23125-760", "0171/3920075"]),
+        ("030 23125 409/040 66969 542, +49 30 23125 410", ["030 23125 409", "040 66969 542", "+49 30 23125 410"]),
+        ("room 26 030 23125 760", ["030 23125 760"]),
+        ("17 020 7946 0135", ["020 7946 0135"]),
+        ("1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 (391) 555-0101 x4 (391) 555-0102", ["(391) 555-0101 x4", "(391) 555-0102"]),
+        ("12 34\t0171 3920075\t+44 20 7946 0135", ["0171 3920075", "+44 20 7946 0135"]),
+        ("9 +49 (0)30 23125-409 and 030 23125 40912345678901", ["+49 (0)30 23125-409"]),
+    ],
+)
+def test_every_number_of_a_run_is_found(text, want):
+    assert kinds(text) == [("phone", w) for w in want]
+    assert not any(w in P.redact(text, KEY)[0] for w in want)
+
+
 def test_a_name_in_an_address_of_mail_is_none():
     assert [k for k, _ in kinds("from anna.kaldsen@x.example")] == ["email"]
 
