@@ -27,6 +27,12 @@ def bm25_top10(spark, sf):
     return search.bm25(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", QUERY, 10)
 
 
+def bm25_set_top10(spark, sf):
+    """Every document whose id is divisible by 50 as a query, against all documents."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return search.bm25_set(docs.where("doc_id % 50 = 0"), "doc_id", "text", docs, "doc_id", "text", 10)
+
+
 def simhash_fingerprints(spark, sf):
     fp = H.fingerprints(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text")
     return fp.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fp"))
@@ -286,7 +292,7 @@ def review_times(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_top10, simhash_fingerprints, near_duplicate_pairs, near_duplicate_links, language_model, language_predictions, applied_reviews, cleaned_review_notes, unknown_reviews, decision_problems, accepted_evidence, shared_references,
+        bm25_top10, bm25_set_top10, simhash_fingerprints, near_duplicate_pairs, near_duplicate_links, language_model, language_predictions, applied_reviews, cleaned_review_notes, unknown_reviews, decision_problems, accepted_evidence, shared_references,
         best_chunks, question_controls, question_evidence, best_answers, answer_drafts, missing_evidence, latest_drafts, upserted_findings, replaced_findings, touched_clients, finding_versions, ledger_append, ledger_problems,
         ledger_transitions, ledger_roles, ledger_completion, component_gaps, duplicate_components, parsed_components, repeated_findings, orphan_cases, catalog_problems, register_differences, unsafe_paths, url_checks, field_classes,
         guarded_notes, supplier_scores, stale_answers, stable_ids, json_lists, review_times,

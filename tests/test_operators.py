@@ -302,3 +302,22 @@ def test_url_check(spark):
     df = spark.createDataFrame(rows, "u string, s int, l string, e string")
     got = [tuple(r.x) for r in df.select(C.url_check(df.u, df.s, df.l, df.e, r"\.example$").alias("x")).collect()]
     assert [g[0] for g in got] == ["PASS", "FAIL", "FAIL", "PASS", "WARN", "WARN", "FAIL", "WARN"]
+
+
+def test_a_set_of_queries_is_searched_as_each_alone(spark, sf):
+    import __spark_entry__ as entry
+    from evidloom.operators import search
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").cache()
+    got = {}
+    for r in entry.queries()["bm25_set_top10"](spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    queries = docs.where("doc_id % 50 = 0").collect()
+    assert len(queries) > 1 and got.keys() == {q.doc_id for q in queries if q.text and q.text.strip()}
+    for q in queries[:2]:
+        want = [(r.doc_id, r.score) for r in search.bm25(docs, "doc_id", "text", q.text, 10).collect()]
+        assert [d for d, _ in got[q.doc_id]] == [d for d, _ in want] and [s for _, s in got[q.doc_id]] == pytest.approx([s for _, s in want], abs=2e-6)
+    few = spark.createDataFrame([(1, "a b"), (2, "a"), (3, None), (4, "zz a")], "k long, t string")
+    asked = spark.createDataFrame([("x", "B a a"), ("y", "none"), ("z", None), ("w", "zz")], "q string, t string")
+    assert [(r.query_id, r.k) for r in search.bm25_set(asked, "q", "t", few, "k", "t", 2).orderBy("query_id", "rank").collect()] == [("w", 4), ("x", 1), ("x", 2)]
+    assert search.bm25_set(asked, "q", "t", few.limit(0), "k", "t").count() == 0
