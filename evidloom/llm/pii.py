@@ -306,7 +306,7 @@ def pseudonym(value: str, kind: str, key: bytes) -> str:
                 pass
         return permute_text(value, key, "id")
     folded = re.sub(r"[\W_]+", "", re.sub(r"(?i)mailto:|\((?:at|dot)\)|\[(?:at|dot)\]", "", value)).casefold()
-    return blake2b(f"{kind}|{folded}".encode(), key=key, digest_size=4).hexdigest()
+    return blake2b(f"{kind}|{folded}".encode(), key=key, digest_size=8).hexdigest()
 
 
 def redact(text: str | None, key: bytes) -> tuple[str | None, list[Item]]:

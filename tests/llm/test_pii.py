@@ -95,6 +95,12 @@ def test_rest_is_unchanged_and_equal_values_are_linked():
     assert P.pseudonym("030/23125-409", "phone", b"another") != P.pseudonym("030/23125-409", "phone", KEY)
 
 
+def test_tags_of_many_values_differ():
+    for kind in ("email", "address", "name"):
+        tags = {P.pseudonym(f"value {i}", kind, KEY) for i in range(200_000)}
+        assert len(tags) == 200_000 and {len(t) for t in tags} == {16}
+
+
 @given(st.lists(st.integers(0, 9), min_size=1, max_size=24))
 @settings(max_examples=200, deadline=None)
 def test_feistel_turns_back(digits):
