@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -40,10 +42,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MOST_SPREAD = 1 << 30  # bytes of a scan that spread() shuffles at most
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than cores, hence a small one, dealt out to all cores; any other is left alone."""
+    """A scan of at most MOST_SPREAD bytes and of fewer partitions than cores dealt out to all cores; a larger one is left
+    alone, however many cores there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size <= MOST_SPREAD and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,13 +63,25 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         fallback = tempfile.mkdtemp(prefix="evidloom-")
+        atexit.register(shutil.rmtree, fallback, ignore_errors=True)
         spark.conf.set("evidloom.local.shared", fallback)
     return "file://" + os.path.abspath(fallback)
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/evidloom-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to shared storage and read it back: cuts the lineage and survives lost executors."""
+    """Write a frame to shared storage and read it back: cuts the lineage and survives lost executors. clear() removes
+    it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has materialized; frames that still read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
