@@ -9,7 +9,7 @@ from evidloom.llm.canonical import map_values
 from evidloom.llm.formatting_duplicates import collapse, duplicates
 from evidloom.llm.leakage import leaked_spans, remove_leaks
 from evidloom.llm.pii import redact_fields
-from evidloom.llm.shared_spans import shared_pairs, shared_part, shared_passages
+from evidloom.llm.shared_spans import shared_links, shared_pairs, shared_part, shared_passages
 from evidloom.llm.splitting import split_texts
 from evidloom.llm.tokenizer import encode_corpus
 from evidloom.session import table
@@ -81,6 +81,11 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return shared_pairs(table(spark, sf, "documents"))
 
 
+def p10_links(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each document: its class of equal texts and the number of other classes that it shares a passage with."""
+    return shared_links(table(spark, sf, "documents"))
+
+
 def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
     return shared_passages(table(spark, sf, "documents"))
 
@@ -89,7 +94,7 @@ def p10_shared_part(spark: SparkSession, sf: str) -> DataFrame:
     return shared_part(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p6_found, p6_questions, p7_found, p7_mapped, p8_ids, p9_found, p9_cleaned, p10_found, p10_passages, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p6_found, p6_questions, p7_found, p7_mapped, p8_ids, p9_found, p9_cleaned, p10_found, p10_links, p10_passages, p10_shared_part)}
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
@@ -138,6 +143,9 @@ c as (select list_name, v, min(canon_value) as canon_value, count(*) as ties fro
 _WORDS = "regexp_extract_all(lower(text), '[\\pL\\pN]+')"
 _GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
 
+_SPANS = "g as (select doc_id, i, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300))"
+_SHARED = f"{_SPANS}, k as (select h from g group by 1 having min(doc_id) <> max(doc_id))"
+
 SQL = {
     "p3_found": "select doc_id from documents where length(text) > 2400",
     "p6_found": _QUESTIONS + "select first_seq, load_seq as copy_seq from h where load_seq <> first_seq",
@@ -145,5 +153,7 @@ SQL = {
     "p7_found": _MAPPED + "select source_table, load_seq, case when ties = 1 then canon_value else 'unmatched' end as canon_value from t join d using (list_name, v) left join c using (list_name, v) where v <> coalesce(case when ties = 1 then canon_value end, 'unmatched')",
     "p9_found": f"with i as (select item_id, {_WORDS} as w from test_items), d as (select doc_id, {_WORDS} as w from documents), ig as (select distinct item_id, {_GRAMS} as g from i where len(w) >= 12), dg as (select doc_id, {_GRAMS} as g from d where len(w) >= 12) select distinct doc_id, item_id from dg join ig using (g)",
     "p10_found": "with g as (select distinct doc_id, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)), k as (select h from g group by 1 having count(*) > 1), s as (select g.* from g semi join k using (h)) select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b using (h) where a.doc_id < b.doc_id",
-    "p10_shared_part": "with g as (select doc_id, i, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)), k as (select h from g group by 1 having min(doc_id) <> max(doc_id)), s as (select doc_id, i, coalesce(lead(i) over (partition by doc_id order by i), i + 300) as n from g semi join k using (h)), t as (select doc_id, sum(least(300, n - i)) as c from s group by 1) select doc_id, coalesce(length(text), 0)::int as n_chars, coalesce(c, 0)::int as shared_chars from documents left join t using (doc_id)",
+    "p10_passages": f'with {_SHARED}, s as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as r from g semi join k using (h)) select doc_id, (min(i) - 1)::int as "start", (max(i) + 299)::int as "end" from s group by doc_id, r',
+    "p10_links": "with c as (select doc_id, text, min(doc_id) over (partition by coalesce(text, 'null ' || doc_id)) as class_id, count(*) over (partition by coalesce(text, 'null ' || doc_id)) as copies from documents), g as (select distinct doc_id, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from c where doc_id = class_id and length(text) >= 300)), k as (select h from g group by 1 having count(*) > 1), s as (select g.* from g semi join k using (h)), l as (select doc_id as class_id, count(distinct o) as links from (select a.doc_id, b.doc_id as o from s a join s b using (h) where a.doc_id <> b.doc_id) group by 1) select doc_id, class_id, copies, coalesce(links, 0) as links from c left join l using (class_id)",
+    "p10_shared_part": f"with {_SHARED}, s as (select doc_id, i, coalesce(lead(i) over (partition by doc_id order by i), i + 300) as n from g semi join k using (h)), t as (select doc_id, sum(least(300, n - i)) as c from s group by 1) select doc_id, coalesce(length(text), 0)::int as n_chars, coalesce(c, 0)::int as shared_chars from documents left join t using (doc_id)",
 }

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from evidloom.llm import codepoints as cp
 from evidloom.llm import gear
@@ -47,7 +48,7 @@ def test_equals_brute_force(spark):
 
 def test_hot_digests_equal_brute_force(spark):
     texts = corpus(2, 90)
-    assert pairs(spark, texts, 80, hot=2) == pairs(spark, texts, 80) == brute(texts, 80)
+    assert pairs(spark, texts, 80, many=2) == pairs(spark, texts, 80, many=2, hot=20) == pairs(spark, texts, 80) == brute(texts, 80)
 
 
 def test_a_third_of_all_documents_shares_a_passage(spark):
@@ -98,7 +99,41 @@ def test_passages_equal_brute_force(spark):
             run = [i for _, i in run]
             want.add((k, run[0], run[-1] + least))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {tuple(r) for r in S.shared_passages(df, least=least).collect()} == want
+    for hot in (S.HOT_ROWS, 10):
+        assert {tuple(r) for r in S.shared_passages(df, least=least, hot=hot).collect()} == want
+
+
+def test_spans_of_one_hash_that_differ(spark, monkeypatch):
+    texts, least = corpus(6, 12), 80
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {tuple(r) for r in S.shared_passages(df, least=least).collect()}
+    whole = S._span_hashes
+    monkeypatch.setattr(S, "_span_hashes", lambda *a: whole(*a).withColumn("h1", F.col("h1") % 5).withColumn("h2", F.lit(0).cast("long")))
+    assert {tuple(r) for r in S.shared_passages(df, least=least).collect()} == want != set()
+
+
+def test_links_between_classes(spark):
+    texts = corpus(8, 40) | {900: None, 901: None, 902: "", 903: ""}
+    least = 80
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    head = {}
+    for k, t in sorted(texts.items()):
+        head.setdefault((t, k if t is None else 0), k)
+    of = {k: head[t, k if t is None else 0] for k, t in texts.items()}
+    linked = brute({k: t for k, t in texts.items() if t is not None and of[k] == k}, least)
+    want = {(k, c, sum(o == c for o in of.values()), sum(c in p for p in linked)) for k, c in of.items()}
+    assert {tuple(r) for r in S.shared_links(df, least=least).collect()} == want
+
+
+def test_a_passage_in_half_of_many_documents(spark):
+    rnd = random.Random(9)
+    boiler = "".join(rnd.choices("abcdefghij .", k=400))
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 512), F.when(F.col("id") % 2 == 0, F.lit(boiler)).otherwise(F.sha2(F.concat(F.lit("x"), "id"), 512)), F.sha2(F.concat(F.lit("y"), "id"), 512)).alias("text"))
+    got = S.shared_part(df).groupBy("shared_chars").count().collect()
+    assert sum(r["count"] for r in got if r.shared_chars >= 400) == n // 2 and sum(r["count"] for r in got if r.shared_chars == 0) == n // 2
+    some = df.where("doc_id < 3000")
+    assert S.shared_pairs(some, hot=500).count() == 1500 * 1499 // 2
 
 
 def test_landmarks_are_local_and_dense():
