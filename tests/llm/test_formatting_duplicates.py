@@ -2,6 +2,10 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
+from evidloom.llm import codepoints as cp
 from evidloom.llm import formatting_duplicates as D
 
 
@@ -33,9 +37,9 @@ def brute(texts):
     return {(k, min(g), len(g)) for g in groups.values() for k in g}
 
 
-def run(spark, texts):
+def run(spark, texts, **more):
     df = spark.createDataFrame([(k, t, "clash") for k, t in texts], "load_seq long, original_question string, first string")
-    return {(r.load_seq, r.first, r.copies) for r in D.duplicates(df).collect()}
+    return {(r.load_seq, r.first, r.copies) for r in D.duplicates(df, **more).collect()}
 
 
 def test_rules(spark):
@@ -62,6 +66,48 @@ def test_random_texts(spark):
     assert run(spark, texts) == brute(texts)
 
 
+def test_a_long_chain_of_divisions_is_one_group(spark):
+    # each text of letters is divided in two ways, each way being that of the next text, too
+    word = "abcdefghijklmnopqrstuvwxyz"
+    texts = [(k, f"{word[: k % 24 + 1]}: {word[k % 24 + 1 :]} | z: {k // 24 * 2}") for k in range(20)] + [(100 + k, f"z: {0} | {word[: k + 1]}: {word[k + 1 :]}") for k in range(20)]
+    assert run(spark, texts) == brute(texts)
+
+
+def test_components_of_a_path(spark):
+    n = 300
+    order = list(range(n))
+    random.Random(3).shuffle(order)
+    edges = spark.createDataFrame([(bytes([a // 256, a % 256]), bytes([b // 256, b % 256])) for a, b in zip(order, order[1:])], "u binary, v binary")
+    assert {bytes(r.least) for r in D._components(edges).collect()} == {b"\0\0"} and D._components(edges).count() >= n - 1
+
+
+def test_one_question_in_a_third_of_all_rows(spark):
+    rnd = random.Random(5)
+    texts = [(k, "".join(rnd.choice([c.upper(), c, c + " ", c + "-"]) for c in "is it the same question") if k % 3 == 0 else f"question {k // 2}") for k in range(3000)]
+    want = brute(texts)
+    assert run(spark, texts, least=100) == run(spark, texts) == want
+
+
+def test_rows_of_one_hash_that_differ(spark, monkeypatch):
+    whole = D.keyed
+    monkeypatch.setattr(D, "keyed", lambda *a: whole(*a).withColumn("sequence", F.lit(b"0")))
+    assert run(spark, [(1, "a"), (2, "A!"), (3, "b"), (4, "c"), (5, "B")]) == {(1, 1, 2), (2, 1, 2), (3, 3, 2), (5, 3, 2), (4, 4, 1)}
+
+
+def test_signs_and_folds_are_those_of_the_tables():
+    one, two, three = cp.folds()
+    for c in range(0x110000):
+        ch = chr(c)
+        assert bool(D._SOLID.match(ch)) == bool(one[c]), hex(c)
+        if one[c]:
+            assert D._fold(ch) == "".join(chr(x) for x in (one[c], two[c], three[c]) if x)
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("", "", True), ("a", "", False), ("a-b", "AB", True), ("ab c", "a bc!", True), ("ab c", "a bd", False), ("abc", "ab", False), ("straße", "STRAS SE", True), ("x" * 9999, "X " * 9999, True)])
+def test_two_pointers(a, b, want):
+    assert D.same_sequence(a, b) is want is D.same_sequence(b, a)
+
+
 def test_comparison_finds_differences():
     assert D.same_text(["a b!", "a: 1 | b: 2", "x", ""], ["A-B", "B: 2; A: 1", "y", "?"]).tolist() == [True, True, False, True]
 
