@@ -1,7 +1,9 @@
 """Held-out test items in a corpus, by a generalised suffix automaton over the items' words.
 
 The automaton and its word list are built on the driver from one block of items at a time, so what is broadcast is
-bounded by `block_words`, not by the number of items. Documents stream past: their words are looked up for whole slices
+bounded by `block_words`, not by the number or the length of items: a longer item is cut into overlapping sections. With
+several blocks each one's result is written to shared storage and its automaton released before the next is made, as a
+stated query set is searched in blocks. Documents stream past: their words are looked up for whole slices
 at once, and the automaton runs over those stretches in which enough successive words occur in the items at all.
 """
 
@@ -9,14 +11,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from evidloom.functions.text import bind
 from evidloom.llm import codepoints as cp
+from evidloom.session import materialize
 
 SLICE = 1_500_000  # characters that are in work at once
 BLOCK_WORDS = 400_000  # words of test items in one automaton: some 150 MB in a worker at most
@@ -139,8 +145,9 @@ class Matcher:
             automaton.own(item, sequence)
         return cls(automaton, distinct)
 
-    def spans(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, words matched, start, end) of every longest stretch of a text that stands in an item."""
+    def spans(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int, int]]:
+        """(text, item, words matched, start, end, number of its first word) of every longest stretch of a text that
+        stands in an item."""
         least, auto = self.automaton.least, self.automaton
         keys, owner, begin, end, starts = words(texts)
         if len(keys) < least or not len(self.keys):
@@ -155,6 +162,7 @@ class Matcher:
             state = matched = 0
             open_: dict[int, tuple[int, int]] = {}  # item -> first and last word of the span that is growing
             doc, zero = int(owner[a]), int(starts[owner[a]])
+            nought = int(np.searchsorted(owner, doc))
             done: list[tuple[int, int, int]] = []
             for k, word in enumerate(place[a:b].tolist(), a):
                 state, matched = auto.step(state, matched, word)
@@ -165,21 +173,48 @@ class Matcher:
                     open_[item] = (open_[item][0] if item in open_ else k - least + 1, k)
             done += [(i, *s) for i, s in open_.items()]
             for item, first, last in done:
-                yield doc, item, last - first + 1, int(begin[first]) - zero, int(end[last]) - zero
+                yield doc, item, last - first + 1, int(begin[first]) - zero, int(end[last]) - zero, first - nought
 
 
-def _blocks(items: DataFrame, item_key: str, text: str, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks; they come to the driver one after the other, never all at once."""
-    block, total = [], 0
+def _sections(item: int, text: str, most: int, least: int) -> Iterator[tuple[int, str, int]]:
+    """(item, text, words) of an item in sections of at most `most` words, each of which repeats the last `least` - 1 words
+    of the one before, so that every run of `least` words lies in one section."""
+    _, _, begin, end, _ = words([text])
+    n = len(begin)
+    if n <= most:
+        yield item, text, n
+        return
+    for first in range(0, n - least + 1, most - least + 1):
+        last = min(first + most, n) - 1
+        yield item, text[begin[first] : end[last]], last - first + 1
+        if last == n - 1:
+            return
+
+
+def _blocks(items: DataFrame, item_key: str, text: str, block_words: int, least: int) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in blocks, and whether one of a block's items is cut; they come to the driver one after the other, never
+    all at once."""
+    block, total, cut = [], 0, False
     for item, t in items.select(item_key, text).where(F.col(text).isNotNull() & F.col(item_key).isNotNull()).toLocalIterator():
-        n = len(t) // 2 + 1  # no more words than that
-        if block and total + n > block_words:
-            yield block
-            block, total = [], 0
-        block.append((item, t))
-        total += n
+        for k, (_, section, n) in enumerate(_sections(item, t, max(block_words, 2 * least), least)):
+            if block and total + n > block_words:
+                yield block, cut
+                block, total, cut = [], 0, k > 0
+            block.append((item, section))
+            total += n
+            cut = cut or k > 0
     if block:
-        yield block
+        yield block, cut
+
+
+def _merged(spans: DataFrame, key: str, item_key: str, least: int) -> DataFrame:
+    """Spans of one document and item whose runs of `least` words follow one another as one span."""
+    by = Window.partitionBy(key, item_key).orderBy("first", "words")
+    until = F.max(F.col("first") + F.col("words")).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    edge = F.coalesce(F.col("first") > until - least + 1, F.lit(True)).cast("int")
+    marked = spans.withColumn("_edge", edge).withColumn("_run", F.sum("_edge").over(by))
+    last = F.max(F.col("first") + F.col("words"))
+    return marked.groupBy(key, item_key, "_run").agg((last - F.min("first")).cast("int").alias("words"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("first")).drop("_run")
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", least: int = 12, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -191,44 +226,68 @@ def leaked_spans(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     """
     spark = docs.sparkSession
     item_type = to_arrow_type(items.schema[item_key].dataType)
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, words int, start int, end int"
+    names = [key, item_key, "words", "start", "end", "first"]
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` {items.schema[item_key].dataType.simpleString()}, words int, start int, end int, first int"
     rows = docs.where(F.col(text).isNotNull()).select(key, text)
-    found = None
-    for block in _blocks(items, item_key, text, block_words):
+
+    def search(block: list[tuple[int, str]]) -> tuple[DataFrame, Broadcast]:
         shared = spark.sparkContext.broadcast(Matcher.build(block, least))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = b.column(1).to_pylist()
                 for i, j in cp.slices(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE):
                     got = list(shared.value.spans(texts[i:j]))
-                    columns = list(zip(*got, strict=True)) if got else [()] * 5
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array([i + d for d in columns[0]], pa.int64())), pa.array(columns[1], item_type), *(pa.array(c, pa.int32()) for c in columns[2:])],
-                        names=[key, item_key, "words", "start", "end"],
-                    )
+                    columns = list(zip(*got, strict=True)) if got else [()] * 6
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i + d for d in columns[0]], pa.int64())), pa.array(columns[1], item_type), *(pa.array(c, pa.int32()) for c in columns[2:])], names=names)
+
+        return rows.mapInArrow(run, schema), shared
 
-        part = rows.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    found, sections, waiting = [], False, None
+    for block, cut in _blocks(items, item_key, text, block_words, least):
+        if waiting:
+            part, shared = search(waiting)
+            found.append(materialize(part, "leaked-spans"))
+            shared.destroy()
+        waiting, sections = block, sections or cut
+    if waiting is None:
+        return spark.createDataFrame([], schema).drop("first")
+    part, shared = search(waiting)
+    if found:  # the last of several blocks is released like the others
+        found.append(materialize(part, "leaked-spans"))
+        shared.destroy()
+    every = reduce(DataFrame.unionByName, found) if found else part
+    return (_merged(every, key, item_key, least) if sections else every).select(*names[:5])
 
 
 def remove_leaks(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: str = "text", longest: int = 16, coverage: float = 0.05) -> DataFrame:
     """(key, text, removed): documents without leaked spans of more than `longest` words, or without any of their leaked
     spans where these make up more than `coverage` of the text. Other documents come out as they are.
 
-    key must be unique. A span is replaced by one blank.
+    What leaked is the union of a document's spans: a passage that several items hold counts once. key must be unique. A
+    span is replaced by one blank.
     """
-    per_doc = spans.groupBy(key).agg(F.collect_set(F.struct("start", "end", "words")).alias("_spans"), F.sum(F.col("end") - F.col("start")).alias("_chars"))
-    joined = docs.select(key, text).join(per_doc, key, "left")
+    kind = "array<struct<start:int,end:int,words:int>>"
+    per_doc = spans.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", "end", "words"))).alias("_spans"))
+
+    def union(found: Column) -> Column:
+        """(until, total) of sorted spans."""
+        return F.aggregate(
+            found,
+            F.struct(F.lit(0).alias("until"), F.lit(0).alias("total")),
+            lambda acc, s: F.struct(F.greatest(acc["until"], s["end"]).alias("until"), (acc["total"] + F.greatest(s["end"] - F.greatest(s["start"], acc["until"]), F.lit(0))).alias("total")),
+        )
+
+    joined = docs.select(key, text).join(per_doc.withColumn("_chars", union(F.col("_spans"))["total"]), key, "left")
     out = F.filter("_spans", lambda s: (s["words"] > longest) | (F.col("_chars") > coverage * F.char_length(text)))
     cut = F.aggregate(
-        F.array_sort(F.coalesce(out, F.array().cast("array<struct<start:int,end:int,words:int>>"))),
-        F.struct(F.lit("").alias("done"), F.lit(0).alias("at"), F.lit(0).alias("gone")),
+        F.coalesce(out, F.array().cast(kind)),
+        F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("at"), F.lit(0).alias("gone")),
         lambda acc, s: F.struct(
-            F.concat(acc["done"], F.when(s["start"] > acc["at"], F.concat(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(" "))).otherwise("")).alias("done"),
+            F.when(s["start"] > acc["at"], F.array_append(acc["done"], F.concat(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(" ")))).otherwise(acc["done"]).alias("done"),
             F.greatest(acc["at"], s["end"]).alias("at"),
             (acc["gone"] + F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0))).alias("gone"),
         ),
     )
-    return joined.withColumn("_cut", cut).select(key, F.concat(F.col("_cut.done"), F.substring(F.col(text), F.col("_cut.at") + 1, F.char_length(text))).alias(text), F.col("_cut.gone").alias("removed"))
+    rest = F.substring(F.col(text), F.col("_cut.at") + 1, F.char_length(text))
+    return bind(joined, "_cut", cut).select(key, F.concat(F.array_join("_cut.done", ""), rest).alias(text), F.col("_cut.gone").alias("removed"))

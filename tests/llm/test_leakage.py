@@ -59,6 +59,26 @@ def test_spans_and_removal(spark):
     assert cleaned[4] == ("", len(item)) and cleaned[5] == ("x " * 2000 + " ", len(item))
 
 
+def test_long_items_are_cut_and_joined_again(spark):
+    rnd = random.Random(3)
+    long = [f"w{rnd.randrange(40)}" for _ in range(400)]
+    items = {1: " ".join(long), 2: " ".join(long[50:70]), 3: "other words"}
+    docs = {1: " ".join(long[20:300]), 2: "x " + " ".join(long[45:80]) + " y", 3: "nothing here", 4: " ".join(long)}
+    whole = {tuple(r) for r in run(spark, docs, items, least=5).collect()}
+    assert whole and {tuple(r) for r in run(spark, docs, items, least=5, block_words=30).collect()} == whole
+    assert (4, 1, 400, 0, len(docs[4])) in whole
+
+
+def test_a_passage_of_several_items_counts_once(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    docs = {1: "y " * 1500 + passage}
+    spans = run(spark, docs, {1: passage, 2: passage, 3: passage + " more"})
+    assert spans.count() == 3
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert L.remove_leaks(d, spans).first().removed == 0
+    assert L.remove_leaks(d, spans, coverage=0.02).first().removed == len(passage)
+
+
 def test_empty(spark):
     assert run(spark, {}, {1: "a b c"}).count() == 0
     assert run(spark, {1: "a b c"}, {}, least=2).count() == 0
