@@ -49,19 +49,29 @@ def p6_questions(spark: SparkSession, sf: str) -> DataFrame:
 TYPED_VALUES = (("review_items", "review_status"), ("case_review_queue", "reviewer_decision"))
 
 
-def p7_mapped(spark: SparkSession, sf: str) -> DataFrame:
-    """Every non-blank typed value with its entry, literal ones included."""
+def mapped_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Every non-blank typed value with its entry, literal ones included, and all entries within distance."""
     lists = table(spark, sf, "canonical_values")
     parts = []
     for name, column in TYPED_VALUES:
         reference = lists.where(F.col("list_name") == column).select("canon_value", "label_en", "label_de")
         mapped = map_values(table(spark, sf, name), column, reference, ["load_seq"])
-        parts.append(mapped.select(F.lit(name).alias("source_table"), "load_seq", F.col(column).alias("typed"), "canon_value", "distance"))
+        parts.append(mapped.select(F.lit(name).alias("source_table"), "load_seq", F.col(column).alias("typed"), "canon_value", "distance", "candidates"))
     return parts[0].unionByName(parts[1])
 
 
+def p7_mapped(spark: SparkSession, sf: str) -> DataFrame:
+    return mapped_values(spark, sf).drop("candidates")
+
+
+def p7_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """All entries within distance of each typed value, by the path nearest to it."""
+    each = mapped_values(spark, sf).select("source_table", "load_seq", F.explode("candidates").alias("c"))
+    return each.groupBy("source_table", "load_seq", F.col("c.entry").alias("canon_value")).agg(F.min("c.distance").alias("distance"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_mapped(spark, sf).where("typed <> canon_value").select("source_table", "load_seq", "canon_value")
+    return mapped_values(spark, sf).where("typed <> canon_value").select("source_table", "load_seq", "canon_value")
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,7 +104,7 @@ def p10_shared_part(spark: SparkSession, sf: str) -> DataFrame:
     return shared_part(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p6_found, p6_questions, p7_found, p7_mapped, p8_ids, p9_found, p9_cleaned, p10_found, p10_links, p10_passages, p10_shared_part)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_redacted, p3_found, p3_pieces, p6_found, p6_questions, p7_found, p7_mapped, p7_candidates, p8_ids, p9_found, p9_cleaned, p10_found, p10_links, p10_passages, p10_shared_part)}
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
@@ -116,6 +126,9 @@ h as (select load_seq, min(load_seq) over (partition by gid) as first_seq from g
 _FOLD = "trim(regexp_replace(lower(nfc_normalize(%s)), '[\\s_\\x{A0}\\x{2010}-\\x{2015}\\x{200B}\\x{FEFF}-]+', ' ', 'g'))"
 _EDGES = "regexp_replace(%s, '^[^\\pL\\pN_]+|[^\\pL\\pN_]+$', '', 'g')"
 _PLAIN = "replace(replace(replace(replace(%s, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')"
+#: DuckDB counts edits of bytes, so every letter is to be one byte; the entries have no others than these.
+_ONE_BYTE = "regexp_replace(translate(%s, 'äöüß', chr(1) || chr(2) || chr(3) || chr(4)), '[^\\x00-\\x7F]', chr(5), 'g')"
+_EDITS = f"damerau_levenshtein({_ONE_BYTE % 'q'}, {_ONE_BYTE % 'path'})"
 _MAPPED = f"""
 with t as (
   select 'review_items' as source_table, load_seq, 'review_status' as list_name, review_status as v from review_items
@@ -131,18 +144,35 @@ r as (
     select list_name, canon_value, unnest([{_FOLD % "canon_value"}, {_FOLD % "label_en"}, {_FOLD % "label_de"}]) as path from canonical_values)
   union select distinct list_name, canon_value, {_PLAIN % "path"} from (select list_name, canon_value, unnest([{_FOLD % "canon_value"}, {_FOLD % "label_en"}, {_FOLD % "label_de"}]) as path from canonical_values)
 ), m as (
-  select r.list_name, v, o, canon_value, min(damerau_levenshtein(q, path)) as dist, min(damerau_levenshtein(q, path) * 1000 + damerau_levenshtein(q, path)::double / length(path)) as score
+  select r.list_name, v, o, canon_value, min({_EDITS}) as dist, min({_EDITS} * 1000 + {_EDITS}::double / length(path)) as score
   from r join e on r.list_name = e.list_name and q <> '' and abs(length(q) - length(path)) <= 3
-    and damerau_levenshtein(q, path) <= case when length(path) < 3 then 0 when length(path) < 6 then 1 when length(path) < 9 then 2 else 3 end
+    and {_EDITS} <= case when length(path) < 3 then 0 when length(path) < 6 then 1 when length(path) < 9 then 2 else 3 end
   group by all
 ), b as (select *, rank() over (partition by list_name, v order by o, score) as n from m),
-c as (select list_name, v, min(canon_value) as canon_value, count(*) as ties from b where n = 1 group by all)
+c as (select list_name, v, min(canon_value) as canon_value, count(*) as ties, min(dist) as dist from b where n = 1 group by all)
 """
 
 # p9: every run of twelve words of an item and of a document. p10: every span of 300 code points.
 _WORDS = "regexp_extract_all(lower(text), '[\\pL\\pN]+')"
 _GRAMS = "unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' ')))"
 
+# p9: the leaked spans of each document as words, as places of the text, joined where they overlap, and the rest.
+_LEAKED = f"""
+with i as (select item_id, {_WORDS} as w from test_items), ig as (select distinct item_id, {_GRAMS} as g from i where len(w) >= 12),
+d as (select doc_id, text, {_WORDS} as w, regexp_extract_all(text, '[\\pL\\pN]+') as ws, string_split_regex(text, '[\\pL\\pN]+') as gaps from documents),
+dg as (select doc_id, unnest(range(1, len(w) - 10)) as k, {_GRAMS} as g from d where len(w) >= 12),
+h as (select distinct doc_id, item_id, k from dg join ig using (g)),
+r as (select doc_id, item_id, min(k) as a, max(k) + 11 as z from (select *, k - row_number() over (partition by doc_id, item_id order by k) as n from h) group by doc_id, item_id, n),
+wd as (select doc_id, k, sum(g + s) over w - s as "start", sum(g + s) over w as "end" from (
+  select doc_id, unnest(range(1, len(ws) + 1)) as k, unnest(list_transform(ws, lambda x: length(x))) as s, unnest(list_transform(gaps[1:len(ws)], lambda x: length(x))) as g from d where doc_id in (select doc_id from h)) window w as (partition by doc_id order by k)),
+sp as (select distinct r.doc_id, x."start", y."end", z - a + 1 as words from r join wd x on x.doc_id = r.doc_id and x.k = a join wd y on y.doc_id = r.doc_id and y.k = z),
+us as (select doc_id, sum(greatest("end" - greatest("start", coalesce(u, 0)), 0)) as chars from (select *, max("end") over (partition by doc_id order by "start", "end", words rows between unbounded preceding and 1 preceding) as u from sp) group by 1),
+cut as (select sp.* from sp join us using (doc_id) join d using (doc_id) where words > 16 or chars > 0.05::double * length(text)),
+e as (select *, coalesce("start" > max("end") over (partition by doc_id order by "start", "end", words rows between unbounded preceding and 1 preceding), true) as fresh from cut),
+il as (select doc_id, min("start") as s, max("end") as e from (select *, sum(fresh::int) over (partition by doc_id order by "start", "end", words rows unbounded preceding) as n from e) group by doc_id, n),
+ip as (select *, coalesce(lag(e) over (partition by doc_id order by s), 0) as b from il),
+cleaned as (select doc_id, (string_agg(case when s > 0 then substr(text, b::int + 1, (s - b)::int) || ' ' else '' end, '' order by s) || substr(text, max(e)::int + 1)) as text, sum(e - s)::int as removed from ip join d using (doc_id) group by doc_id, d.text)
+"""
 _SPANS = "g as (select doc_id, i, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300))"
 _SHARED = f"{_SPANS}, k as (select h from g group by 1 having min(doc_id) <> max(doc_id))"
 
@@ -151,6 +181,9 @@ SQL = {
     "p6_found": _QUESTIONS + "select first_seq, load_seq as copy_seq from h where load_seq <> first_seq",
     "p6_questions": _QUESTIONS + "select load_seq, original_question, copies from questionnaire_draft join (select first_seq as load_seq, count(*) as copies from h group by 1) using (load_seq)",
     "p7_found": _MAPPED + "select source_table, load_seq, case when ties = 1 then canon_value else 'unmatched' end as canon_value from t join d using (list_name, v) left join c using (list_name, v) where v <> coalesce(case when ties = 1 then canon_value end, 'unmatched')",
+    "p7_mapped": _MAPPED + "select source_table, load_seq, v as typed, case when ties = 1 then canon_value else 'unmatched' end as canon_value, case when ties = 1 then dist end::int as distance from t join d using (list_name, v) left join c using (list_name, v)",
+    "p7_candidates": _MAPPED + ", w1 as (select list_name, v, min(o) as o from m group by all) select source_table, load_seq, m.canon_value, min(m.dist)::int as distance from t join w1 using (list_name, v) join m using (list_name, v, o) group by all",
+    "p9_cleaned": _LEAKED + "select * from cleaned where removed > 0",
     "p9_found": f"with i as (select item_id, {_WORDS} as w from test_items), d as (select doc_id, {_WORDS} as w from documents), ig as (select distinct item_id, {_GRAMS} as g from i where len(w) >= 12), dg as (select doc_id, {_GRAMS} as g from d where len(w) >= 12) select distinct doc_id, item_id from dg join ig using (g)",
     "p10_found": "with g as (select distinct doc_id, hash(substr(text, i, 300)) as h from (select doc_id, text, unnest(range(1, length(text) - 298)) as i from documents where length(text) >= 300)), k as (select h from g group by 1 having count(*) > 1), s as (select g.* from g semi join k using (h)) select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from s a join s b using (h) where a.doc_id < b.doc_id",
     "p10_passages": f'with {_SHARED}, s as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as r from g semi join k using (h)) select doc_id, (min(i) - 1)::int as "start", (max(i) + 299)::int as "end" from s group by doc_id, r',

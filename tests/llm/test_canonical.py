@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evidloom.llm import canonical as C
 
@@ -60,3 +61,35 @@ def test_operator(spark):
     assert got == [(1, "open", 0), (1, "open", 0), (4, "open", 0), (5, "unmatched", None)]
     assert {r.canon_value for r in C.map_values(df, "v", ref.limit(0), ["load_seq"]).collect()} == {"unmatched"}
     assert C.map_values(df.limit(0), "v", ref, ["load_seq"]).count() == 0
+
+
+def test_all_entries_within_distance_come_out(spark):
+    ref = spark.createDataFrame([("cast",), ("cart",), ("carton",)], "canon_value string")
+    df = spark.createDataFrame([(1, "caxt"), (2, "cart"), (3, "zzzz")], "load_seq long, v string")
+    got = {r.load_seq: (r.canon_value, [(c.distance, c.entry) for c in r.candidates]) for r in C.map_values(df, "v", ref, ["load_seq"]).collect()}
+    assert got == {1: ("unmatched", [(1, "cart"), (1, "cast")]), 2: ("cart", [(0, "cart"), (1, "cast"), (2, "carton")]), 3: ("unmatched", [])}
+
+
+def test_aliases_are_paths_too(spark):
+    ref = spark.createDataFrame([("open", "Offen"), ("done", "Fertig")], "canon_value string, label string")
+    aliases = spark.createDataFrame([("done", "signed off"), ("open", "to be looked at"), (None, "x")], "canon_value string, alias string")
+    df = spark.createDataFrame([(1, "Signed of"), (2, "TO BE LOOKED-AT"), (3, "offen"), (4, "fertig")], "load_seq long, v string")
+    for size in (50_000, 2):
+        assert {r.load_seq: r.canon_value for r in C.map_values(df, "v", ref, ["load_seq"], aliases, size).collect()} == {1: "done", 2: "open", 3: "open", 4: "done"}
+
+
+def test_a_list_longer_than_a_block(spark):
+    names = spark.range(60_000).selectExpr("concat('E', left(sha2(string(id), 256), 14)) as canon_value")
+    some = [r[0] for r in names.limit(300).collect()]
+    rows = [(k, v.upper() if k % 3 == 0 else v[:9] + v[10:] if k % 3 == 1 else "nothing like " + v[6:8]) for k, v in enumerate(some)] + [(1000 + k, some[0]) for k in range(300)]
+    df = spark.createDataFrame(rows, "load_seq long, v string")
+    got = {r.load_seq: r.canon_value for r in C.map_values(df, "v", names, ["load_seq"]).collect()}
+    assert got == {k: some[k] if k < 1000 and k % 3 < 2 else some[0] if k >= 1000 else "unmatched" for k, _ in rows}
+
+
+def test_blocks_give_what_one_trie_gives(spark):
+    ref = spark.createDataFrame([(v, (labels + [None, None])[0], (labels + [None, None])[1]) for v, labels in ENTRIES], "canon_value string, a string, b string")
+    typed = ["Open", "Opn", "geprueft", "status: gEPRÜFT", "approve", "Approvei th changes", "???", "lunch", "Not applicab.", "open, reviewed"]
+    df = spark.createDataFrame(list(enumerate(typed)), "load_seq long, v string")
+    one, many = ({tuple(r) for r in C.map_values(df, "v", ref, ["load_seq"], block_paths=n).select("load_seq", "canon_value", "distance", F.to_json("candidates")).collect()} for n in (50_000, 3))
+    assert one == many
