@@ -80,8 +80,8 @@ def test_aliases_are_paths_too(spark):
 
 def test_a_list_longer_than_a_block(spark):
     names = spark.range(60_000).selectExpr("concat('E', left(sha2(string(id), 256), 14)) as canon_value")
-    some = [r[0] for r in names.limit(300).collect()]
-    rows = [(k, v.upper() if k % 3 == 0 else v[:9] + v[10:] if k % 3 == 1 else "nothing like " + v[6:8]) for k, v in enumerate(some)] + [(1000 + k, some[0]) for k in range(300)]
+    some = [r[0] for r in names.limit(30).collect()]
+    rows = [(k, v.upper() if k % 3 == 0 else v[:9] + v[10:] if k % 3 == 1 else "nothing like " + v[6:8]) for k, v in enumerate(some)] + [(1000 + k, some[0]) for k in range(100)]
     df = spark.createDataFrame(rows, "load_seq long, v string")
     got = {r.load_seq: r.canon_value for r in C.map_values(df, "v", names, ["load_seq"]).collect()}
     assert got == {k: some[k] if k < 1000 and k % 3 < 2 else some[0] if k >= 1000 else "unmatched" for k, _ in rows}
