@@ -45,13 +45,13 @@ def hot_values(rows: DataFrame, column: str, least: int = HOT_ROWS, most: int =
 
 def spread_join(many: DataFrame, one: DataFrame, on: list[str], by: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """many.join(one, on, how), the rows of hot keys dealt to several tasks by a hash of their columns `by`; the rows of
-    `one` with such a key are repeated for each of them. hot: hot_of() or hot_keys() of `many`."""
+    `one` with such a key are repeated for each of them. hot: hot_of() or hot_keys() of `many`, by all of `on` or some."""
     if hot is None:
         return many.join(one, on, how)
-    marks = F.broadcast(hot)
+    marks, keys = F.broadcast(hot), [c for c in hot.columns if c != "_parts"]
     part = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_parts")), F.lit(0))
-    left = many.join(marks, on, "left").withColumn("_part", part).drop("_parts")
-    right = one.join(marks, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    left = many.join(marks, keys, "left").withColumn("_part", part).drop("_parts")
+    right = one.join(marks, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return left.join(right, [*on, "_part"], how).drop("_part")
 
 

@@ -20,7 +20,7 @@ def instants(spark: SparkSession, sf: str) -> DataFrame:
         part = table(spark, sf, name).select(F.lit(name).alias("source_table"), "load_seq", "client_id", F.col(column).alias("raw_time"))
         rows = part if rows is None else rows.unionByName(part)
     clients = table(spark, sf, "clients").select("client_id", "home_zone", "date_order")
-    return normalize_timestamps(rows.join(clients, "client_id", "left"), "raw_time", "home_zone", "date_order")
+    return normalize_timestamps(rows.join(clients, "client_id", "left"), "raw_time", "home_zone", "date_order", source="source_table")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,6 +132,8 @@ def _form(k: int) -> str:
 
 
 _ABBREVIATED = ", ".join(f"('{name}', {minutes})" for name, minutes in ABBREVIATIONS.items())
+#: Abbreviations of several meanings, where the client's zone settles which.
+_AT_HOME = "('EST', 'America/New_York', -300), ('BST', 'Europe/London', 60), ('NST', 'America/St_Johns', -210), ('IST', 'Asia/Kolkata', 330)"
 _INSTANTS_SQL = f"""
 with r as (
   select 'review_items' as source_table, load_seq, client_id, reviewed_at as raw from review_items union all select 'cases', load_seq, client_id, reviewed_at from cases
@@ -141,8 +143,8 @@ f as ({" union all ".join(_form(k) for k in range(len(_FORMS_SQL)))}),
 o as (select *, regexp_extract(rest, '^\\s*(?:([AaPp][Mm])\\b)?\\s*(?:Uhr)?\\s*([Zz]|[+-]\\d{{2}}:?\\d{{2}})?\\s*(?:\\[?([A-Za-z]+(?:[/_+-][A-Za-z0-9_]+)+|[A-Za-z]{{2,5}})\\]?)?\\s*$', ['half', 'off', 'zone']) as z
   from f where regexp_full_match(rest, '\\s*(?:([AaPp][Mm])\\b)?\\s*(?:Uhr)?\\s*([Zz]|[+-]\\d{{2}}:?\\d{{2}})?\\s*(?:\\[?([A-Za-z]+(?:[/_+-][A-Za-z0-9_]+)+|[A-Za-z]{{2,5}})\\]?)?\\s*')),
 w as (select *, try_cast(printf('%04d-%02d-%02d %02d:%02d:%02d', y, mo, d, case when z.half = '' then h when h between 1 and 12 then h % 12 + 12 * (lower(z.half) = 'pm')::int else 99 end, mi, s) as timestamp) as wall from o),
-x as (select w.*, b.minutes, case when z.off = '' then null when lower(z.off) = 'z' then 0 else (left(z.off, 1) || '1')::int * (substr(z.off, 2, 2)::int * 60 + right(z.off, 2)::int) end as east, case when contains(z.zone, '/') then z.zone when z.zone = '' then home_zone end as tz
-  from w left join (select * from (values {_ABBREVIATED}) as b(name, minutes)) b on b.name = upper(z.zone) where wall is not null and (wd = '' or wd = lower(strftime(wall, '%a')))),
+x as (select w.*, coalesce(b.minutes, m.minutes) as minutes, case when z.off = '' then null when lower(z.off) = 'z' then 0 else (left(z.off, 1) || '1')::int * (substr(z.off, 2, 2)::int * 60 + right(z.off, 2)::int) end as east, case when contains(z.zone, '/') then z.zone when z.zone = '' then home_zone end as tz
+  from w left join (select * from (values {_ABBREVIATED}) as b(name, minutes)) b on b.name = upper(z.zone) left join (select * from (values {_AT_HOME}) as m(name, home, minutes)) m on m.name = upper(z.zone) and m.home = w.home_zone where wall is not null and (wd = '' or wd = lower(strftime(wall, '%a')))),
 y as (select *, case when east is null and minutes is null and tz is not null then timezone(tz, wall) end as u from x),
 i as (
   select source_table, load_seq, raw, case when east is not null then epoch(wall)::bigint - 60 * east when minutes is not null then epoch(wall)::bigint - 60 * minutes
@@ -150,8 +152,21 @@ i as (
   union all select source_table, load_seq, raw, try_cast(v as bigint) // case length(v) when 10 then 1 else 1000 end from v where regexp_full_match(v, '[0-9]{{10}}|[0-9]{{13}}')
 )
 """
+# Why a value denotes no instant, in the order of the checks.
+_DATES_SQL = r"\d{4}-\d{1,2}-\d{1,2}|\d{8}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
+_VERDICTS_SQL = (
+    _INSTANTS_SQL
+    + f"""
+, a as (
+  select r.source_table, r.load_seq, case when {_TRIM % "coalesce(r.raw, '')"} = '' then 'blank' when i.utc_second is not null then 'instant' when regexp_full_match({_TRIM % "r.raw"}, '{_DATES_SQL}') then 'date_only'
+    when o.load_seq is null then 'unparsed' when w.wall is null or x.load_seq is null then 'impossible' when y.tz is null then 'no_zone' when timezone(y.tz, y.u) <> y.wall then 'local_time_skipped' else 'local_time_repeats' end as verdict
+  from r left join i using (source_table, load_seq) left join o using (source_table, load_seq) left join w using (source_table, load_seq) left join x using (source_table, load_seq) left join y using (source_table, load_seq)
+)
+"""
+)
 
 SQL = {
+    "p1_verdicts": _VERDICTS_SQL + "select source_table, verdict, count(*) as n from a group by 1, 2",
     "p1_found": _INSTANTS_SQL + f"select source_table, load_seq, utc_second from i where utc_second is not null and not regexp_full_match(raw, '{ISO_UTC[1:-1]}')",
     "p4_loaded": _ROWS_SQL + "select line_no, batch_name, " + ", ".join(f"{_BARE % ((_NTH % k,) * 4)} as {name}" for k, name in enumerate(REVIEW_FIELDS)) + " from r join review_lines using (line_no) where reason is null",
     "p4_found": _ROWS_SQL + "select line_no, reason from r where reason is not null",

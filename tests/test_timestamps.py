@@ -35,6 +35,29 @@ BERLIN, NEW_YORK = "Europe/Berlin", "America/New_York"
         ("2024-10-27 02:47:37 CEST", BERLIN, "dmy", at(2024, 10, 27, 0, 47, 37)),
         ("2024-10-27 02:47:37 CET", BERLIN, "dmy", at(2024, 10, 27, 1, 47, 37)),
         ("2025-04-09T15:07", BERLIN, "dmy", at(2025, 4, 9, 13, 7)),
+        ("2024-01-15 10:00 CST", "Asia/Shanghai", None, at(2024, 1, 15, 2)),
+        ("2024-01-15 10:00 CST", "America/Chicago", None, at(2024, 1, 15, 16)),
+        ("2024-07-15 10:00 BST", "Europe/London", None, at(2024, 7, 15, 9)),
+        ("2024-01-15 10:00 IST", "Asia/Kolkata", None, at(2024, 1, 15, 4, 30)),
+        ("2024-01-15 10:00 CET", NEW_YORK, None, at(2024, 1, 15, 9)),
+        ("2024/01/15 10:00:00Z", None, None, at(2024, 1, 15, 10)),
+        ("Mon Jan 15 10:00:00 2024", BERLIN, None, at(2024, 1, 15, 9)),
+        ("Mon Jan 15 10:00:00 UTC 2024", None, None, at(2024, 1, 15, 10)),
+        ("Jan 15 2024 10:00", BERLIN, None, at(2024, 1, 15, 9)),
+        ("15-Jan-2024 10:00", BERLIN, None, at(2024, 1, 15, 9)),
+        ("20240115100000", BERLIN, None, at(2024, 1, 15, 9)),
+        ("15.01.24 10:00", BERLIN, None, at(2024, 1, 15, 9)),
+        ("01/15/24 10:00", BERLIN, "mdy", at(2024, 1, 15, 9)),
+        ("Monday, 15 January 2024 10:00 UTC", None, None, at(2024, 1, 15, 10)),
+        ("Montag, 15. Januar 2024 um 10:00 Uhr", BERLIN, None, at(2024, 1, 15, 9)),
+        ("January 15th, 2024 at 10:00 AM UTC", None, None, at(2024, 1, 15, 10)),
+        ("2024-01-15 10:00 UTC+2", None, None, at(2024, 1, 15, 8)),
+        ("2024-01-15 10:00 GMT-05:30", None, None, at(2024, 1, 15, 15, 30)),
+        ("987654321", None, None, 987654321),
+        ("-1234567890", None, None, -1234567890),
+        ("1687127670.25", None, None, 1687127670),
+        ("-1687127670.25", None, None, -1687127671),
+        ("2024-01-15T10:00:00.1234567890Z", None, None, at(2024, 1, 15, 10)),
     ],
 )
 def test_instants(raw, zone, order, want):
@@ -56,6 +79,14 @@ def test_instants(raw, zone, order, want):
         ("2024-10-27T02:18:33", None, "no_zone"),
         ("2025-06-1?T10:00:00Z", BERLIN, "unparsed"),
         ("yesterday", BERLIN, "unparsed"),
+        ("2024-01-15 10:00 BST", "Asia/Dhaka", "zone_ambiguous"),
+        ("2024-01-15 10:00 CST", BERLIN, "zone_ambiguous"),
+        ("2024-01-15 10:00 EST", None, "zone_ambiguous"),
+        ("Tue Jan 15 10:00:00 2024", BERLIN, "impossible"),
+        ("15-Jan-2024", BERLIN, "date_only"),
+        ("20241315100000", BERLIN, "impossible"),
+        ("12345", BERLIN, "unparsed"),
+        ("1716132739487.5", BERLIN, "unparsed"),
     ],
 )
 def test_no_instant(raw, zone, verdict):
@@ -71,8 +102,22 @@ def test_operator_keeps_rows_and_dictionary_grows(spark, tmp_path):
     size = spark.read.parquet(path).count()
     normalize_timestamps(rows, "t", "z", "o", path).count()
     assert spark.read.parquet(path).count() == size == 2
-    more = spark.createDataFrame([("1687127670", None, None)], "raw string, home_zone string, date_order string")
-    assert extend_dictionary(more, path).count() == 3
+    more = spark.createDataFrame([("s", "1687127670", None, None)], "source string, raw string, home_zone string, date_order string")
+    assert extend_dictionary(more, path).count() == 1 and spark.read.parquet(path).count() == 3
+    assert extend_dictionary(more, path).count() == 1 and spark.read.parquet(path).count() == 3
+
+
+def test_a_value_in_a_third_of_all_rows(spark, tmp_path):
+    rows = spark.range(90_000).selectExpr("id", "if(id % 3 = 0, '2024-01-09T15:55:01', string(1600000000 + id % 50)) as t", "'Europe/Berlin' as z", "'dmy' as o", "'s' as source_table")
+    got = normalize_timestamps(rows, "t", "z", "o", f"file://{tmp_path}/hot", "source_table")
+    assert got.groupBy().agg({"utc_second": "sum"}).first()[0] == 30_000 * at(2024, 1, 9, 14, 55, 1) + sum(1600000000 + i % 50 for i in range(90_000) if i % 3)
+    assert got.count() == 90_000 and "Generate" in got._jdf.queryExecution().simpleString()
+
+
+def test_the_dictionary_outlives_the_application(spark):
+    from evidloom.operators.timestamps import PARSER_VERSION, dictionary_path, zone_rules
+
+    assert spark.sparkContext.applicationId not in dictionary_path(spark) and f"parser{PARSER_VERSION}" in dictionary_path(spark) and zone_rules() in dictionary_path(spark)
 
 
 def test_empty_table(spark, tmp_path):
