@@ -6,7 +6,7 @@ import ipaddress
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,11 +18,14 @@ PHONE = r"(?U)((?<![\w])(?:\+?\d[\d\s()./-]{6,}\d)(?![\w]))"
 IBAN = r"(?iU)(\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]){11,30}\b)"
 IPV4 = r"(?U)(\b(?:\d{1,3}\.){3}\d{1,3}\b)"
 HOST = r"(?iU)(\b[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9][a-z0-9-]{0,62})*\.(?:corp|internal|intranet|lan|local)\b)"
-SECRET = r"""(?iU)(\b(api[_-]?key|authorization|cookie|password|passwd|refresh[_-]?token|secret|token|access[_-]?token)\b\s*[:=]\s*(['"]?[^\s'"`]+['"]?))"""
+TOKEN_KEYS = ("api[_-]?key", "authorization", "cookie", "refresh[_-]?token", "token", "access[_-]?token")
+SECRET_KEYS = ("password", "passwd", "secret")
+_ASSIGNED = r"""(['"]?[^\s'"`]+['"]?)"""
+SECRET = rf"(?iU)(\b({'|'.join((*TOKEN_KEYS, *SECRET_KEYS))})\b\s*[:=]\s*{_ASSIGNED})"
 TOKEN_VALUE = r"(?iU)(\b(?:ghp|github_pat|glpat|sk|xox[baprs])[-_][A-Za-z0-9_=-]{12,}\b)"
 KEYWORD = r"(?iU)(\b(?:api[_-]?key|authorization|cookie|password|secret|token)\b)"
 
-MAX_LINE = 4000
+MAX_LINE = 4000  # characters of a line that the JVM's patterns see; longer lines are read in stretches of that size
 SEVERITIES = {"secret": "high", "token": "high", "email": "medium", "phone": "medium", "iban": "medium", "private_network": "low", "keyword": "medium"}
 
 
@@ -61,10 +64,7 @@ def _all(line: Column, pattern: str) -> Column:
     return F.regexp_extract_all(line, F.lit(pattern), 1)
 
 
-def line_findings(line: Column) -> Column:
-    """array<struct<type, severity, match>> of one line, in the order of the detectors. A keyword counts only outside
-    of the assignments of secrets: the lines' keywords are sought in what is left without those."""
-    short = F.left(line, F.lit(MAX_LINE))
+def _short_findings(short: Column) -> Column:
     keys = F.regexp_extract_all(short, F.lit(SECRET), 2)
     values = F.regexp_extract_all(short, F.lit(SECRET), 3)
 
@@ -85,12 +85,11 @@ def line_findings(line: Column) -> Column:
 
 
 def has_sensitive(text: Column) -> Column:
-    """Whether any detector finds something in the first MAX_LINE characters; false for null and blank text."""
-    short = F.left(text, F.lit(MAX_LINE))
+    """Whether any detector finds something in the whole text; false for null and blank text."""
     simple = F.lit(False)
     for pattern in (TOKEN_VALUE, EMAIL, IBAN, HOST, KEYWORD, SECRET):
-        simple = simple | short.rlike(pattern)
-    return F.coalesce(simple | F.exists(_all(short, PHONE), plausible_phone) | F.exists(_all(short, IPV4), private_ip), F.lit(False))
+        simple = simple | text.rlike(pattern)
+    return F.coalesce(simple | F.exists(_all(text, PHONE), plausible_phone) | F.exists(_all(text, IPV4), private_ip), F.lit(False))
 
 
 def _conditional(text: Column, pattern: str, test, mark: str) -> Column:
@@ -104,9 +103,9 @@ def _conditional(text: Column, pattern: str, test, mark: str) -> Column:
 def mask(text: Column) -> Column:
     """Every sensitive value as [type:redacted]. The order matters: secrets, phones, private addresses, tokens, mail,
     accounts, hosts; a lone keyword is no value and stays."""
-    token_keys = r"(?iU)\b(api[_-]?key|authorization|cookie|refresh[_-]?token|token|access[_-]?token)\b\s*[:=]\s*(['\"]?[^\s'\"`]+['\"]?)"
-    other_keys = r"(?iU)\b(password|passwd|secret)\b\s*[:=]\s*(['\"]?[^\s'\"`]+['\"]?)"
-    out = F.regexp_replace(F.regexp_replace(text, token_keys, "$1=[token:redacted]"), other_keys, "$1=[secret:redacted]")
+    out = text
+    for keys, mark in ((TOKEN_KEYS, "token"), (SECRET_KEYS, "secret")):
+        out = F.regexp_replace(out, rf"(?iU)\b({'|'.join(keys)})\b\s*[:=]\s*{_ASSIGNED}", f"$1=[{mark}:redacted]")
     out = _conditional(out, PHONE, plausible_phone, "[phone:redacted]")
     out = _conditional(out, IPV4, private_ip, "[private_network:redacted]")
     for pattern, mark in ((TOKEN_VALUE, "token"), (EMAIL, "email"), (IBAN, "iban"), (HOST, "private_network")):
@@ -115,15 +114,14 @@ def mask(text: Column) -> Column:
 
 
 def safe_text(text: Column, most: int, keep_date: bool = False) -> Column:
-    """Collapsed, cut to `most` characters and masked where sensitive; keep_date spares a leading ISO date, which looks
+    """Collapsed, masked where sensitive and cut to `most` characters in that order, so that no value is torn and missed; keep_date spares a leading ISO date, which looks
     like a telephone number."""
-    short = F.left(collapse(text), F.lit(most))
-    masked = F.when(has_sensitive(short), mask(short)).otherwise(short)
+    whole = collapse(text)
     if not keep_date:
-        return masked
-    rest = F.substring(short, F.lit(11), F.char_length(short))
-    date = short.rlike(r"^\d{4}-\d{2}-\d{2}")
-    return F.when(date, F.concat(F.left(short, F.lit(10)), F.when(has_sensitive(rest), mask(rest)).otherwise(rest))).otherwise(masked)
+        return F.left(mask(whole), F.lit(most))
+    date = whole.rlike(r"^\d{4}-\d{2}-\d{2}")
+    rest = F.substring(whole, F.lit(11), F.char_length(whole))
+    return F.left(F.when(date, F.concat(F.left(whole, F.lit(10)), mask(rest))).otherwise(mask(whole)), F.lit(most))
 
 
 def snippet(line: Column, start: Column, end: Column, kind: Column, radius: int = 36, most: int = 160) -> Column:
@@ -149,6 +147,11 @@ _LONG_SECRET, _LONG_KEYWORD = _python(SECRET), _python(KEYWORD)
 _REACH = 600  # characters before and after a stretch that its matches may see
 
 
+def never_kept(value: str) -> bool:
+    """Whether a value holds an account number, a token or the assignment of a secret."""
+    return any(p.search(value) for p in (_python(IBAN), _python(TOKEN_VALUE), _LONG_SECRET))
+
+
 def _is_private(value: str) -> bool:
     try:
         return ipaddress.ip_address(value).is_private
@@ -181,15 +184,26 @@ def _long_findings(lines: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else [dict(zip(("type", "severity", "match"), f, strict=True)) for f in long_line(s)] for s in lines], dtype=object)
 
 
-def scan_lines(df: DataFrame, key: str, text: str, whole_lines: bool = False) -> DataFrame:
-    """(key, line, type, severity, match) of every finding of every line; null and empty texts have none. Of a line only
-    MAX_LINE characters are read, or with `whole_lines` all: longer ones then pass through Python."""
-    lines = df.select(key, F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("_i", "_line"))
-    found = line_findings(F.col("_line"))
-    if whole_lines:
-        long = F.char_length("_line") > MAX_LINE
-        found = F.when(long, _long_findings(F.when(long, F.col("_line")))).otherwise(found)
-    return lines.select(key, (F.col("_i") + 1).alias("line"), F.explode(found).alias("_f")).select(key, "line", "_f.type", "_f.severity", "_f.match")
+def line_findings(line: Column) -> Column:
+    """array<struct<type, severity, match>> of one whole line, in the order of the detectors. A keyword counts only outside
+    of the assignments of secrets: the lines' keywords are sought in what is left without those.
+
+    Lines of up to MAX_LINE characters stay in the JVM; only longer ones pass through Python, see long_line()."""
+    long = F.char_length(line) > MAX_LINE
+    return F.when(long, _long_findings(F.when(long, line))).otherwise(_short_findings(F.when(~long, line)))
+
+
+def scan_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, type, severity, match) of every finding of every line, whole lines; null and empty texts have none."""
+    lines = df.select(key, F.posexplode(F.split(F.col(text), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")).alias("_i", "_line"))
+    return lines.select(key, (F.col("_i") + 1).alias("line"), F.explode(line_findings(F.col("_line"))).alias("_f")).select(key, "line", "_f.type", "_f.severity", "_f.match")
+
+
+def listed(findings: DataFrame, key: str, most: int = 25) -> DataFrame:
+    """The first `most` findings of each document by line, severity and type, for display only; verdicts() counts all."""
+    rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    order = Window.partitionBy(key).orderBy(rank, "line", "type", "match")
+    return findings.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 
 
 def verdicts(findings: DataFrame, documents: DataFrame, key: str, strict: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,36 +26,53 @@ def classify_fields(df: DataFrame, name: str, value: str) -> DataFrame:
     digits = F.length(F.regexp_replace(v, r"\D", ""))
     ok = (
         F.when(v == "", F.lit(False))
-        .when(kind == "email", F.left(v, F.lit(200)).rlike(r"(?i)^[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\z"))
+        .when(kind == "email", v.rlike(r"(?i)^[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\z"))
         .when(kind == "phone", digits.between(7, 15))
-        .when(kind == "url", F.left(v, F.lit(300)).rlike(r"(?i)^https?://[^\s/]+\.[^\s]+\z"))
-        .when(kind == "identifier", F.left(v, F.lit(60)).rlike(r"^[A-Za-z0-9][A-Za-z0-9 ./_-]*\z"))
+        .when(kind == "url", v.rlike(r"(?i)^https?://[^\s/]+\.[^\s]+\z"))
+        .when(kind == "identifier", v.rlike(r"^[A-Za-z0-9][A-Za-z0-9 ./_-]*\z"))
         .otherwise(F.lit(True))
     )
     reason = F.when(kind.isNull(), "field_not_company_metadata").when(~ok, "declared_field_failed_validation").otherwise("declared_company_metadata")
     return df.withColumn("class_reason", reason).withColumn("field_class", F.when(reason == "declared_company_metadata", 1).otherwise(2))
 
 
-def _letters(index: int) -> str:
-    out, n = "", index + 1
-    while n > 0:
-        n, r = divmod(n - 1, 26)
-        out = chr(97 + r) + out
-    return out
+def _spelled(value: str) -> str:
+    """A pattern of a declared telephone number in whatever spacing: its digits with blanks and signs between them."""
+    digits = [c for c in value if c.isdecimal()]
+    lead = r"\+?" if value.lstrip().startswith("+") else ""
+    return rf"(?<![\w+]){lead}\(?{r'[ \t()./-]*'.join(digits)}(?!\w)"
+
+
+def keepable(value: str) -> bool:
+    """Whether a declared value may be kept at all: accounts and tokens never are."""
+    return not P.never_kept(value)
 
 
 def guard_text(text: Column, declared: list[str]) -> Column:
     """(text, masked_types): sensitive values masked, except the declared ones, which are few and known to the driver.
 
-    A declared value is swapped for a harmless word, the text is masked, and the word is swapped back; longer values go
-    first, so that one inside another does not tear it.
+    A declared value is swapped for a harmless word, the whole text is masked, and the word is swapped back; longer values
+    go first, so that one inside another does not tear it. A declared telephone number (7 to 15 digits and signs only) is
+    found in any spacing and kept as it stands in the text. A text that holds the sign KEPT keeps nothing. Account numbers and tokens are masked even if declared.
     """
-    ordered = sorted({d for d in declared if d}, key=lambda d: (-len(d), d))
-    swapped = text
-    for i, value in enumerate(ordered):
-        swapped = F.replace(swapped, F.lit(value), F.lit(f"keepword{_letters(i)}end"))
-    masked = F.when(P.has_sensitive(swapped), P.mask(swapped)).otherwise(swapped)
-    types = F.array_sort(F.array_distinct(F.regexp_extract_all(masked, F.lit(r"\[([a-z_]+):redacted\]"), 1)))
-    for i, value in enumerate(ordered):
-        masked = F.replace(masked, F.lit(f"keepword{_letters(i)}end"), F.lit(value))
-    return F.struct(masked.alias("text"), types.alias("masked_types"))
+    ordered = sorted({d for d in declared if d and keepable(d)}, key=lambda d: (-len(d), d))
+    numbers = [d for d in ordered if re.fullmatch(r"[+\d\s()./-]+", d) and 7 <= sum(c.isdecimal() for c in d) <= 15]
+    patterns = [_spelled(d) if d in numbers else f"\\Q{d}\\E" for d in ordered if "\\E" not in d]
+    if not patterns:
+        masked = P.mask(text)
+        return F.struct(masked.alias("text"), _types(masked).alias("masked_types"))
+    pattern = f"({'|'.join(patterns)})"
+    kept = F.regexp_extract_all(text, F.lit(pattern), 1)
+    # what is kept is one sign that no detector knows, between words, so that its neighbours are seen as they were
+    masked = P.mask(F.when(text.contains(KEPT), text).otherwise(F.regexp_replace(text, pattern, KEPT)))
+    parts = F.split(masked, KEPT, -1)
+    back = F.array_join(F.zip_with(parts, F.concat(kept, F.array(F.lit(""))), lambda p, k: F.concat(p, F.coalesce(k, F.lit("")))), "")
+    whole = F.when(text.contains(KEPT), masked).otherwise(back)
+    return F.struct(whole.alias("text"), _types(masked).alias("masked_types"))
+
+
+KEPT = "\ue001"  # stands for a value that is kept
+
+
+def _types(masked: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(masked, F.lit(r"\[([a-z_]+):redacted\]"), 1)))

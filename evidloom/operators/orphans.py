@@ -1,10 +1,15 @@
-"""References to records that did not exist, by a skew-aware split of the referencing keys."""
+"""References to records that did not exist, by a skew-aware split of the referencing keys.
+
+References are pre-aggregated per key and period; these groups are judged against the lifetimes of the targets, heavy keys
+by broadcast, all others by a shuffled join. Counts come from the groups; rows are fetched for the broken ones only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidloom.operators.skew import HOT_ROWS, hot_of, spread_join
 from evidloom.session import materialize
 
 REF_COLUMNS = ("ref_table", "load_seq", "recorded_at", "ref_value")
@@ -32,41 +37,86 @@ def lifetimes(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("ref_value")).agg(F.min("recorded_at").alias("first_at"), gone.alias("gone_at"))
 
 
+def _state(n: Column, earliest: Column, latest: Column) -> Column:
+    """`ok`, `broken` or `mixed`: what holds for all references to a key that were recorded between two times.
+
+    A group in which some row has no time is broken where no target exists, else mixed.
+    """
+    first, gone = F.col("first_at"), F.col("gone_at")
+    whole = F.col("timed") == n
+    return (
+        F.when(first.isNull(), "broken")
+        .when(whole & ((first > latest) | F.coalesce(gone <= earliest, F.lit(False))), "broken")
+        .when((first <= F.coalesce(earliest, first)) & F.coalesce(gone > F.coalesce(latest, gone - F.expr("interval 1 microsecond")), F.lit(True)), "ok")
+        .otherwise("mixed")
+    )
+
+
 def _broken() -> Column:
     at = F.col("recorded_at")
     return F.col("first_at").isNull() | (F.col("first_at") > at) | F.coalesce(F.col("gone_at") <= at, F.lit(False))
 
 
-def preaggregate(refs: DataFrame) -> DataFrame:
-    """Number of references per key and period: one small row for each, combined before the shuffle."""
-    return refs.groupBy("ref_value", F.date_format("recorded_at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"))
+def period(at: str = "recorded_at") -> Column:
+    return F.coalesce(F.date_format(at, "yyyy-MM"), F.lit(""))
 
 
-def heavy_keys(refs: DataFrame, least: int = 50_000, most_keys: int = 10_000) -> DataFrame:
-    """The keys with so many references that one task should not hold them.
+def preaggregate(refs: DataFrame) -> DataFrame:
+    """(ref_table, ref_value, period, n, timed, earliest, latest): one small row for each key and month, combined before the
+    shuffle."""
+    return refs.groupBy("ref_table", "ref_value", period().alias("period")).agg(F.count("*").alias("n"), F.count("recorded_at").alias("timed"), F.min("recorded_at").alias("earliest"), F.max("recorded_at").alias("latest"))
 
-    The least count is at least `least` and a `most_keys`-th of all references, so no more than `most_keys` can be
-    heavy, whatever the input: that bounds what orphans() broadcasts to some hundred KB.
-    """
-    per_key = preaggregate(refs).groupBy("ref_value").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    total = refs.agg(F.count("*").alias("total"))
-    return per_key.join(F.broadcast(total), F.col("n") * most_keys >= F.col("total")).select("ref_value")
 
+def judged(refs: DataFrame, targets: DataFrame, least: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """((ref_table, ref_value, period, n, first_at, gone_at, state), heavy keys or None): the groups of preaggregate() that
+    are not wholly sound.
 
-def orphans(refs: DataFrame, targets: DataFrame, least: int = 50_000) -> DataFrame:
+    Keys with very many references, MOST_HOT at most by construction, are checked by a broadcast of their lifetimes; the
+    groups of all others meet the lifetimes in a shuffled join. Both counts are united. Written to shared storage.
+    """
+    groups = materialize(preaggregate(refs), "reference-groups")
+    heavy = hot_of(groups.groupBy("ref_value").agg(F.sum("n").alias("n")), ["ref_value"], "n", least)
+    rest = groups
+    checked = None
+    if heavy is not None:
+        keys = heavy.select("ref_value")
+        lives = F.broadcast(keys.join(targets, "ref_value"))
+        checked = groups.join(F.broadcast(keys), "ref_value", "left_semi").join(lives, "ref_value", "left")
+        rest = groups.join(F.broadcast(keys), "ref_value", "left_anti")
+    shuffled = rest.join(targets, "ref_value", "left")
+    both = shuffled if checked is None else checked.unionByName(shuffled)
+    state = both.withColumn("state", _state(F.col("n"), F.col("earliest"), F.col("latest"))).where("state <> 'ok'")
+    return materialize(state.select("ref_table", "ref_value", "period", "n", "first_at", "gone_at", "state"), "reference-states"), heavy
+
+
+def _rows(refs: DataFrame, groups: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """The references of groups, each with its target's lifetime, if it is broken itself."""
+    on = ["ref_table", "ref_value", "period"]
+    dated = refs.withColumn("period", period())
+    found = spread_join(dated, groups.select(*on, "first_at", "gone_at"), on, ["load_seq"], heavy)
+    return found.where(_broken())
+
+
+def orphans(refs: DataFrame, targets: DataFrame, least: int = HOT_ROWS) -> DataFrame:
     """The references (REF_COLUMNS) whose target had not been recorded, or had been deleted, at `recorded_at`.
 
-    targets: lifetimes() of the referenced table. Heavy keys, at most 10,000, are looked up by a broadcast of their
-    lifetimes, so their rows stay where they are; the rows of all other keys meet their targets in a shuffled join.
-    A row without recorded_at counts as broken only if no such target exists at all. Result order is undefined.
+    targets: lifetimes() of the referenced table. References are judged by key and month first, see judged(); only those
+    of groups that are not wholly sound are then looked up, the rows of heavy keys dealt to several tasks. A row without
+    recorded_at counts as broken only if no such target exists at all. Result order is undefined.
     """
-    heavy = materialize(heavy_keys(refs, least), "heavy-keys")
-    heavy_life = F.broadcast(heavy.join(targets, "ref_value", "left"))
-    hot = refs.join(heavy_life, "ref_value").where(_broken())
-    cold = refs.join(F.broadcast(heavy), "ref_value", "left_anti").join(targets, "ref_value", "left").where(_broken())
-    return hot.select(*REF_COLUMNS).unionByName(cold.select(*REF_COLUMNS))
+    groups, heavy = judged(refs, targets, least)
+    return _rows(refs, groups, heavy).select(*REF_COLUMNS)
 
 
-def orphan_counts(broken: DataFrame) -> DataFrame:
-    """Broken references per table and month (UTC)."""
-    return broken.groupBy("ref_table", F.date_format("recorded_at", "yyyy-MM").alias("period")).agg(F.count("*").alias("broken"), F.countDistinct("ref_value").alias("missing_keys"))
+def orphan_counts(refs: DataFrame, targets: DataFrame, least: int = HOT_ROWS) -> DataFrame:
+    """(ref_table, period, broken, missing_keys): broken references and their keys per table and month (UTC), the month
+    being null where recorded_at is.
+
+    Groups of one key and month that are broken as a whole count by their size; rows are looked at only where a target
+    came or went in the month.
+    """
+    groups, heavy = judged(refs, targets, least)
+    whole = groups.where("state = 'broken'").select("ref_table", "ref_value", "period", "n")
+    mixed = _rows(refs, groups.where("state = 'mixed'"), heavy).groupBy("ref_table", "ref_value", "period").agg(F.count("*").alias("n"))
+    counted = whole.unionByName(mixed).groupBy("ref_table", F.nullif("period", F.lit("")).alias("period"))
+    return counted.agg(F.sum("n").alias("broken"), F.countDistinct("ref_value").alias("missing_keys"))

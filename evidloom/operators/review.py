@@ -19,23 +19,29 @@ def review_state(raw: Column, states=STATES) -> Column:
     return F.struct(F.when(known, low).otherwise(F.lit("open")).alias("state"), (~known & (low != "")).alias("unknown"))
 
 
+# Credentials, and paths that name a user or hold settings.
 _AUTH = r"(?i)\b(?:authorization|bearer|cookie)\b\s*:?\s*(?:Bearer\s+)?[A-Za-z0-9._~+/=-]{4,}"
 _DOTENV = r"(?i)(^|[\\/])\.env(?:$|[.\s\\/])"
 _PRIVATE_PATH = r"(?i)(?:[A-Z]:\\Users\\[^\s]+|/(?:home|Users|root)/[^\s]+)"
 
 
-def clean_note(raw: Column, most: int = 4000) -> Column:
-    """(note, changed): one line, bounded, sensitive values, credentials and private paths masked, formulas guarded."""
-    single = TX.collapse(F.left(F.coalesce(raw, F.lit("")), F.lit(most)))
+MOST_NOTE = 4000  # characters of a note that clean_note() keeps by default
+
+
+def clean_note(raw: Column, most: int | None = MOST_NOTE) -> Column:
+    """(note, changed, cut): one line, sensitive values, credentials and private paths masked in all of it, then cut to
+    `most` characters and formulas guarded. cut says whether something is missing; with `most` None nothing is."""
+    single = TX.collapse(F.coalesce(raw, F.lit("")))
     masked = P.mask(single)
     for pattern, mark in ((_AUTH, "[token:redacted]"), (_DOTENV, "[path:redacted]"), (_PRIVATE_PATH, "[path:redacted]")):
         masked = F.regexp_replace(masked, pattern, mark)
-    safe = TX.guard_formula(masked)
-    return F.struct(safe.alias("note"), (safe != single).alias("changed"))
+    cut = F.lit(False) if most is None else F.char_length(masked) > most
+    safe = TX.guard_formula(masked if most is None else F.left(masked, F.lit(most)))
+    return F.struct(safe.alias("note"), (safe != single).alias("changed"), cut.alias("cut"))
 
 
-def apply_reviews(findings: DataFrame, reviews: DataFrame, key: str = "finding_id") -> DataFrame:
-    """Findings with review_state and review_note of their review; findings without one are open.
+def apply_reviews(findings: DataFrame, reviews: DataFrame, key: str = "finding_id", most: int | None = MOST_NOTE) -> DataFrame:
+    """Findings with review_state and review_note of their review; findings without one are open. most: see clean_note().
 
     Of several reviews of one finding the one with the largest `load_seq` counts. Reviews of unknown findings are given
     by unknown_reviews(). A finding that a third of the reviews name is pre-aggregated before the join.
@@ -43,7 +49,7 @@ def apply_reviews(findings: DataFrame, reviews: DataFrame, key: str = "finding_i
     last = reviews.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct("review_status", "review_note"), "load_seq").alias("_r"))
     joined = findings.join(last, key, "left")
     state = review_state(F.col("_r.review_status"))["state"]
-    return joined.withColumn("review_state", state).withColumn("review_note", clean_note(F.col("_r.review_note"))["note"]).drop("_r")
+    return joined.withColumn("review_state", state).withColumn("review_note", clean_note(F.col("_r.review_note"), most)["note"]).drop("_r")
 
 
 def unknown_reviews(reviews: DataFrame, findings: DataFrame, key: str = "finding_id") -> DataFrame:

@@ -15,12 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidloom.operators.skew import hot_keys, spread_join
+
 # The columns of a review file, in order.
 REVIEW_FIELDS = (
     "finding_id", "category", "control_area", "document", "evidence_level", "status", "finding",
     "recommended_manual_check", "source_reference", "review_status", "review_note", "reviewer", "reviewed_at",
 )
 
+MOST_STATUSES = 10_000  # values that are broadcast
+
 START, BARE, QUOTED, CLOSED, BROKEN = range(5)  # states: at a field's start, in a bare field, in quotes, after a quote in quotes, after an error
 QUOTE, COMMA, END, OTHER = range(4)  # classes of bytes; END separates records and is no byte of theirs
 _T = np.empty((4, 5), np.uint8)
@@ -104,7 +108,8 @@ def parse_records(lines: DataFrame, raw: str, fields: Sequence[str], keep: Seque
     """`keep` columns, one string column per field, `reason` and `error_offset` (bytes) for every row of `lines`.
 
     reason is null for a loadable row, else `quoting` or `column_count`; then the fields are null. A null record has no
-    field at all and gets `column_count`; an empty one has a single empty field. Other columns of `lines` are ignored,
+    field at all and gets `column_count`; an empty one has a single empty field. Bytes that are not UTF-8, which a string
+    column should not hold, become the replacement character. Other columns of `lines` are ignored,
     so clashing names do no harm.
     """
     kept = lines.select(*keep, F.col(raw).cast("binary").alias("_raw"))
@@ -127,12 +132,17 @@ def parse_records(lines: DataFrame, raw: str, fields: Sequence[str], keep: Seque
 def load_review_lines(lines: DataFrame, statuses: DataFrame) -> DataFrame:
     """Rows of review files (line_no, batch_name, raw_line) as columns, with the first reason why a row is invalid.
 
-    statuses: one column with the allowed values of review_status, a small list. Reasons, in this order: `quoting`,
+    statuses: one column with the allowed values of review_status; up to MOST_STATUSES of them are broadcast, a longer list
+    is joined with frequent values dealt to several tasks. Reasons, in this order: `quoting`,
     `column_count`, `finding_id`, `review_status`, `reviewed_at`. Repeated lines stay repeated.
     """
     parsed = parse_records(lines, "raw_line", REVIEW_FIELDS, ["line_no", "batch_name"])
     allowed = statuses.select(F.col(statuses.columns[0]).alias("_allowed")).where("_allowed is not null").distinct()
-    joined = parsed.join(F.broadcast(allowed), F.col("review_status") == F.col("_allowed"), "left")
+    if allowed.limit(MOST_STATUSES + 1).count() <= MOST_STATUSES:
+        joined = parsed.join(F.broadcast(allowed), F.col("review_status") == F.col("_allowed"), "left")
+    else:
+        named = allowed.select(F.col("_allowed").alias("review_status"), "_allowed")
+        joined = spread_join(parsed, named, ["review_status"], ["line_no"], hot_keys(parsed, ["review_status"]), "left").select(*parsed.columns, "_allowed")
     reason = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
         .when(~F.col("finding_id").rlike(r"^F-[0-9a-f]{12}\z"), "finding_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +47,23 @@ def p4_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return review_rows(spark, sf).where("reason is null").drop("reason", "error_offset")
 
 
-def broken_references(spark: SparkSession, sf: str) -> DataFrame:
+def references(spark: SparkSession, sf: str) -> list[tuple[DataFrame, DataFrame]]:
+    """The references of each of three tables with the lifetimes of their targets."""
     chunks, evidence, drafts = (table(spark, sf, t) for t in ("document_chunks", "evidence_record", "questionnaire_draft"))
-    pairs = (
+    return [
         (O.scalar_refs(chunks, "document_chunks", "document_id"), O.lifetimes(table(spark, sf, "documents"), "document_id")),
         (O.scalar_refs(evidence, "evidence_record", "source_finding_id"), O.lifetimes(table(spark, sf, "review_items"), "finding_id")),
         (O.array_refs(drafts, "questionnaire_draft", "evidence_refs"), O.lifetimes(evidence, "evidence_id")),
-    )
-    found = [O.orphans(refs, targets) for refs, targets in pairs]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    ]
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return broken_references(spark, sf).select("ref_table", F.date_format("recorded_at", "yyyy-MM").alias("period"), "load_seq", "ref_value")
+    found = reduce(DataFrame.unionByName, (O.orphans(refs, targets) for refs, targets in references(spark, sf)))
+    return found.select("ref_table", F.date_format("recorded_at", "yyyy-MM").alias("period"), "load_seq", "ref_value")
 
 
 def p5_orphan_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return O.orphan_counts(broken_references(spark, sf))
+    return reduce(DataFrame.unionByName, (O.orphan_counts(refs, targets) for refs, targets in references(spark, sf)))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_verdicts, p4_found, p4_loaded, p5_found, p5_orphan_counts)}

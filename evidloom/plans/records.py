@@ -68,7 +68,7 @@ def applied_reviews(spark, sf):
 
 
 def cleaned_review_notes(spark, sf):
-    done = V.apply_reviews(findings(spark, sf), table(spark, sf, "review_items"))
+    done = V.apply_reviews(findings(spark, sf), table(spark, sf, "review_items"), most=None)
     return done.select("load_seq", "review_note")
 
 
@@ -368,7 +368,7 @@ SQL = {
     "register_differences": "with r as (select *, row_number() over (partition by source_id order by recorded_at desc, load_seq desc) as n from manifest), a as (select * from r where n = 1), q as (select *, row_number() over (partition by source_id order by recorded_at desc, load_seq desc) as n from manifest where recorded_at < '2025-01-01 00:00:00+00'::timestamptz), b as (select * from q where n = 1), j as (select coalesce(a.source_id, b.source_id) as source_id, case when b.source_id is null then 'only_left' when a.source_id is null then 'only_right' when a.document_version is distinct from b.document_version or a.license_status is distinct from b.license_status then 'differs' end as problem from a full join b on a.source_id = b.source_id) select * from j where problem is not null",
     "unsafe_paths": "select doc_id, source_path from documents where source_path is not null and (regexp_matches(source_path, '^(/|\\\\|[A-Za-z]:)') or trim(source_path) = '' or len(list_filter(string_split(replace(source_path, '\\', '/'), '/'), lambda p: p = '..' or regexp_matches(p, '(?i)^(\\.env.*|.*(secret|password|credential|id_rsa|private[_-]?key).*|.*\\.(pem|key|p12|pfx|db|sqlite3?|log))$'))) > 0)",
     "url_checks": "select load_seq, case when not ok then 'FAIL' when not tr then 'FAIL' when file_type = 'csv' then 'WARN' else 'PASS' end as result, case when not ok then 'invalid_url' when not tr then 'not_official' when file_type = 'csv' then 'unreachable' when file_type = 'pdf' then 'redirect' else 'ok' end as reason from (select *, regexp_matches(public_url, '^https://[^\\s/]+(/\\S*)?$') as ok, regexp_matches(lower(regexp_extract(public_url, '^https://([^/:?#]+)', 1)), '\\.example$') as tr from manifest where public_url is not null)",
-    "field_classes": f"with f as (select load_seq, 'Website' as name, 'url' as kind, public_url as value from manifest union all select load_seq, 'company_name', 'freeform', publisher from manifest union all select load_seq, 'vat_id', 'identifier', source_id from manifest union all select load_seq, 'dpo_phone', 'phone', sha256 from manifest union all select load_seq, 'title', null, title from manifest), g as (select *, {K.collapse('coalesce(value, $$$$)')} as v from f), h as (select *, case when v = '' then false when kind = 'url' then regexp_matches(left(v, 300), '(?i)^https?://[^\\s/]+\\.[^\\s]+$') when kind = 'phone' then length(regexp_replace(v, '\\D', '', 'g')) between 7 and 15 when kind = 'identifier' then regexp_matches(left(v, 60), '^[A-Za-z0-9][A-Za-z0-9 ./_-]*$') else true end as ok from g) select load_seq, name, case when kind is null or not ok then 2 else 1 end as field_class, case when kind is null then 'field_not_company_metadata' when not ok then 'declared_field_failed_validation' else 'declared_company_metadata' end as class_reason from h",
+    "field_classes": f"with f as (select load_seq, 'Website' as name, 'url' as kind, public_url as value from manifest union all select load_seq, 'company_name', 'freeform', publisher from manifest union all select load_seq, 'vat_id', 'identifier', source_id from manifest union all select load_seq, 'dpo_phone', 'phone', sha256 from manifest union all select load_seq, 'title', null, title from manifest), g as (select *, {K.collapse('coalesce(value, $$$$)')} as v from f), h as (select *, case when v = '' then false when kind = 'url' then regexp_matches(v, '(?i)^https?://[^\\s/]+\\.[^\\s]+$') when kind = 'phone' then length(regexp_replace(v, '\\D', '', 'g')) between 7 and 15 when kind = 'identifier' then regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9 ./_-]*$') else true end as ok from g) select load_seq, name, case when kind is null or not ok then 2 else 1 end as field_class, case when kind is null then 'field_not_company_metadata' when not ok then 'declared_field_failed_validation' else 'declared_company_metadata' end as class_reason from h",
     "supplier_scores": "with l as (select l_suppkey, count(*) filter (l_returnflag = 'R') as r, count(*) filter (l_linestatus = 'O') as o, count(*) filter (l_quantity > 49) as g from lineitem group by 1), p as (select s_suppkey, case when s_acctbal < 0 then 60 when s_acctbal < 5000 then 40 else 20 end as b, least(24, coalesce(r, 0) * 8) as pr, least(15, coalesce(o, 0) * 3) as po, least(12, coalesce(g, 0) * 3) as pg from supplier left join l on l_suppkey = s_suppkey), q as (select *, least(100, b + pr + po + pg) as score, (pr > 0)::int + (po > 0)::int + (pg > 0)::int as k from p) select s_suppkey, score, case when k >= 2 then 'corroborated' when k = 1 then 'partial' else 'base_only' end as basis, case when score >= 80 then 'high' when score >= 60 then 'medium' when score >= 35 then 'low' else 'watch' end as level from q",
     "stale_answers": f"with {_ANS} select answer_id, valid_until < '{AS_OF}' as stale, case when confidence is null or confidence < 0 then 'unknown' when confidence >= 0.75::double then 'high' when confidence >= 0.5::double then 'medium' else 'low' end as bucket from an",
     "stable_ids": f"select load_seq, 'F-' || left(sha256(coalesce({K.collapse('lower(category)')}, '') || chr(10) || coalesce(document, '') || chr(10) || coalesce(evidence_level, '')), 8) as stable_id, coalesce(nullif(regexp_replace(regexp_replace(upper(control_area), '[^A-Z0-9_.,()-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'UNMAPPED') as slug, case when length(finding) > 60 then regexp_replace(left(finding, 57), '{K.SPACE}$', '') || '...' else finding end as short, case when regexp_matches(review_note, '^({K.SPACE})?[=+@-]') then '''' || review_note else review_note end as cell from review_items",

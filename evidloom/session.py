@@ -49,7 +49,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A scan of at most MOST_SPREAD bytes and of fewer partitions than cores dealt out to all cores; a larger one is left
     alone, however many cores there are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= MOST_SPREAD and df.rdd.getNumPartitions() < cores else df
 
 

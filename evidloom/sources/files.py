@@ -8,6 +8,7 @@ import json
 import re
 import zipfile
 from collections.abc import Callable
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -26,6 +27,26 @@ SKIPPED_DIRECTORIES = (".git", ".hg", ".svn", ".venv", "venv", "node_modules", "
 MAX_BYTES, MAX_CHARS, MAX_XML = 50_000_000, 1_000_000, 50_000_000
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a file is read; None is no limit. Whatever is cut is marked as truncated, what is refused has a reason."""
+
+    bytes: int | None = MAX_BYTES  # of a file
+    chars: int | None = MAX_CHARS  # of its text
+    member: int | None = MAX_XML  # bytes of one part of an office file, unpacked
+    rows: int | None = 300  # of a CSV file
+    cells: int | None = 20  # of a row
+    width: int | None = 240  # characters of a cell
+    entries: int | None = 500  # keys and scalars of a JSON file
+
+
+WHOLE = Limits(*[None] * 7)
+
+
+def _cut(text: str, most: int | None) -> tuple[str, bool]:
+    return (text, False) if most is None or len(text) <= most else (text[:most], True)
+
+
 def document_type(path: Column) -> Column:
     """The type by suffix alone; the content is not looked at."""
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
@@ -44,25 +65,27 @@ def scan(spark: SparkSession, root: str, glob: str | None = None, skip: tuple[st
     return kept.withColumn("source_type", document_type(F.col("path")))
 
 
-def decode(content: Column) -> Column:
-    """(text, truncated, reason): UTF-8 with replacement, cut to MAX_CHARS; a NUL byte or too many bytes is a reason."""
+def decode(content: Column, limits: Limits = Limits()) -> Column:
+    """(text, truncated, reason): UTF-8 with replacement, cut to the limit; a NUL byte or too many bytes is a reason."""
     text = F.make_valid_utf8(content.cast("string"))
-    reason = F.when(F.length(content) > MAX_BYTES, "too_large").when(text.contains("\x00"), "binary_content")
-    return F.struct(F.when(reason.isNull(), F.left(text, F.lit(MAX_CHARS))).alias("text"), (F.char_length(text) > MAX_CHARS).alias("truncated"), reason.alias("reason"))
+    big = F.lit(False) if limits.bytes is None else F.length(content) > limits.bytes
+    reason = F.when(big, "too_large").when(text.contains("\x00"), "binary_content")
+    short, cut = (text, F.lit(False)) if limits.chars is None else (F.left(text, F.lit(limits.chars)), F.char_length(text) > limits.chars)
+    return F.struct(F.when(reason.isNull(), short).alias("text"), cut.alias("truncated"), reason.alias("reason"))
 
 
-def csv_text(content: bytes, rows: int = 300, cells: int = 20, width: int = 240) -> tuple[str, bool]:
+def csv_text(content: bytes, limits: Limits = Limits()) -> tuple[str, bool]:
     """Cells that are not empty joined by a bar, rows by line ends; what exceeds the limits is cut, and said so."""
-    out, cut = [], False
+    out, cut, width = [], False, limits.width
     for i, row in enumerate(csv.reader(io.StringIO(content.decode("utf-8", "replace"), newline=""))):
-        if i >= rows:
+        if limits.rows is not None and i >= limits.rows:
             cut = True
             break
-        cut = cut or len(row) > cells
+        cut = cut or limits.cells is not None and len(row) > limits.cells
         kept = []
-        for cell in row[:cells]:
+        for cell in row[: limits.cells]:
             c = " ".join(cell.split())
-            if len(c) > width:
+            if width is not None and len(c) > width:
                 c, cut = c[: width - 3].rstrip() + "...", True
             if c:
                 kept.append(c)
@@ -71,12 +94,12 @@ def csv_text(content: bytes, rows: int = 300, cells: int = 20, width: int = 240)
     return "\n".join(out), cut
 
 
-def json_text(content: bytes, most: int = 500) -> tuple[str, bool]:
+def json_text(content: bytes, limits: Limits = Limits()) -> tuple[str, bool]:
     """Keys and scalars, depth first with keys sorted, one to a line; nulls are left out."""
     out: list[str] = []
     stack = [json.loads(content.decode("utf-8", "replace"))]
     while stack:
-        if len(out) >= most:
+        if limits.entries is not None and len(out) >= limits.entries:
             return "\n".join(out), True
         x = stack.pop()
         if isinstance(x, dict):
@@ -95,32 +118,31 @@ class _Key(str):
     """A key on the stack, so that it comes out before its value."""
 
 
-def _member(archive: zipfile.ZipFile, name: str) -> bytes:
-    if archive.getinfo(name).file_size > MAX_XML:  # before it is unpacked
+def _member(archive: zipfile.ZipFile, name: str, limits: Limits) -> bytes:
+    if limits.member is not None and archive.getinfo(name).file_size > limits.member:  # before it is unpacked
         raise ValueError("archive member too large")
     return archive.read(name)
 
 
-def docx_text(content: bytes) -> tuple[str, bool]:
+def docx_text(content: bytes, limits: Limits = Limits()) -> tuple[str, bool]:
     """The text runs of a word-processing document, one to a line."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        root = ElementTree.fromstring(_member(z, "word/document.xml"))
+        root = ElementTree.fromstring(_member(z, "word/document.xml", limits))
     runs = [e.text.strip() for e in root.iter() if e.tag.endswith("}t") and e.text and e.text.strip()]
-    text = "\n".join(runs)
-    return text[:MAX_CHARS], len(text) > MAX_CHARS
+    return _cut("\n".join(runs), limits.chars)
 
 
-def xlsx_text(content: bytes) -> tuple[str, bool]:
+def xlsx_text(content: bytes, limits: Limits = Limits()) -> tuple[str, bool]:
     """The cells of all sheets in the order of their names, one to a line; shared, inline and plain values."""
     out, size = [], 0
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = z.namelist()
         shared = []
         if "xl/sharedStrings.xml" in names:
-            root = ElementTree.fromstring(_member(z, "xl/sharedStrings.xml"))
+            root = ElementTree.fromstring(_member(z, "xl/sharedStrings.xml", limits))
             shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in root if si.tag.endswith("}si")]
         for name in sorted(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml")):
-            for cell in ElementTree.fromstring(_member(z, name)).iter():
+            for cell in ElementTree.fromstring(_member(z, name, limits)).iter():
                 if not cell.tag.endswith("}c"):
                     continue
                 if cell.get("t") == "inlineStr":
@@ -132,13 +154,14 @@ def xlsx_text(content: bytes) -> tuple[str, bool]:
                 if value.strip():
                     out.append(value.strip())
                     size += len(out[-1]) + 1
-                    if size > MAX_CHARS:
-                        return "\n".join(out)[:MAX_CHARS], True
+                    if limits.chars is not None and size > limits.chars:
+                        return "\n".join(out)[: limits.chars], True
     return "\n".join(out), False
 
 
-def pdf_pages(content: bytes) -> list[str]:
-    """The text of each page; needs the optional library pypdf."""
+def pdf_pages(content: bytes, most: int | None = None, strict: bool = False) -> list[str]:
+    """The text of each page, up to `most`; needs the optional library pypdf. A page that cannot be read is empty, or with
+    `strict` an error."""
     try:
         from pypdf import PdfReader
     except ImportError as e:
@@ -146,43 +169,54 @@ def pdf_pages(content: bytes) -> list[str]:
     reader = PdfReader(io.BytesIO(content))
     if reader.is_encrypted:
         raise ValueError("pdf_encrypted")
-    return [page.extract_text() or "" for page in reader.pages]
+    out = []
+    for page in reader.pages[:most]:
+        try:
+            out.append(page.extract_text() or "")
+        except Exception as e:  # noqa: BLE001
+            if strict:
+                raise ValueError("pdf_page_failed") from e
+            out.append("")
+    return out
 
 
-def pdf_text(content: bytes) -> tuple[str, bool]:
-    text = "\n\n".join(pdf_pages(content))
-    return text[:MAX_CHARS], len(text) > MAX_CHARS
+def pdf_text(content: bytes, limits: Limits = Limits()) -> tuple[str, bool]:
+    return _cut("\n\n".join(pdf_pages(content)), limits.chars)
 
 
-PARSERS: dict[str, Callable[[bytes], tuple[str, bool]]] = {"csv": csv_text, "json": json_text, "docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
+PARSERS: dict[str, Callable[[bytes, Limits], tuple[str, bool]]] = {"csv": csv_text, "json": json_text, "docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
 _PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("truncated", T.BooleanType()), T.StructField("reason", T.StringType())])
 
 
-@F.pandas_udf(_PARSED)
-def _parse(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for k, c in zip(kind, content, strict=True):
-        if k not in PARSERS or c is None:
-            rows.append((None, None, None))
-            continue
-        try:
-            rows.append((*PARSERS[k](bytes(c)), None))
-        except Exception as e:  # noqa: BLE001  one bad file is one bad row
-            known = str(e) if str(e).startswith("pdf_") else "parse_failed"
-            rows.append((None, None, known))
-    return pd.DataFrame(rows, columns=["text", "truncated", "reason"])
+def _parser(limits: Limits):
+    @F.pandas_udf(_PARSED)
+    def parse(kind: pd.Series, content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for k, c in zip(kind, content, strict=True):
+            if k not in PARSERS or c is None:
+                rows.append((None, None, None))
+                continue
+            try:
+                rows.append((*PARSERS[k](bytes(c), limits), None))
+            except Exception as e:  # noqa: BLE001  one bad file is one bad row
+                known = str(e) if str(e).startswith("pdf_") else "parse_failed"
+                rows.append((None, None, known))
+        return pd.DataFrame(rows, columns=["text", "truncated", "reason"])
+
+    return parse
 
 
-def read_documents(files: DataFrame) -> DataFrame:
+def read_documents(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(path, source_type, sha256, text, n_chars, truncated, status, reason) of scanned files.
 
     status: parsed, empty, ocr_required (images), unsupported or error. Text and Markdown stay in the JVM; the formats
-    that need a parser pass through Arrow, one file at a time.
+    that need a parser pass through Arrow, one file at a time. limits: WHOLE reads everything.
     """
     plain = F.col("source_type").isin("text", "markdown")
     parsed = F.col("source_type").isin(*PARSERS)
-    big = F.col("length") > MAX_BYTES
-    body = files.withColumn("_plain", F.when(plain & ~big, decode(F.col("content")))).withColumn("_other", F.when(parsed & ~big, _parse(F.when(parsed & ~big, F.col("source_type")), F.when(parsed & ~big, F.col("content")))))
+    big = F.lit(False) if limits.bytes is None else F.col("length") > limits.bytes
+    other = _parser(limits)(F.when(parsed & ~big, F.col("source_type")), F.when(parsed & ~big, F.col("content")))
+    body = files.withColumn("_plain", F.when(plain & ~big, decode(F.col("content"), limits))).withColumn("_other", F.when(parsed & ~big, other))
     text = F.coalesce("_plain.text", "_other.text")
     reason = F.when(big, "too_large").when(F.col("source_type") == "image", "image_ocr_required").when(F.col("source_type") == "unsupported", "unsupported_type").otherwise(F.coalesce("_plain.reason", "_other.reason", F.lit("")))
     status = F.when(F.col("source_type") == "image", "ocr_required").when(F.col("source_type") == "unsupported", "unsupported").when(reason != "", "error").when(strip(F.coalesce(text, F.lit(""))) == "", "empty").otherwise("parsed")
@@ -192,13 +226,40 @@ def read_documents(files: DataFrame) -> DataFrame:
     )
 
 
+def text_blocks(documents: DataFrame, key: str, text: str, size: int = 65_536) -> DataFrame:
+    """(key, block_no, start, block): a text in successive blocks of up to `size` code points, without overlap; joined in
+    order they are the text. Null and empty texts have none."""
+    if size < 1:
+        raise ValueError("the size must be positive")
+    starts = F.sequence(F.lit(0), F.char_length(text) - 1, F.lit(size))
+    rows = documents.where(F.char_length(text) > 0).select(key, text, F.posexplode(starts).alias("block_no", "start"))
+    return rows.select(key, "block_no", "start", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("block"))
+
+
+def require_path(spark: SparkSession, root: str) -> None:
+    """Raise where a path does not exist or has no file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        raise FileNotFoundError(root)
+
+
+def scan_items(spark: SparkSession, root: str, **options) -> DataFrame:
+    """scan(), or, for a missing input, one row with status `error` instead of an exception."""
+    try:
+        require_path(spark, root)
+    except FileNotFoundError:
+        return spark.createDataFrame([(root, "", "missing_input")], "path string, source_type string, error string")
+    return scan(spark, root, **options).select("path", "source_type", F.lit(None).cast("string").alias("error"))
+
+
 @F.udtf(returnType="page_no int, text string, reason string")
 class PdfPages:
     """Table function: the pages of a PDF, or one row with the reason why there are none."""
 
-    def eval(self, content: bytes):
+    def eval(self, content: bytes, most: int = None, strict: bool = False):
         try:
-            for i, page in enumerate(pdf_pages(bytes(content)), 1):
+            for i, page in enumerate(pdf_pages(bytes(content), most, strict), 1):
                 yield i, page, ""
         except Exception as e:  # noqa: BLE001
             yield 0, None, str(e) if str(e).startswith("pdf_") else "parse_failed"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,9 +59,9 @@ def _decoded(kind: pd.Series, content: pd.Series) -> pd.Series:
     def one(k, c):
         try:
             if k == "json" and b"\\" in c:
-                return files.json_text(bytes(c), sys.maxsize)[0]
+                return files.json_text(bytes(c), files.WHOLE)[0]
             if k == "csv" and b'"' in c:
-                return files.csv_text(bytes(c), sys.maxsize, sys.maxsize, sys.maxsize)[0]
+                return files.csv_text(bytes(c), files.WHOLE)[0]
         except Exception:  # noqa: BLE001  what cannot be parsed is looked through as it is
             pass
         return None
@@ -82,11 +80,11 @@ def findings(scanned: DataFrame, parsed: DataFrame, key: str) -> DataFrame:
     office = F.col("source_type").isin("docx", "xlsx", "pdf", "image")
     open_ = scanned.where(barred(F.col("path")).isNull() & (F.col("length") <= files.MAX_BYTES))
     raw = open_.where(~office).select(key, F.make_valid_utf8(F.col("content").cast("string")).alias("text")).where(~F.col("text").contains("\x00"))
-    own = P.scan_lines(raw, key, "text", whole_lines=True)
+    own = P.scan_lines(raw, key, "text")
     quoted = open_.where(F.col("source_type").isin("csv", "json")).select(key, _decoded("source_type", "content").alias("text")).where("text is not null")
-    more = P.scan_lines(quoted, key, "text", whole_lines=True).join(own.select(key, "type", "match"), [key, "type", "match"], "left_anti")
+    more = P.scan_lines(quoted, key, "text").join(own.select(key, "type", "match"), [key, "type", "match"], "left_anti")
     inner = parsed.join(open_.where(office).select(key), key, "left_semi")
-    return own.unionByName(more.select(key, F.lit(None).cast("int").alias("line"), "type", "severity", "match")).unionByName(P.scan_lines(inner, key, "text", whole_lines=True))
+    return own.unionByName(more.select(key, F.lit(None).cast("int").alias("line"), "type", "severity", "match")).unionByName(P.scan_lines(inner, key, "text"))
 
 
 def skipped(scanned: DataFrame, hidden: DataFrame, key: str) -> DataFrame:

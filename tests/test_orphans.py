@@ -29,6 +29,17 @@ def test_hot_keys_take_the_other_path(spark):
     assert sum(1 for _, k in want if k == "hot") == sum(1 for i in range(900) if i % 3 and not 3 <= i % 28 < 9)
 
 
+def test_counts_come_from_groups(spark):
+    refs = [(i, T[i % 28], "hot" if i % 3 else f"k{i % 50}", "") for i in range(900)] + [(1000, None, "hot", ""), (1001, None, "none", "")]
+    targets = [("hot", T[3], T[9]), *((f"k{i}", T[0], None) for i in range(0, 50, 2))]
+    r = spark.createDataFrame(refs, "load_seq long, recorded_at timestamp, k string, first_at string")
+    life = O.lifetimes(spark.createDataFrame(targets, "id string, recorded_at timestamp, deleted_at timestamp"), "id")
+    rows = broken(spark, refs, targets)
+    for least in (50_000, 100):
+        got = {x.period: (x.broken, x.missing_keys) for x in O.orphan_counts(O.scalar_refs(r, "r", "k"), life, least).collect()}
+        assert got == {"2024-01": (len(rows) - 1, len({k for n, k in rows if n < 1000})), None: (1, 1)}
+
+
 def test_array_references(spark):
     df = spark.createDataFrame([(1, T[5], ["a", " a", "", None, "b"]), (2, T[5], []), (3, T[5], None)], "load_seq long, recorded_at timestamp, refs array<string>")
     assert sorted(r.ref_value for r in O.array_refs(df, "t", "refs").collect()) == ["a", "b"]
