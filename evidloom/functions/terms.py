@@ -41,18 +41,33 @@ def alternation(terms: list[str] | tuple[str, ...], bounded: bool = True) -> str
     return rf"(?iU)\b({inner})\b" if bounded else f"(?iU)({inner})"
 
 
+_BLOCK = 64  # matches whose places are summed up in one go
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """array<struct<pos int, match string>>: every match of a pattern with one group around the whole, from left to
-    right, at its 0-based place in code points. Built from the matches and the gaps between them, without Python."""
+    right, at its 0-based place in code points. Built from the matches and the gaps between them, without Python.
+
+    Places are running sums. As an array that grows is copied at each step, they are made in blocks of _BLOCK matches, so
+    that the work hardly grows faster than the number of matches.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), 1)
     gaps = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,match:string>>").alias("out"))
-    walked = F.aggregate(
-        F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("match"))),
-        empty,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.char_length(x["match"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("pos"), x["match"].alias("match")))).alias("out"),
-        ),
-    )
-    return walked["out"]
+    n = F.greatest(F.size(found), F.lit(0))
+    steps = F.zip_with(F.slice(gaps, 1, n), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("match"), F.char_length(m).alias("length")))
+    kind = "array<struct<pos:int,match:string>>"
+
+    def places(at: Column, block: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(at.alias("at"), F.array().cast(kind).alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["gap"] + x["length"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("pos"), x["match"].alias("match"))).alias("out")),
+        )["out"]
+
+    def walk(acc: Column, block: Column) -> Column:
+        width = F.aggregate(block, F.lit(0), lambda total, x: total + x["gap"] + x["length"])
+        return F.struct((acc["at"] + width).alias("at"), F.array_append(acc["out"], places(acc["at"], block)).alias("out"))
+
+    blocks = F.transform(F.when(n > 0, F.sequence(F.lit(1), n, F.lit(_BLOCK))).otherwise(F.array().cast("array<int>")), lambda k: F.slice(steps, k, F.lit(_BLOCK)))
+    walked = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), walk)
+    return F.flatten(walked["out"])

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidloom.functions.text import bind, tokens
+from evidloom.operators.skew import hot_keys, spread_join
+from evidloom.session import materialize
 
 
 def train(df: DataFrame, label: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -24,31 +31,77 @@ def train(df: DataFrame, label: str, text: str) -> tuple[DataFrame, DataFrame]:
     return terms, labels.select("label", "docs", F.coalesce("total", F.lit(0)).alias("total"), prior.alias("prior"), "vocabulary")
 
 
-MOST_LABELS = 10_000  # rows of the label table that predict() reads; more are refused
+LABEL_BLOCK = 200_000  # labels that a worker holds at once, some 30 MB
+MODEL_ROWS = 200_000  # rows of a model that is broadcast; a larger one is joined with frequent tokens dealt to several tasks
 
+Block = tuple[list[str], np.ndarray, np.ndarray]  # labels, log priors, log denominators
 
-def predict(df: DataFrame, key: str, text: str, terms: DataFrame, labels: DataFrame) -> DataFrame:
+
+def _blocks(labels: DataFrame, size: int) -> Iterator[Block]:
+    """The labels in order, a block at a time."""
+    names, priors, denominators = [], [], []
+    for r in labels.select("label", "prior", "total", "vocabulary").orderBy("label").toLocalIterator():
+        names.append(r["label"])
+        priors.append(math.log(r["prior"]))
+        denominators.append(math.log(r["total"] + r["vocabulary"]) if r["total"] + r["vocabulary"] else 0.0)
+        if len(names) == size:
+            yield names, np.array(priors), np.array(denominators)
+            names, priors, denominators = [], [], []
+    if names:
+        yield names, np.array(priors), np.array(denominators)
+
+
+def _score(rows: DataFrame, key: str, block: Block, schema: str) -> DataFrame:
+    """(key, label, best, mass) of each row (key, length, gains) over one block of labels: the likeliest label, its score,
+    and the sum of exp(score - best); a text without tokens has the first label, score 0 and mass -1."""
+    names, priors, denominators = block
+    place = {n: i for i, n in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for length, gains in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                s = priors - length * denominators
+                for g in gains or ():
+                    if (i := place.get(g["label"])) is not None:
+                        s[i] += g["g"]
+                s = np.round(s, 9)
+                best = int(np.argmax(s)) if length else 0
+                out[0].append(names[best]), out[1].append(float(s[best]) if length else 0.0), out[2].append(float(np.exp(s - s[best]).sum()) if length else -1.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.string()), *(pa.array(x, pa.float64()) for x in out[1:])], names=[key, "label", "best", "mass"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def predict(df: DataFrame, key: str, text: str, terms: DataFrame, labels: DataFrame, label_block: int = LABEL_BLOCK, model_rows: int = MODEL_ROWS) -> DataFrame:
     """(key, label, confidence): the likeliest label with Laplace smoothing; ties go to the smaller label, and a text
-    without tokens gets the smallest label with confidence 0. Keys must be unique.
+    without tokens gets the smallest label with confidence 0. Keys must be unique. Without labels, the label is null.
 
     The log score is the label's base score, as if no token had been seen in training, plus a correction for each token
-    that was. Tokens meet the model in one join; a document's corrections, one for each label at most, come together in
-    one row, and the labels, a small table, are part of the expression.
+    that was. Tokens meet the model in one join; a document's corrections come together in one row, and the labels pass
+    by in blocks of a bounded size, however many there are.
     """
-    rows = labels.select("label", "prior", "total", "vocabulary").limit(MOST_LABELS + 1).collect()
-    if len(rows) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    if not rows:
+    model = materialize(terms.select("label", "token", F.log(F.col("n") + F.lit(1.0)).alias("g")), "bayes-terms")
+    split = bind(df.select(key, text), "_tokens", tokens(F.col(text))).select(key, "_tokens")
+    each = split.select(key, F.explode("_tokens").alias("token"))
+    if model.count() <= model_rows:
+        met = each.join(F.broadcast(model), "token")
+    else:
+        counted = materialize(each.groupBy(key, "token").agg(F.count("*").alias("m")), "bayes-tokens")
+        met = spread_join(counted, model, ["token"], [key], hot_keys(counted, ["token"])).withColumn("g", F.col("m") * F.col("g"))
+    gathered = met.groupBy(key, "label").agg(F.sum("g").alias("g")).groupBy(key).agg(F.collect_list(F.struct("label", "g")).alias("gains"))
+    rows = split.select(key, F.size("_tokens").alias("length")).join(gathered, key, "left")
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, label string, best double, mass double"
+    blocks = _blocks(labels, label_block)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         return df.select(key, F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("confidence"))
-    model = sorted((r["label"], math.log(r["prior"]), math.log(r["total"] + r["vocabulary"]) if r["total"] + r["vocabulary"] else 0.0) for r in rows)
-    counted = df.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("m"))
-    gains = counted.join(terms.select("label", "token", F.log(F.col("n") + F.lit(1.0)).alias("g")), "token").groupBy(key, "label").agg(F.sum(F.col("m") * F.col("g")).alias("g"))
-    gathered = gains.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "g"))).alias("_gains"))
-    sized = df.select(key, F.size(tokens(F.col(text))).alias("length")).join(gathered, key, "left")
-    fixed = F.array(*(F.struct(F.lit(name).alias("label"), F.lit(a).alias("a"), F.lit(b).alias("b")) for name, a, b in model))
-    scores = F.transform(fixed, lambda m: F.struct((-F.round(m["a"] - F.col("length") * m["b"] + F.coalesce(F.try_element_at("_gains", m["label"]), F.lit(0.0)), 9)).alias("s"), m["label"].alias("label")))
-    scored = bind(sized, "_scores", scores)
-    best = bind(scored, "_best", F.array_min("_scores"))
-    total = F.aggregate("_scores", F.lit(0.0), lambda acc, x: acc + F.exp(F.col("_best.s") - x["s"]))
-    empty = F.col("length") == 0
-    return best.select(key, F.when(empty, F.lit(model[0][0])).otherwise(F.col("_best.label")).alias("label"), F.when(empty, F.lit(0.0)).otherwise(F.round(F.lit(1.0) / total, 4)).alias("confidence"))
+    if second is None:
+        got = _score(rows, key, first, schema)
+    else:
+        rows = materialize(rows, "bayes-rows")
+        every = reduce(DataFrame.unionByName, (_score(rows, key, b, schema) for b in chain((first, second), blocks)))
+        top = every.groupBy(key).agg(F.min_by(F.struct("label", "best"), F.struct((-F.col("best")).alias("minus"), "label")).alias("_t"), F.collect_list(F.struct("best", "mass")).alias("_m"))
+        mass = F.aggregate("_m", F.lit(0.0), lambda acc, x: acc + x["mass"] * F.exp(x["best"] - F.col("_t.best")))
+        got = top.select(key, "_t.label", mass.alias("mass"))
+    return got.select(key, "label", F.when(F.col("mass") < 0, F.lit(0.0)).otherwise(F.round(F.lit(1.0) / F.col("mass"), 4)).alias("confidence"))

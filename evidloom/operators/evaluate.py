@@ -18,15 +18,16 @@ def evaluate_documents(expected: DataFrame, found: DataFrame, key: str) -> DataF
     expected: key, categories, forbidden, terms (arrays, null being empty) and least (number of evidence rows);
     found: key, category, passage. Results of documents nobody expects are ignored.
     """
-    per = found.groupBy(key).agg(F.collect_set("category").alias("_cats"), F.count("*").alias("_n"), F.concat_ws("\n", F.collect_set(F.lower("passage"))).alias("_text"))
-    j = expected.join(per, key, "left")
+    per = found.groupBy(key).agg(F.collect_set("category").alias("_cats"), F.count("*").alias("_n"))
+    asked = expected.select(key, F.explode(F.array_distinct("terms")).alias("_term"))
+    said = found.join(asked, key).where(F.contains(F.lower("passage"), F.lower("_term"))).groupBy(key).agg(F.collect_set("_term").alias("_said"))
+    j = expected.join(per, key, "left").join(said, key, "left")
     arr = lambda c: F.coalesce(F.col(c), F.array().cast(_NONE))
-    text = F.coalesce("_text", F.lit(""))
     out = j.select(
         key,
         F.array_sort(F.array_except(arr("categories"), arr("_cats"))).alias("missing"),
         F.array_sort(F.array_intersect(arr("forbidden"), arr("_cats"))).alias("forbidden_found"),
-        F.array_sort(F.filter(arr("terms"), lambda t: ~F.contains(text, F.lower(t)))).alias("missing_terms"),
+        F.array_sort(F.array_except(arr("terms"), arr("_said"))).alias("missing_terms"),
         (F.coalesce("_n", F.lit(0)) >= F.coalesce("least", F.lit(0))).alias("enough"),
         F.size(F.array_intersect(arr("categories"), arr("_cats"))).alias("hits"),
         F.size(arr("categories")).alias("wanted"),

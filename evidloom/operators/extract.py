@@ -46,9 +46,9 @@ def evidence_rows(df: DataFrame, key: str, text: str, categories: dict[str, tupl
 
 
 def dedupe_evidence(evidence: DataFrame, key: str) -> DataFrame:
-    """The first row of each document, category and passage (letter case aside)."""
-    same = Window.partitionBy(key, "category", F.sha2(TX.casefold(F.col("passage")), 256)).orderBy("pos")
-    return evidence.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    """The first row of each document, category and passage (letter case aside), combined before the shuffle."""
+    first = evidence.groupBy(key, "category", F.sha2(TX.casefold(F.col("passage")), 256).alias("_same")).agg(F.min_by(F.struct(*evidence.columns), "pos").alias("_first"))
+    return first.select("_first.*")
 
 
 def windows(df: DataFrame, key: str, text: str, size: int = 65_536, radius: int = 300, overlap: int | None = None) -> DataFrame:

@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 from evidloom.functions import terms as TM
 from evidloom.functions import text as TX
+from evidloom.operators.skew import hot_keys, spread_join
 
 
 def overlap_join(left: DataFrame, left_key: str, left_array: str, right: DataFrame, right_key: str, right_array: str) -> DataFrame:
     """(left_key, right_key, shared): pairs whose arrays have an element in common, each once.
 
     Both sides are exploded and meet on the element, an equi-join; a pair that shares several elements is reduced to one
-    row by an aggregation that combines before its shuffle.
+    row by an aggregation that combines before its shuffle. The rows of an element that many on the right hold are dealt
+    to several tasks. The pairs of one element are as many as the product of both sides' rows, by definition.
     """
     a = left.select(F.col(left_key), F.explode(F.array_distinct(left_array)).alias("_x"))
     b = right.select(F.col(right_key), F.explode(F.array_distinct(right_array)).alias("_x"))
-    return a.join(b, "_x").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+    return spread_join(b, a, ["_x"], [right_key], hot_keys(b, ["_x"], least=2000)).groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
 
 
 def best_evidence(pairs: DataFrame, evidence: DataFrame, left_key: str, right_key: str, most: int = 12) -> DataFrame:

@@ -6,9 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidloom.operators.skew import hot_of, spread_join
+
 GENESIS = "0" * 64
 
 
@@ -18,19 +20,38 @@ def event_hash(previous: Column, parts: list[Column]) -> Column:
 
 
 def chain_problems(events: DataFrame, by: list[str], parts: list[str], sequence: str = "sequence", previous: str = "previous_hash", own: str = "event_hash") -> DataFrame:
-    """(by..., sequence, problem): gaps in the numbering, a previous hash that is not the one before, and events whose
-    hash is not that of their content. Every event is checked against its neighbour only, so chains validate in
-    parallel; a long chain is sorted, not collected."""
-    w = Window.partitionBy(*by).orderBy(sequence)
-    checked = events.withColumn("_no", F.row_number().over(w)).withColumn("_before", F.lag(own, 1, GENESIS).over(w))
+    """(by..., sequence, problem): numbers that do not follow the one before or occur twice, a previous hash that is not the
+    one before, and events whose hash is not that of their content.
+
+    Every event meets its neighbour by an equi-join on the chain and the number, so that a chain of any length is checked
+    by many tasks; none is sorted or gathered.
+    """
+    before = events.groupBy(*by, (F.col(sequence) + 1).alias(sequence)).agg(F.min(own).alias("_before"), F.lit(True).alias("_follows"))
+    twice = events.groupBy(*by, sequence).agg(F.count("*").alias("_same"))
+    checked = events.join(before, [*by, sequence], "left").join(twice, [*by, sequence], "left")
+    first = F.col(sequence) == 1
     problem = (
-        F.when(F.col(sequence) != F.col("_no"), "sequence")
-        .when(~F.col(previous).eqNullSafe(F.col("_before")), "previous_hash")
+        F.when(F.col(sequence).isNull() | (F.col("_same") > 1) | ~(first | F.coalesce("_follows", F.lit(False))), "sequence")
+        .when(~F.col(previous).eqNullSafe(F.when(first, F.lit(GENESIS)).otherwise(F.col("_before"))), "previous_hash")
         .when(~F.col(own).eqNullSafe(event_hash(F.col(previous), [F.col(p) for p in parts])), "event_hash")
     )
     return checked.select(*by, sequence, problem.alias("problem")).where("problem is not null")
 
 
+class LedgerError(ValueError):
+    """A ledger that does not hold together cannot be added to."""
+
+
+def append_validated(ledger: DataFrame, events: DataFrame, by: list[str], parts: list[str], order: list[str]) -> DataFrame:
+    """append_chain() behind the last event of each chain of a ledger, which is validated as a whole first: any problem
+    raises LedgerError, and nothing is appended."""
+    bad = chain_problems(ledger, by, parts).limit(1).collect()
+    if bad:
+        raise LedgerError(f"the ledger has a problem: {bad[0].asDict()}")
+    heads = ledger.groupBy(*by).agg(F.max("sequence").alias("sequence"), F.max_by("event_hash", "sequence").alias("event_hash"))
+    return append_chain(events, by, parts, order, heads)
+
+
 def append_chain(events: DataFrame, by: list[str], parts: list[str], order: list[str], heads: DataFrame | None = None) -> DataFrame:
     """Events with sequence, previous_hash and event_hash, going on from heads (by..., sequence, event_hash).
 
@@ -66,21 +87,24 @@ def transition_problems(events: DataFrame, by: list[str], kind: str, sequence: s
     """(by..., sequence, problem) of events out of order.
 
     needs: event -> events of which each must have come before; forbids: event -> events of which none may have come.
-    `first` may only be the first event. What came before is a running flag over the chain.
+    `first` may only be the first event. What came before is known from where each kind of event came first: one row for
+    each chain, combined before its shuffle; the events of long chains are dealt to several tasks.
     """
-    w = Window.partitionBy(*by).orderBy(sequence)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     seen = {e: f"_seen_{i}" for i, e in enumerate(sorted({x for xs in (*needs.values(), *forbids.values()) for x in xs}))}
-    flagged = events.withColumn("_no", F.row_number().over(w))
-    for event, column in seen.items():
-        flagged = flagged.withColumn(column, F.coalesce(F.max(F.col(kind) == event).over(before), F.lit(False)))
-    problem = F.when(F.lit(first is not None) & (F.col(kind) == F.lit(first)) & (F.col("_no") != 1), "not_first")
+    firsts = [F.min(F.when(F.col(kind) == event, F.col(sequence))).alias(column) for event, column in seen.items()]
+    chains = events.groupBy(*by).agg(F.min(sequence).alias("_start"), F.count("*").alias("_n"), *firsts)
+    flagged = spread_join(events, chains.drop("_n"), by, [sequence], hot_of(chains.select(*by, "_n"), by, "_n"))
+
+    def came(event: str) -> Column:
+        return F.coalesce(F.col(seen[event]) < F.col(sequence), F.lit(False))
+
+    problem = F.when(F.lit(first is not None) & (F.col(kind) == F.lit(first)) & (F.col(sequence) != F.col("_start")), "not_first")
     for event, wanted in needs.items():
         for other in wanted:
-            problem = problem.when((F.col(kind) == event) & ~F.col(seen[other]), f"needs_{other}")
+            problem = problem.when((F.col(kind) == event) & ~came(other), f"needs_{other}")
     for event, others in forbids.items():
         for other in others:
-            problem = problem.when((F.col(kind) == event) & F.col(seen[other]), f"after_{other}")
+            problem = problem.when((F.col(kind) == event) & came(other), f"after_{other}")
     return flagged.select(*by, sequence, problem.alias("problem")).where("problem is not null")
 
 

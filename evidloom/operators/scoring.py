@@ -132,21 +132,21 @@ def candidate_category(concrete: Column, stale: Column, conflict: Column) -> Col
 DATE = r"(?U)\b(?:19|20)\d{2}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.(?:19|20)\d{2}\b"
 
 
-def item_features(df: DataFrame, key: str, text: str, lists=None) -> DataFrame:
-    """(key, word_count, has_date, one boolean per list)."""
+def item_features(df: DataFrame, key: str, text: str, lists=None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., word_count, has_date, one boolean per list)."""
     lists = L.ITEM_FEATURES if lists is None else lists
     body = F.coalesce(F.col(text), F.lit(""))
     flags = [TM.any_hit(F.col("_low"), [t.casefold() for t in terms]).alias(name) for name, terms in lists.items()]
-    return TX.bind(df, "_low", TX.casefold(body)).select(key, F.size(TX.tokens(body)).alias("word_count"), body.rlike(DATE).alias("has_date"), *flags)
+    return TX.bind(df, "_low", TX.casefold(body)).select(key, *keep, F.size(TX.tokens(body)).alias("word_count"), body.rlike(DATE).alias("has_date"), *flags)
 
 
-def weak_labels(df: DataFrame, key: str, text: str, rules=None, document_labels=L.DOCUMENT_LABELS, negative=L.LABEL_CONFLICT_TERMS) -> DataFrame:
-    """(key, labels, conflict, confidence): labels whose terms occur, sorted. A conflict is more than one document label,
+def weak_labels(df: DataFrame, key: str, text: str, rules=None, document_labels=L.DOCUMENT_LABELS, negative=L.LABEL_CONFLICT_TERMS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., labels, conflict, confidence): labels whose terms occur, sorted. A conflict is more than one document label,
     or an evidence label beside a negative term."""
     rules = L.WEAK_LABELS if rules is None else rules
     low = F.col("_low")
-    bound = TX.bind(df.select(key, text), "_low", TX.casefold(F.coalesce(F.col(text), F.lit(""))))
-    out = TX.bind(bound, "labels", F.array_sort(TM.families(low, rules))).select(key, "labels", TM.any_hit(low, negative).alias("_neg"))
+    bound = TX.bind(df.select(key, text, *keep), "_low", TX.casefold(F.coalesce(F.col(text), F.lit(""))))
+    out = TX.bind(bound, "labels", F.array_sort(TM.families(low, rules))).select(key, *keep, "labels", TM.any_hit(low, negative).alias("_neg"))
     kinds = F.size(F.array_intersect("labels", F.array(*(F.lit(x) for x in document_labels))))
     conflict = (kinds > 1) | (F.exists("labels", lambda x: x.endswith("_evidence")) & F.col("_neg"))
     out = out.withColumn("conflict", conflict)

@@ -202,14 +202,17 @@ def merged_signals(spark, sf):
 
 
 def review_queue(spark, sf):
-    weak = S.weak_labels(docs(spark, sf), "doc_id", "text")
-    streams = [
-        severity(spark, sf).where("priority <> 'P3'").select("doc_id", "priority", F.explode("reasons").alias("reason")),
-        weak.where("conflict").select("doc_id", F.lit("P1").alias("priority"), F.lit("weak_label_conflict").alias("reason")),
-        weak.where("size(labels) = 0").select("doc_id", F.lit("P3").alias("priority"), F.lit("no_label").alias("reason")),
-    ]
-    done = docs(spark, sf).where("lang = 'fr'").select("doc_id")
-    return R.review_queue(streams, "doc_id", done)
+    """All reasons from one scan of the texts."""
+    features = S.item_features(docs(spark, sf), "doc_id", "text", keep=("text",))
+    ranked = S.ranked(features, S.severity_rules()).select("doc_id", "text", "priority", "reasons")
+    both = S.weak_labels(ranked, "doc_id", "text", keep=("priority", "reasons"))
+    said = F.when(F.col("priority") != "P3", F.transform("reasons", lambda r: F.struct(F.col("priority"), r.alias("reason"))))
+    named = F.array(
+        F.when(F.col("conflict"), F.struct(F.lit("P1").alias("priority"), F.lit("weak_label_conflict").alias("reason"))),
+        F.when(F.size("labels") == 0, F.struct(F.lit("P3").alias("priority"), F.lit("no_label").alias("reason"))),
+    )
+    stream = both.select("doc_id", F.inline(F.concat(F.coalesce(said, F.array().cast("array<struct<priority:string,reason:string>>")), F.array_compact(named))))
+    return R.review_queue([stream], "doc_id", table(spark, sf, "documents").where("lang = 'fr'").select("doc_id"))
 
 
 def sensitive_flags(spark, sf):

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import sqlite3
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidloom.functions import text as TX
+from evidloom.operators.constraints import duplicate_keys, failing, missing_targets, require
+from evidloom.session import materialize
 
 EVIDENCE = (
     "evidence_id string, type string, source_path string, source_type string, source_report string, source_finding_id string, sha256 string, mapped_controls array<string>, claims array<string>, "
@@ -57,20 +66,31 @@ def control_catalog(spark: SparkSession, paths: list[str], cross_map: str | None
     return controls, edges.distinct()
 
 
-def questionnaire(spark: SparkSession, path: str, most: int = 300, width: int = 600) -> DataFrame:
-    """(question_id, question, problem): ids from question_id or id, else numbered; a blank or too long question, a
-    repeated id, and rows beyond `most` are problems."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    if "question" not in raw.columns:
+@F.pandas_udf(T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+def _csv_rows(content: pd.Series) -> pd.Series:
+    return pd.Series([[{k: v for k, v in row.items() if isinstance(k, str) and isinstance(v, str)} for row in csv.DictReader(io.StringIO(bytes(c).decode("utf-8-sig", "replace"), newline=""))] for c in content], dtype=object)
+
+
+def questionnaire(spark: SparkSession, path: str, most: int | None = 300, width: int | None = 600) -> DataFrame:
+    """(question_id, question, problem): ids from question_id or id, else numbered within the file; a blank or too long
+    question, an id repeated in the file, and rows beyond `most` are problems (None: no limit).
+
+    A file is one row of a binary scan, so its rows keep their order and files are read in parallel; a single file should
+    fit into one task.
+    """
+    header = spark.read.option("header", True).csv(path).columns
+    if "question" not in header:
         raise ValueError("the column question is required")
-    own = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("question_id", "id") if c in raw.columns]
-    # a questionnaire is one small file, read by one task: its rows keep their order
-    numbered = raw.withColumn("_n", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
-    q = TX.collapse(F.coalesce("question", F.lit("")))
-    rows = numbered.select(F.coalesce(*own, F.format_string("question_%03d", "_n")).alias("question_id"), q.alias("question"), "_n")
-    repeated = F.count("*").over(Window.partitionBy("question_id")) > 1
-    problem = F.when(F.col("_n") > most, "too_many").when(F.col("question") == "", "blank").when(F.char_length("question") > width, "too_long").when(repeated, "repeated_id")
-    return rows.withColumn("problem", problem).drop("_n")
+    files = spark.read.format("binaryFile").load(path).select("path", _csv_rows("content").alias("_rows"))
+    own = [F.nullif(F.trim(F.element_at("_r", F.lit(c))), F.lit("")) for c in ("question_id", "id") if c in header]
+    each = files.select("path", F.posexplode("_rows").alias("_i", "_r"))
+    n = F.col("_i") + 1
+    rows = each.select("path", n.alias("_n"), F.coalesce(*own, F.format_string("question_%03d", n)).alias("question_id"), TX.collapse(F.coalesce(F.element_at("_r", F.lit("question")), F.lit(""))).alias("question"))
+    repeated = F.count("*").over(Window.partitionBy("path", "question_id")) > 1
+    many = F.lit(False) if most is None else F.col("_n") > most
+    long = F.lit(False) if width is None else F.char_length("question") > width
+    problem = F.when(many, "too_many").when(F.col("question") == "", "blank").when(long, "too_long").when(repeated, "repeated_id")
+    return rows.withColumn("problem", problem).drop("_n", "path")
 
 
 def review_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -81,24 +101,43 @@ def review_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False).csv(path)
 
 
-def training_items(spark: SparkSession, path: str) -> DataFrame:
-    """(item_id, text, label) from JSON or CSV; item ids default to a hash of text and label."""
+def training_items(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(item_id, text, label) from JSON or CSV; item ids default to a hash of text and label. With `strict` a blank text or
+    label raises ConstraintError."""
     if path.endswith(".csv"):
         rows = spark.read.schema("item_id string, text string, label string").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     else:
         rows = nested(spark, path, TRAINING, "items")
+    if strict:
+        require(failing(rows, text=F.trim("text") != "", label=F.trim("label") != ""), "a training item is incomplete")
     return rows.withColumn("item_id", F.coalesce(F.nullif(F.trim("item_id"), F.lit("")), TX.stable_id("item-", [F.col("text"), F.col("label")], 12)))
 
 
-def sqlite_table(path: str, name: str, spark: SparkSession) -> DataFrame:
-    """One table of a SQLite file. Such a file is local to the driver and small; its rows are read there."""
-    import sqlite3
+def evidence_problems(store: DataFrame, controls: DataFrame) -> DataFrame:
+    """(evidence_id, violations): entries of an evidence store whose id is blank or repeated, whose hash is none, or that
+    name a control the catalog (control_id) lacks."""
+    repeated = duplicate_keys(store, "evidence_id").select(F.col("evidence_id").alias("_id"))
+    named = store.select("evidence_id", F.explode("mapped_controls").alias("_c"))
+    unknown = missing_targets(named, "_c", controls, "control_id").select(F.col("evidence_id").alias("_u")).distinct()
+    j = store.join(repeated, F.col("evidence_id").eqNullSafe(F.col("_id")), "left").join(unknown, F.col("evidence_id").eqNullSafe(F.col("_u")), "left")
+    bad = failing(j, id=F.trim("evidence_id") != "", unique=F.col("_id").isNull(), sha256=F.col("sha256").rlike("^[0-9a-f]{64}$"), controls=F.col("_u").isNull())
+    return bad.select("evidence_id", "violations").distinct()
 
+
+SQLITE_PAGE = 50_000  # rows that the driver holds at once
+
+
+def sqlite_table(path: str, name: str, spark: SparkSession) -> DataFrame:
+    """One table of a SQLite file, which is local to the driver. It is read a page at a time, and each page is written to
+    shared storage before the next, so the driver never holds more than SQLITE_PAGE rows."""
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
         known = {r[0] for r in c.execute("select name from sqlite_master where type = 'table'")}
         if name not in known:
             raise ValueError(f"no table {name}")
         cursor = c.execute(f'select * from "{name}"')
-        columns = [d[0] for d in cursor.description]
         types = {r[1]: {"INTEGER": "bigint", "REAL": "double"}.get(r[2].upper(), "string") for r in c.execute(f'pragma table_info("{name}")')}
-        return spark.createDataFrame(cursor.fetchall(), ", ".join(f"`{x}` {types.get(x, 'string')}" for x in columns))
+        schema = ", ".join(f"`{d[0]}` {types.get(d[0], 'string')}" for d in cursor.description)
+        pages = [spark.createDataFrame([], schema)]
+        while page := cursor.fetchmany(SQLITE_PAGE):
+            pages.append(materialize(spark.createDataFrame(page, schema), f"sqlite-{name}"))
+        return reduce(DataFrame.unionByName, pages)

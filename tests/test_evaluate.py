@@ -87,5 +87,5 @@ def test_long_lines_are_read_as_short_ones(spark):
     got = P.long_line(line)
     assert sorted(set(got)) == want and len(got) == 300 * len(want)
     df = spark.createDataFrame([(1, line), (2, "\n".join(values))], "k int, t string")
-    rows = P.scan_lines(df, "k", "t", whole_lines=True).collect()
+    rows = P.scan_lines(df, "k", "t").collect()
     assert sorted((r.type, r.severity, r.match) for r in rows if r.k == 2) == want and len([r for r in rows if r.k == 1]) == 300 * len(want)
