@@ -6,10 +6,10 @@ import argparse
 import sys
 
 from evidloom import sinks
-from evidloom.plans import data_quality, evidence, pipeline, records
+from evidloom.plans import checks, data_quality, evidence, files, pipeline, records
 from evidloom.session import local_session
 
-QUERIES = {**data_quality.QUERIES, **evidence.QUERIES, **records.QUERIES}
+QUERIES = {**data_quality.QUERIES, **evidence.QUERIES, **records.QUERIES, **files.QUERIES, **checks.QUERIES}
 
 
 def main(args: list[str] | None = None) -> int:

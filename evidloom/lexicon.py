@@ -70,7 +70,7 @@ CONCRETE_FEATURES: dict[str, tuple[str, ...]] = {
     "process_or_control": ("approved", "control", "documented", "implemented", "procedure", "process", "richtlinie", "runbook", "tested", "workflow"),
     "output_or_evidence": ("evidence", "export", "log", "notes", "record", "records", "report", "result", "ticket"),
 }
-#: Features that count for one category only: category, feature, terms.
+# Features that count for one category only: category, feature, terms.
 CATEGORY_FEATURES = (
     ("incident_reporting", "timeline", ("24 hours", "72 hours", "escalation", "meldepflicht", "timeline", "within")),
     ("supplier_security", "supplier_control", ("contractual", "due diligence", "onboarding", "questionnaire", "review", "security requirements")),
@@ -81,8 +81,9 @@ CATEGORY_FEATURES = (
     ("asset_management", "asset_inventory", ("asset inventory", "asset management", "asset register", "device inventory", "inventory review", "inventarisierung")),
     ("secure_auth_communications", "secure_authentication_or_communication", ("continuous authentication", "emergency communication", "secure communications", "secure text", "secure voice", "secured communications", "strong authentication")),
 )
-#: Signals raised when a category's own terms are absent: category, signal, terms.
+# Signals raised when a category's own terms are absent: category, signal, terms.
 ABSENCE_SIGNALS = (("incident_reporting", "missing_timeline", CATEGORY_FEATURES[0][2]), ("supplier_security", "vague_supplier_controls", CATEGORY_FEATURES[1][2]))
+# Signals that make a warning.
 HARD_SIGNALS = ("marketing_only", "template_only", "outdated", "missing_timeline", "vague_supplier_controls")
 
 # Terms of a chunk's score.
@@ -123,6 +124,27 @@ CONTROL_TERMS: dict[str, tuple[str, ...]] = {
     "NIS2-SCRM-05": ("access control", "least privilege", "multi-factor authentication", "mfa", "access review", "privileged access", "secure communications"),
 }
 
+# The topics of the coverage matrix with the categories whose evidence covers them.
+CONTROL_CATEGORIES: dict[str, tuple[str, ...]] = {
+    "nis2_art_21_2_a": ("risk_management",),
+    "nis2_art_21_2_b": ("incident_reporting",),
+    "nis2_art_21_2_c": ("business_continuity",),
+    "nis2_art_21_2_d": ("supplier_security",),
+    "nis2_art_21_2_e": ("vulnerability_management", "secure_development"),
+    "nis2_art_21_2_f": ("control_effectiveness",),
+    "nis2_art_21_2_g": ("cyber_hygiene_training",),
+    "nis2_art_21_2_h": ("cryptography_encryption",),
+    "nis2_art_21_2_i": ("access_control", "asset_management"),
+    "nis2_art_21_2_j": ("secure_auth_communications", "access_control"),
+}
+# The controls that a category's evidence speaks to.
+CATEGORY_CONTROLS: dict[str, list[str]] = {
+    "access_control": ["NIS2-SCRM-05"], "asset_management": ["NIS2-SCRM-05"], "business_continuity": ["NIS2-SCRM-04"], "incident_reporting": ["NIS2-SCRM-02"],
+    "secure_auth_communications": ["NIS2-SCRM-05"], "secure_development": ["NIS2-SCRM-03"], "supplier_security": ["NIS2-SCRM-01"], "vulnerability_management": ["NIS2-SCRM-03"],
+}
+# Claims that no statement may make.
+FORBIDDEN_CLAIMS = (r"\bnis\s*-?\s*2\s*(?:compliant|konform)\b", r"\biso\s*(?:27001\s*)?(?:certified|zertifiziert)\b")
+
 #: A small lexicon whose words the synthetic corpus does use, for queries over it.
 CORPUS_CATEGORIES: dict[str, tuple[str, ...]] = {
     "access": ("access rights", "remote logins", "admin accounts", "zugriffsrechte", "fernzugänge"),

@@ -80,3 +80,18 @@ def url_check(url: Column, status: Column, location: Column, error: Column, offi
     result = result.when(moved & near, F.struct(F.lit("PASS"), F.lit("redirect"))).when(moved, F.struct(F.lit("WARN"), F.lit("odd_redirect")))
     result = result.when(status.isin(401, 403, 405, 429), F.struct(F.lit("WARN"), F.lit("blocked"))).otherwise(F.struct(F.lit("FAIL"), F.lit("bad_status")))
     return result.cast("struct<result:string,reason:string>")
+
+
+# What an error is called and how a command ends on it.
+EXIT_CODES = {"ok": 0, "blocked": 1, "usage": 2, "missing_input": 3, "unsupported_type": 4, "too_large": 5, "parse_failed": 6, "constraint": 7, "ledger": 8, "output_exists": 9, "pdf_library_missing": 10, "internal": 70}
+
+
+def error_code(error: BaseException) -> str:
+    """The name of an error, one of EXIT_CODES."""
+    known = {"ConstraintError": "constraint", "LedgerError": "ledger", "FileNotFoundError": "missing_input", "FileExistsError": "output_exists", "ValueError": "usage"}
+    name = next((known[k.__name__] for k in type(error).__mro__ if k.__name__ in known), "internal")
+    return str(error) if str(error) in EXIT_CODES else name
+
+
+def exit_code(error: BaseException) -> int:
+    return EXIT_CODES[error_code(error)]

@@ -40,6 +40,35 @@ def summary(evaluated: DataFrame) -> DataFrame:
     return evaluated.agg(F.count("*").alias("documents"), F.count_if("passed").alias("passed"), ratio(F.sum("hits"), F.sum("wanted")).alias("hit_rate"))
 
 
+# What a corpus must reach as a whole.
+HIT_RATE, PROCESSED, PARSER_FAILURES, MARKETING_STRONG = 0.8, 1.0, 0, 0
+
+
+def corpus_gate(evaluated: DataFrame, documents: DataFrame, quality: DataFrame, key: str) -> DataFrame:
+    """(check, ok) of the thresholds over all documents, and a last row `all`.
+
+    evaluated: evaluate_documents(); documents: key and status (parsed, empty, ocr_required, unsupported or error);
+    quality: rows with key, quality and signals. Checks: expected categories found, all documents passed, no forbidden
+    category, no parser failure, every document processed, no strong evidence from marketing.
+    """
+    hits = summary(evaluated).select("documents", "passed", "hit_rate")
+    forbidden = evaluated.agg(F.count_if(F.size("forbidden_found") > 0).alias("forbidden"))
+    read = documents.agg(F.count_if(F.col("status") == "error").alias("failures"), ratio(F.count_if(F.col("status") != "error"), F.count("*")).alias("processed"))
+    marketing = quality.agg(F.count_if((F.col("quality") == "strong") & F.array_contains("signals", "marketing_only")).alias("marketing"))
+    row = hits.crossJoin(forbidden).crossJoin(read).crossJoin(marketing)  # each is one row
+    return gate(
+        row, hit_rate=F.col("hit_rate") >= HIT_RATE, passed=F.col("passed") == F.col("documents"), forbidden=F.col("forbidden") == 0, parser_failures=F.col("failures") <= PARSER_FAILURES,
+        processed=F.col("processed") >= PROCESSED, marketing=F.col("marketing") <= MARKETING_STRONG,
+    )
+
+
+def missed_gaps(expected: DataFrame, quality: DataFrame, key: str) -> DataFrame:
+    """(key, gap) of the expected gaps (key, gaps: array of signals) that no evidence of the document signals."""
+    asked = expected.select(key, F.explode(F.array_distinct("gaps")).alias("gap"))
+    shown = quality.select(key, F.explode("signals").alias("gap")).distinct()
+    return asked.join(shown, [key, "gap"], "left_anti")
+
+
 def gate(row: DataFrame, **checks: Column) -> DataFrame:
     """(check, ok) of a one-row frame, and a last row `all`; an unknown check fails."""
     each = F.array(*(F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("ok")) for n, c in checks.items()))
@@ -66,6 +95,17 @@ def dataset_problems(manifest: DataFrame, files: DataFrame, most_bytes: int = 50
     return known.select("local_path", problem.alias("problem")).where("problem is not null")
 
 
+def unlicensed(manifest: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """(local_path, problem): entries of a manifest whose licence is none of the allowed ones."""
+    known = F.coalesce(F.lower(F.trim("license_status")), F.lit("")).isin(*allowed)
+    return manifest.where(~known).select("local_path", F.lit("licence").alias("problem"))
+
+
+def too_large_in_all(files: DataFrame, most_bytes: int = 200_000_000) -> DataFrame:
+    """(bytes, problem): one row if the files (length) are too large together, else none."""
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).where(F.col("bytes") > most_bytes).withColumn("problem", F.lit("too_large_in_all"))
+
+
 def map_controls(categories: Column, mapping: dict[str, list[str]], known: list[str]) -> Column:
     """The controls of an array of categories, each once, in the order of the categories; only known ones."""
     table = F.create_map(*(x for c, cs in mapping.items() for x in (F.lit(c), F.array(*(F.lit(v) for v in cs)))))

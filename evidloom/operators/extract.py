@@ -95,6 +95,18 @@ def chunks(df: DataFrame, key: str, text: str, size: int = 900, overlap: int = 1
     return out if with_text else out.drop("chunk_text")
 
 
+def locator_problem(text: Column, start: Column, end: Column, quote: Column, quote_hash: Column, source_type: Column, page: Column, actual_page: Column, table_position: Column) -> Column:
+    """What is wrong with a quote's locator, the first that applies, or null: span, quote, page (only of a PDF, where it must
+    be right and not be left out if known), table (only of CSV and XLSX), hash."""
+    pdf = F.coalesce(source_type == "pdf", F.lit(False))
+    span = F.coalesce((F.char_length(quote) > 0) & (start >= 0) & (end > start) & (end <= F.char_length(text)), F.lit(False))
+    wrong_page = F.when(page.isNotNull(), ~(pdf & page.eqNullSafe(actual_page))).otherwise(actual_page.isNotNull() & pdf)
+    return (
+        F.when(~span, "span").when(F.substring(text, start + 1, end - start) != quote, "quote").when(wrong_page, "page")
+        .when(table_position.isNotNull() & ~F.coalesce(source_type.isin("csv", "xlsx"), F.lit(False)), "table").when(~(F.sha2(quote, 256)).eqNullSafe(quote_hash), "hash")
+    )
+
+
 def locator_ok(text: Column, start: Column, end: Column, quote: Column, quote_hash: Column) -> Column:
     """Whether a quote stands at its place and has its hash."""
     return (F.substring(text, start + 1, end - start) == quote) & (F.sha2(quote, 256) == quote_hash)

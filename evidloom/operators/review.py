@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidloom.functions import patterns as P
 from evidloom.functions import text as TX
+from evidloom.operators.constraints import ConstraintError, require
 
 # Accepted review states.
 STATES = ("open", "accepted", "reviewed", "rejected", "false_positive", "needs_evidence", "not_applicable", "resolved")
@@ -52,6 +53,30 @@ def apply_reviews(findings: DataFrame, reviews: DataFrame, key: str = "finding_i
     return joined.withColumn("review_state", state).withColumn("review_note", clean_note(F.col("_r.review_note"), most)["note"]).drop("_r")
 
 
+def review_problems(reviews: DataFrame, findings: DataFrame, key: str = "finding_id") -> DataFrame:
+    """(key, problem, n): what a strict review refuses: rows without an id, ids that occur twice, unknown states, and
+    reviews of unknown findings."""
+    for c in (key, "review_status"):
+        if c not in reviews.columns:
+            raise ConstraintError(f"the reviews have no column {c}")
+    rows = reviews.select(TX.strip(F.coalesce(F.col(key), F.lit(""))).alias(key), review_state(F.col("review_status"))["unknown"].alias("_u"))
+    per = rows.groupBy(key).agg(F.count("*").alias("_n"), F.count_if("_u").alias("_bad"))
+    known = findings.where(F.col(key).isNotNull()).select(key).distinct().withColumn("_known", F.lit(True))
+    j = per.join(known, key, "left")
+    blank = F.col(key) == ""
+    each = F.array(
+        F.when(blank, F.struct(F.lit("missing_id").alias("problem"), F.col("_n").alias("n"))), F.when(~blank & (F.col("_n") > 1), F.struct(F.lit("repeated_id").alias("problem"), F.col("_n").alias("n"))),
+        F.when(F.col("_bad") > 0, F.struct(F.lit("unknown_state").alias("problem"), F.col("_bad").alias("n"))), F.when(~blank & F.col("_known").isNull(), F.struct(F.lit("unknown_finding").alias("problem"), F.col("_n").alias("n"))),
+    )
+    return j.select(key, F.inline(F.array_compact(each)))
+
+
+def apply_strict(findings: DataFrame, reviews: DataFrame, key: str = "finding_id", most: int | None = MOST_NOTE) -> DataFrame:
+    """apply_reviews(), unless review_problems() has any: then ConstraintError."""
+    require(review_problems(reviews, findings, key), "the reviews cannot be applied")
+    return apply_reviews(findings, reviews, key, most)
+
+
 def unknown_reviews(reviews: DataFrame, findings: DataFrame, key: str = "finding_id") -> DataFrame:
     """Distinct ids of reviews without a finding."""
     return reviews.where(F.col(key).isNotNull()).select(key).distinct().join(findings.select(key).distinct(), key, "left_anti")

@@ -21,6 +21,13 @@ def category_counts(evidence: DataFrame, key: str, categories: list[str]) -> Dat
     return counted.where("_all = 0").select(key, "category", "n").unionByName(total.select(F.lit(None).cast(kind).alias(key), "category", F.coalesce("n", F.lit(0)).alias("n")))
 
 
+def counters(df: DataFrame, column: str, values: list[str], other: str = "other") -> DataFrame:
+    """(value, n) for each value, 0 where none has it, and `other` for null and all else."""
+    known = F.when(F.col(column).isin(values), F.col(column)).otherwise(other)
+    counted = df.groupBy(known.alias("value")).agg(F.count("*").alias("n"))
+    return spine(df, "value", [*values, other]).join(counted, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def quality_counts(evidence: DataFrame, key: str, levels: list[str]) -> DataFrame:
     """One row per document with a count for each quality level."""
     return evidence.groupBy(key).agg(*(F.count_if(F.col("quality") == q).alias(q) for q in levels))

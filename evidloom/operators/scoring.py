@@ -185,6 +185,26 @@ def suggest(df: DataFrame, key: str, text: str, rules=None, least: float = 0.55,
     return rows.withColumn("_c", conf).where(F.col("_c") >= d(least)).select(key, "control", "n_terms", F.round("_c", 2).alias("confidence"), F.when(F.col("_c") >= d(firm), "suggested").otherwise("experimental").alias("status"))
 
 
+def answer_status(n: Column, review_required: Column, current: Column) -> Column:
+    """Whether an answer can be drafted from n pieces of evidence: none, some that need review or are not current, or all
+    fit."""
+    return ladder((F.coalesce(n, F.lit(0)) == 0, "needs_evidence"), (review_required | ~current, "draft_review_required"), otherwise="draft_ready")
+
+
+# Review states by what they mean for evidence.
+APPROVED, REJECTED, NOT_ASSESSED = ("accepted", "reviewed"), ("rejected", "false_positive"), ("not_applicable", "not_assessed")
+
+
+def evidence_status(review_status: Column, validity: Column) -> Column:
+    """accepted or reviewed as the review has it, rejected, needs_evidence, not_assessed, or needs_review; whatever is not
+    current needs review."""
+    low = F.lower(F.coalesce(review_status, F.lit("")))
+    return (
+        F.when(~F.coalesce(validity == "current", F.lit(False)), "needs_review").when(low.isin(*APPROVED), low).when(low.isin(*REJECTED), "rejected").when(low == "needs_evidence", "needs_evidence")
+        .when(low.isin(*NOT_ASSESSED), "not_assessed").otherwise("needs_review")
+    )
+
+
 def ladder(*steps: tuple[Column, str], otherwise: str) -> Column:
     """The name of the first condition that holds; an unknown condition does not."""
     out = None

@@ -217,7 +217,8 @@ def repeated_findings(spark, sf):
 
 
 def orphan_cases(spark, sf):
-    return C.missing_targets(table(spark, sf, "cases"), "source_id", table(spark, sf, "manifest"), "source_id").select("load_seq", "source_id")
+    """Cases whose source the manifest of before 2025 lacks."""
+    return C.missing_targets(table(spark, sf, "cases"), "source_id", table(spark, sf, "manifest").where("recorded_at < timestamp'2025-01-01'"), "source_id").select("load_seq", "source_id")
 
 
 def catalog_problems(spark, sf):
@@ -235,7 +236,10 @@ def register_differences(spark, sf):
 
 
 def unsafe_paths(spark, sf):
-    d = table(spark, sf, "documents").where("source_path is not null")
+    """Paths, some of which step out of their folder or name a secret."""
+    n = F.col("doc_id") % 50
+    path = F.when(n == 1, F.concat(F.lit("../"), "source_path")).when(n == 2, F.concat("source_path", F.lit("/.env.local"))).when(n == 3, F.concat(F.lit("/"), "source_path")).otherwise(F.col("source_path"))
+    d = table(spark, sf, "documents").where("source_path is not null").withColumn("source_path", path)
     return d.where(~C.safe_relative_path(F.col("source_path"))).select("doc_id", "source_path")
 
 
@@ -363,10 +367,10 @@ SQL = {
     "duplicate_components": "with g as (select *, row_number() over (partition by lower(p_brand), lower(p_type), lower(p_name) order by p_partkey)::int as copy_no, count(*) over (partition by lower(p_brand), lower(p_type), lower(p_name)) as copies from part) select p_partkey, copy_no, copies from g where copies > 1",
     "parsed_components": "select load_seq, no, trim(coalesce(title, '')) as name, trim(coalesce(document_version, '')) as version, '' as purl, coalesce(license_status, '') as licenses from manifest, (values (1), (2)) v(no)",
     "repeated_findings": "select finding_id, count(*) as n from review_items group by 1 having count(*) > 1",
-    "orphan_cases": "select load_seq, source_id from cases where source_id is not null and source_id not in (select source_id from manifest where source_id is not null)",
+    "orphan_cases": "select load_seq, source_id from cases where source_id is not null and source_id not in (select source_id from manifest where source_id is not null and recorded_at < '2025-01-01 00:00:00+00'::timestamptz)",
     "catalog_problems": "with c as (select load_seq, list_filter([case when not coalesce(regexp_matches(sha256, '^[0-9a-f]{64}$'), false) then 'sha' end, case when not coalesce(regexp_matches(public_url, '^https://'), false) then 'url' end, case when not coalesce(file_type in ('pdf', 'json', 'csv', 'txt'), false) then 'kind' end, case when not coalesce(regexp_matches(source_id, '^src-[0-9a-f]{12}$'), false) then 'id' end], lambda x: x is not null) as v from manifest) select load_seq, array_to_string(v, '|') as violations from c where len(v) > 0",
     "register_differences": "with r as (select *, row_number() over (partition by source_id order by recorded_at desc, load_seq desc) as n from manifest), a as (select * from r where n = 1), q as (select *, row_number() over (partition by source_id order by recorded_at desc, load_seq desc) as n from manifest where recorded_at < '2025-01-01 00:00:00+00'::timestamptz), b as (select * from q where n = 1), j as (select coalesce(a.source_id, b.source_id) as source_id, case when b.source_id is null then 'only_left' when a.source_id is null then 'only_right' when a.document_version is distinct from b.document_version or a.license_status is distinct from b.license_status then 'differs' end as problem from a full join b on a.source_id = b.source_id) select * from j where problem is not null",
-    "unsafe_paths": "select doc_id, source_path from documents where source_path is not null and (regexp_matches(source_path, '^(/|\\\\|[A-Za-z]:)') or trim(source_path) = '' or len(list_filter(string_split(replace(source_path, '\\', '/'), '/'), lambda p: p = '..' or regexp_matches(p, '(?i)^(\\.env.*|.*(secret|password|credential|id_rsa|private[_-]?key).*|.*\\.(pem|key|p12|pfx|db|sqlite3?|log))$'))) > 0)",
+    "unsafe_paths": "select doc_id, source_path from (select doc_id, case doc_id % 50 when 1 then '../' || source_path when 2 then source_path || '/.env.local' when 3 then '/' || source_path else source_path end as source_path from documents) where source_path is not null and (regexp_matches(source_path, '^(/|\\\\|[A-Za-z]:)') or trim(source_path) = '' or len(list_filter(string_split(replace(source_path, '\\', '/'), '/'), lambda p: p = '..' or regexp_matches(p, '(?i)^(\\.env.*|.*(secret|password|credential|id_rsa|private[_-]?key).*|.*\\.(pem|key|p12|pfx|db|sqlite3?|log))$'))) > 0)",
     "url_checks": "select load_seq, case when not ok then 'FAIL' when not tr then 'FAIL' when file_type = 'csv' then 'WARN' else 'PASS' end as result, case when not ok then 'invalid_url' when not tr then 'not_official' when file_type = 'csv' then 'unreachable' when file_type = 'pdf' then 'redirect' else 'ok' end as reason from (select *, regexp_matches(public_url, '^https://[^\\s/]+(/\\S*)?$') as ok, regexp_matches(lower(regexp_extract(public_url, '^https://([^/:?#]+)', 1)), '\\.example$') as tr from manifest where public_url is not null)",
     "field_classes": f"with f as (select load_seq, 'Website' as name, 'url' as kind, public_url as value from manifest union all select load_seq, 'company_name', 'freeform', publisher from manifest union all select load_seq, 'vat_id', 'identifier', source_id from manifest union all select load_seq, 'dpo_phone', 'phone', sha256 from manifest union all select load_seq, 'title', null, title from manifest), g as (select *, {K.collapse('coalesce(value, $$$$)')} as v from f), h as (select *, case when v = '' then false when kind = 'url' then regexp_matches(v, '(?i)^https?://[^\\s/]+\\.[^\\s]+$') when kind = 'phone' then length(regexp_replace(v, '\\D', '', 'g')) between 7 and 15 when kind = 'identifier' then regexp_matches(v, '^[A-Za-z0-9][A-Za-z0-9 ./_-]*$') else true end as ok from g) select load_seq, name, case when kind is null or not ok then 2 else 1 end as field_class, case when kind is null then 'field_not_company_metadata' when not ok then 'declared_field_failed_validation' else 'declared_company_metadata' end as class_reason from h",
     "supplier_scores": "with l as (select l_suppkey, count(*) filter (l_returnflag = 'R') as r, count(*) filter (l_linestatus = 'O') as o, count(*) filter (l_quantity > 49) as g from lineitem group by 1), p as (select s_suppkey, case when s_acctbal < 0 then 60 when s_acctbal < 5000 then 40 else 20 end as b, least(24, coalesce(r, 0) * 8) as pr, least(15, coalesce(o, 0) * 3) as po, least(12, coalesce(g, 0) * 3) as pg from supplier left join l on l_suppkey = s_suppkey), q as (select *, least(100, b + pr + po + pg) as score, (pr > 0)::int + (po > 0)::int + (pg > 0)::int as k from p) select s_suppkey, score, case when k >= 2 then 'corroborated' when k = 1 then 'partial' else 'base_only' end as basis, case when score >= 80 then 'high' when score >= 60 then 'medium' when score >= 35 then 'low' else 'watch' end as level from q",

@@ -72,11 +72,16 @@ def _own(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/evidloom-{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new place in shared storage, which clear() removes."""
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to shared storage and read it back: cuts the lineage and survives lost executors. clear() removes
     it."""
     spark = df.sparkSession
-    path = f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -124,6 +124,22 @@ def evidence_problems(store: DataFrame, controls: DataFrame) -> DataFrame:
     return bad.select("evidence_id", "violations").distinct()
 
 
+# The tables of a vault of answers, as they are created in an SQLite file.
+VAULT = {
+    "suppliers": "supplier_id text primary key, name text not null, criticality text",
+    "questions": "question_id text primary key, question_cluster text not null, canonical_question text not null",
+    "answers": "answer_id text primary key, question_cluster text not null, answer_de text, answer_en text, review_status text not null, reviewer text, reviewed_at text, valid_until text, confidence real, source_case_id text, first_seen text",
+    "answer_versions": "answer_id text not null, version_no integer not null, answer_de text, answer_en text, replaced_at text, primary key (answer_id, version_no)",
+    "evidence_refs": "answer_id text not null, evidence_id text not null, primary key (answer_id, evidence_id)",
+}
+
+
+def create_vault(connection: sqlite3.Connection) -> None:
+    """The tables of VAULT in an open database; those that exist stay."""
+    for name, columns in VAULT.items():
+        connection.execute(f"create table if not exists {name} ({columns})")
+
+
 SQLITE_PAGE = 50_000  # rows that the driver holds at once
 
 

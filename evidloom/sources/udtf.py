@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 @F.udtf(returnType="pos int, term string")
 class TermFinder:
     """Places of whole words in a text; remembers what it gave out, so that a term's hit at one place comes once even if
-    windows overlap. A model of an evaluator: eval() sees each window, terminate() may add a summary."""
+    windows overlap. A model of an evaluator: eval() sees each window, terminate() adds one row for each term, at place -1,
+    as a summary of what was found."""
 
     def __init__(self) -> None:
         self.given: set[tuple[int, str]] = set()
@@ -22,3 +23,7 @@ class TermFinder:
             if hit not in self.given:
                 self.given.add(hit)
                 yield hit
+
+    def terminate(self):
+        for term in sorted({t for _, t in self.given}):
+            yield -1, term

@@ -2,10 +2,10 @@
 
 import pytest
 
-from evidloom.plans import data_quality, evidence, records
+from evidloom.plans import checks, data_quality, evidence, files, records
 from tests.oracle import same
 
-MODULES = (data_quality, evidence, records)
+MODULES = (data_quality, evidence, files, records, checks)
 WITH_SQL = [(m, n) for m in MODULES for n in m.SQL]
 WITHOUT = [(m, n) for m in MODULES for n in m.QUERIES if n not in m.SQL]
 
