@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidloom.functions.text import collapse
+from evidloom.functions.text import SPACE, collapse
 
 # The patterns of the eight detectors. (?U) lets classes and borders see all of Unicode.
 EMAIL = r"(?iU)\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})\b"
@@ -125,10 +125,11 @@ def safe_text(text: Column, most: int, keep_date: bool = False) -> Column:
 
 
 def snippet(line: Column, start: Column, end: Column, kind: Column, radius: int = 36, most: int = 160) -> Column:
-    """The masked surroundings of a finding, itself replaced by its type."""
+    """The masked surroundings of a finding, itself replaced by its type; both sides are masked on their own, so that the
+    replacement is not taken for a value."""
     before = F.substring(line, F.greatest(start - radius, F.lit(0)) + 1, F.least(start, F.lit(radius)))
-    raw = F.concat(before, F.lit("["), kind, F.lit(":redacted]"), F.substring(line, end + 1, F.lit(radius)))
-    masked = mask(collapse(raw))
+    single = [F.regexp_replace(x, SPACE, " ") for x in (before, F.substring(line, end + 1, F.lit(radius)))]
+    masked = F.trim(F.concat(mask(single[0]), F.lit("["), kind, F.lit(":redacted]"), mask(single[1])))
     return F.when(F.char_length(masked) > most, F.concat(F.left(masked, F.lit(most - 3)), F.lit("..."))).otherwise(masked)
 
 

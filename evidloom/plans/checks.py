@@ -197,7 +197,7 @@ def plugged_terms(spark, sf):
     """Terms found by a plug-in over whole texts: places, and a summary of each task's terms."""
     d = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
     terms = "backup copies|incident reports"
-    hits = d.lateralJoin(TermFinder(F.col("text").outer(), F.lit(0), F.lit(terms)))
+    hits = d.lateralJoin(TermFinder(F.col("doc_id").cast("string").outer(), F.col("text").outer(), F.lit(0), F.lit(terms)))
     return hits.where("pos >= 0").select("doc_id", "pos", "term")
 
 

@@ -314,7 +314,13 @@ _WINDOWS = (
     "select doc_id, n, f, unnest(range(0, f + 1)) as k from (select doc_id, length(text) as n, greatest(ceil((length(text) - 3584) / 1536.0), 0)::int as f from documents where length(text) > 0)))"
 )
 
+_FOUND = K.findings("review_items", "load_seq", "review_note")
+_SEEN = " or ".join(f"count(*) filter (type = {K.quote(t)}) > 0" for t in P.SEVERITIES)
+
 SQL = {
+    "note_findings": f"with {_FOUND} select type, severity, count(*) as n, count(distinct load_seq) as rows from fi group by 1, 2",
+    "note_verdicts": f"with {_FOUND}, c as (select load_seq, count(*) filter (severity = 'high') as high, count(*) filter (severity = 'medium') as medium, count(*) filter (severity = 'low') as low from fi group by 1) select distinct r.load_seq, coalesce(high, 0) as high, coalesce(medium, 0) as medium, coalesce(low, 0) as low, case when coalesce(high, 0) + coalesce(medium, 0) > 0 then 'block' when coalesce(low, 0) > 0 then 'warn' else 'pass' end as status from review_items r left join c using (load_seq)",
+    "masked_notes": f"with sn as (select load_seq, review_note from review_items where review_note is not null), {K.masked('sn', 'load_seq', 'review_note')}, {_FOUND}, se as (select distinct load_seq from fi) select load_seq, note, load_seq in (select load_seq from se) as sensitive from mk",
     "text_sizes": f"select doc_id, coalesce(length({K.collapse('text')}), 0)::int as n_chars, len({K.tokens('text')})::int as n_tokens, left(sha256({K.for_match('text')}), 12) as match_hash from documents",
     "normalized_texts": "select doc_id, sha256(regexp_replace(regexp_replace(replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), chr(0), ''), ' {3,}', ' ', 'g'), '^SP|SP$', '', 'g')) as text_hash from documents".replace("SP", K.SPACE),
     "document_frequency": f"select term, count(distinct doc_id) as df, count(*) as cf from (select doc_id, unnest({K.tokens('text')}) as term from documents) group by 1",

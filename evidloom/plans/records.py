@@ -11,6 +11,7 @@ from evidloom.plans import duck as K
 from evidloom.session import spread, table
 
 AS_OF = "2026-01-01"
+KEPT = ("030/23125-409", "audit@kesselmail.invalid")
 QUERY = "Backup copies, audit exercises and vendor audits after the restore"
 CLUSTERS = ["access_control", "backup", "mfa", "restore_test", "supplier", "sbom"]
 CONTROLS = {
@@ -258,7 +259,7 @@ def field_classes(spark, sf):
 def guarded_notes(spark, sf):
     """Notes masked but for two declared values."""
     notes = table(spark, sf, "review_items").where("review_note is not null")
-    got = gate.guard_text(F.col("review_note"), ["030/23125-409", "audit@kesselmail.invalid"])
+    got = gate.guard_text(F.col("review_note"), list(KEPT))
     return notes.select("load_seq", got["text"].alias("note"), F.array_join(got["masked_types"], "|").alias("masked"))
 
 
@@ -332,6 +333,8 @@ def _control_sql() -> str:
     return f"qf as (select load_seq, {K.for_match('original_question')} as f from questionnaire_draft), cs as ({' union all '.join(parts)}), cr as (select *, row_number() over (partition by load_seq order by score desc, control) as rank from cs where score > 0), qc as (select load_seq, control, score::int as score, rank::int as rank from cr where rank <= 3)"
 
 
+#: The kept values: the mail address as it stands, the number in any spacing.
+_KEEP = "audit@kesselmail\\.invalid|\\(?" + "[ \\t()./-]*".join(c for c in KEPT[0] if c.isdigit()) + "\\b"
 _ANS = "an as (select client_id, matched_cluster as cluster, 'A-' || lpad(load_seq::varchar, 9, '0') as answer_id, review_status, confidence, recorded_at, strftime(((recorded_at at time zone 'UTC')::date + 180)::date, '%Y-%m-%d') as valid_until, evidence_refs as refs from questionnaire_draft where matched_cluster is not null)"
 _EVENTS = "ev as (select user_id, event_id, event_type, epoch_us(ts) as at_us, props, row_number() over (partition by user_id order by ts, event_id) as sequence from events)"
 
@@ -378,4 +381,11 @@ SQL = {
     "stable_ids": f"select load_seq, 'F-' || left(sha256(coalesce({K.collapse('lower(category)')}, '') || chr(10) || coalesce(document, '') || chr(10) || coalesce(evidence_level, '')), 8) as stable_id, coalesce(nullif(regexp_replace(regexp_replace(upper(control_area), '[^A-Z0-9_.,()-]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'UNMAPPED') as slug, case when length(finding) > 60 then regexp_replace(left(finding, 57), '{K.SPACE}$', '') || '...' else finding end as short, case when regexp_matches(review_note, '^({K.SPACE})?[=+@-]') then '''' || review_note else review_note end as cell from review_items",
     "json_lists": "select load_seq, case when evidence_refs is not null then array_to_string(list_filter(list_transform(evidence_refs, lambda x: trim(x)), lambda x: x <> ''), '|') when missing_evidence is null then null else trim(missing_evidence) end as items from questionnaire_draft",
 }
+_V = K.collapse("coalesce(reviewed_at, $$$$)")
+_AUTH_SQL, _DOTENV_SQL, _PATH_SQL = (K.quote(x) for x in (V._AUTH, V._DOTENV, V._PRIVATE_PATH))
+SQL |= {
+    "review_times": f"with t as (select {_V} as v from review_items), u as (select v, v = '' or (length(v) = 10 and try_strptime(v, '%Y-%m-%d') is not null) or (regexp_full_match(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}(:\\d{{2}}(\\.\\d{{1,6}})?)?(Z|[+-]\\d{{2}}:\\d{{2}})?') and try_cast(v as timestamptz) is not null) as ok from t) select not ok as error, coalesce(v = '' and ok, false) as blank, count(*) as n from u group by 1, 2",
+    "cleaned_review_notes": f"with {_FIND}, la as (select finding_id, arg_max({{'n': review_note}}, load_seq).n as n from review_items where finding_id is not null group by 1), cl as (select finding_id, {K.collapse('coalesce(n, $$$$)')} as t from la), {K.masked('cl', 'finding_id', 't')}, pr as (select finding_id, regexp_replace(regexp_replace(regexp_replace(note, {_AUTH_SQL}, '[token:redacted]', 'g'), {_DOTENV_SQL}, '[path:redacted]', 'g'), {_PATH_SQL}, '[path:redacted]', 'g') as n from mk) select fi.load_seq, coalesce(case when regexp_matches(n, '^({K.SPACE})?[=+@-]') then chr(39) || n else n end, '') as review_note from fi left join pr using (finding_id)",
+    "guarded_notes": f"with kp as (select load_seq, regexp_extract_all(review_note, {K.quote(_KEEP)}, 0) as k, regexp_replace(review_note, {K.quote(_KEEP)}, '\ue001', 'g') as t from review_items where review_note is not null), {K.masked('kp', 'load_seq', 't')}, sp as (select load_seq, k, note as n, string_split(note, '\ue001') as g from mk join kp using (load_seq)) select load_seq, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(k[i], '')), '') as note, array_to_string(list_sort(list_distinct(regexp_extract_all(n, '\\[([a-z_]+):redacted\\]', 1))), '|') as masked from sp",
+}
 SQL = {k: v.replace("$$$$", "''") for k, v in SQL.items()}

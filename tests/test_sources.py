@@ -76,8 +76,8 @@ def test_pages(spark, folder):
 
 def test_term_finder(spark):
     df = spark.createDataFrame([("Risk and risk owner", 10), (None, 0)], "t string, o int")
-    rows = df.lateralJoin(TermFinder(F.col("t").outer(), F.col("o").outer(), F.lit("risk|risk owner"))).select("pos", "term").collect()
-    assert sorted(map(tuple, rows)) == [(10, "risk"), (19, "risk owner")]
+    rows = df.lateralJoin(TermFinder(F.lit("one document"), F.col("t").outer(), F.col("o").outer(), F.lit("risk|risk owner"))).select("pos", "term").collect()
+    assert sorted(map(tuple, rows)) == [(-1, "risk"), (-1, "risk owner"), (10, "risk"), (19, "risk owner")]
 
 
 def test_artefacts(spark, tmp_path):
