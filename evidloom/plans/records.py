@@ -384,7 +384,7 @@ SQL = {
 _V = K.collapse("coalesce(reviewed_at, $$$$)")
 _AUTH_SQL, _DOTENV_SQL, _PATH_SQL = (K.quote(x) for x in (V._AUTH, V._DOTENV, V._PRIVATE_PATH))
 SQL |= {
-    "review_times": f"with t as (select {_V} as v from review_items), u as (select v, v = '' or (length(v) = 10 and try_strptime(v, '%Y-%m-%d') is not null) or (regexp_full_match(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}(:\\d{{2}}(\\.\\d{{1,6}})?)?(Z|[+-]\\d{{2}}:\\d{{2}})?') and try_cast(v as timestamptz) is not null) as ok from t) select not ok as error, coalesce(v = '' and ok, false) as blank, count(*) as n from u group by 1, 2",
+    "review_times": f"with t as (select {_V} as v from review_items), u as (select v, v = '' or (length(v) = 10 and try_strptime(v, '%Y-%m-%d') is not null) or (regexp_full_match(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}(:\\d{{2}}(\\.\\d{{1,6}})?)?(Z|[+-]\\d{{2}}:\\d{{2}})?') and try_cast(v as timestamptz) is not null) as ok from t) select not ok as error, case when ok then v = '' end as blank, count(*) as n from u group by 1, 2",
     "cleaned_review_notes": f"with {_FIND}, la as (select finding_id, arg_max({{'n': review_note}}, load_seq).n as n from review_items where finding_id is not null group by 1), cl as (select finding_id, {K.collapse('coalesce(n, $$$$)')} as t from la), {K.masked('cl', 'finding_id', 't')}, pr as (select finding_id, regexp_replace(regexp_replace(regexp_replace(note, {_AUTH_SQL}, '[token:redacted]', 'g'), {_DOTENV_SQL}, '[path:redacted]', 'g'), {_PATH_SQL}, '[path:redacted]', 'g') as n from mk) select fi.load_seq, coalesce(case when regexp_matches(n, '^({K.SPACE})?[=+@-]') then chr(39) || n else n end, '') as review_note from fi left join pr using (finding_id)",
     "guarded_notes": f"with kp as (select load_seq, regexp_extract_all(review_note, {K.quote(_KEEP)}, 0) as k, regexp_replace(review_note, {K.quote(_KEEP)}, '\ue001', 'g') as t from review_items where review_note is not null), {K.masked('kp', 'load_seq', 't')}, sp as (select load_seq, k, note as n, string_split(note, '\ue001') as g from mk join kp using (load_seq)) select load_seq, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || coalesce(k[i], '')), '') as note, array_to_string(list_sort(list_distinct(regexp_extract_all(n, '\\[([a-z_]+):redacted\\]', 1))), '|') as masked from sp",
 }
