@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -41,33 +42,67 @@ def alternation(terms: list[str] | tuple[str, ...], bounded: bool = True) -> str
     return rf"(?iU)\b({inner})\b" if bounded else f"(?iU)({inner})"
 
 
-_BLOCK = 64  # matches whose places are summed up in one go
+_BLOCK = 64  # entries of an array that are walked through in one go
 
 
-def occurrences(text: Column, pattern: str) -> Column:
-    """array<struct<pos int, match string>>: every match of a pattern with one group around the whole, from left to
-    right, at its 0-based place in code points. Built from the matches and the gaps between them, without Python.
+def _scan(steps: Column, n: Column, start: Column, kind: str, state: Callable[[Column, Column], Column], item: Callable[[Column, Column], Column]) -> Column:
+    """An array of `kind` with one item for each of n steps, made of the step and the state before it; `state` makes the next
+    state. As an array that grows is copied at each step, it is made in blocks of _BLOCK items, so that the work hardly
+    grows faster than the number of steps."""
+
+    def inner(before: Column, block: Column) -> Column:
+        empty = F.struct(before.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(block, empty, lambda acc, x: F.struct(state(acc["state"], x).alias("state"), F.array_append(acc["out"], item(acc["state"], x)).alias("out")))
+
+    def outer(acc: Column, block: Column) -> Column:
+        after = F.aggregate(block, acc["state"], state)
+        return F.struct(after.alias("state"), F.array_append(acc["out"], inner(acc["state"], block)["out"]).alias("out"))
+
+    def walk(bound: Column) -> Column:
+        k = F.size(bound)
+        blocks = F.transform(F.when(k > 0, F.sequence(F.lit(1), k, F.lit(_BLOCK))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(bound, i, F.lit(_BLOCK)))
+        return F.flatten(F.aggregate(blocks, F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), outer)["out"])
+
+    # the steps are an argument of a function here, so that they are made once and not once for each block
+    return F.transform(F.array(F.when(n > 0, steps)), lambda bound: F.when(bound.isNull(), F.array().cast(f"array<{kind}>")).otherwise(walk(bound)))[0]
 
-    Places are running sums. As an array that grows is copied at each step, they are made in blocks of _BLOCK matches, so
-    that the work hardly grows faster than the number of matches.
-    """
+
+def _pieces(text: Column, pattern: str) -> tuple[Column, Column, Column]:
+    """(matches, gaps around them, number of matches)."""
     found = F.regexp_extract_all(text, F.lit(pattern), 1)
-    gaps = F.split(text, pattern, -1)
-    n = F.greatest(F.size(found), F.lit(0))
+    return found, F.split(text, pattern, -1), F.greatest(F.size(found), F.lit(0))
+
+
+def occurrences(text: Column, pattern: str) -> Column:
+    """array<struct<pos int, match string>>: every match of a pattern with one group around the whole, from left to
+    right, at its 0-based place in code points. Built from the matches and the gaps between them, without Python."""
+    found, gaps, n = _pieces(text, pattern)
     steps = F.zip_with(F.slice(gaps, 1, n), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("match"), F.char_length(m).alias("length")))
-    kind = "array<struct<pos:int,match:string>>"
-
-    def places(at: Column, block: Column) -> Column:
-        return F.aggregate(
-            block,
-            F.struct(at.alias("at"), F.array().cast(kind).alias("out")),
-            lambda acc, x: F.struct((acc["at"] + x["gap"] + x["length"]).alias("at"), F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("pos"), x["match"].alias("match"))).alias("out")),
-        )["out"]
-
-    def walk(acc: Column, block: Column) -> Column:
-        width = F.aggregate(block, F.lit(0), lambda total, x: total + x["gap"] + x["length"])
-        return F.struct((acc["at"] + width).alias("at"), F.array_append(acc["out"], places(acc["at"], block)).alias("out"))
-
-    blocks = F.transform(F.when(n > 0, F.sequence(F.lit(1), n, F.lit(_BLOCK))).otherwise(F.array().cast("array<int>")), lambda k: F.slice(steps, k, F.lit(_BLOCK)))
-    walked = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")), walk)
-    return F.flatten(walked["out"])
+    return _scan(steps, n, F.lit(0), "struct<pos:int,match:string>", lambda at, x: at + x["gap"] + x["length"], lambda at, x: F.struct((at + x["gap"]).alias("pos"), x["match"].alias("match")))
+
+
+def contexts(text: Column, pattern: str, radius: int) -> Column:
+    """array<struct<pos int, match string, before string, after string>>: occurrences() with up to `radius` code points to the
+    left of each match, and as many from its start to the right. Both are handed on from match to match, so that no
+    match has to look for its place in the text from the start."""
+    found, gaps, n = _pieces(text, pattern)
+    r = F.lit(radius)
+    left = F.zip_with(F.slice(gaps, 1, n), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), F.right(g, r).alias("end"), m.alias("match"), F.char_length(m).alias("length")))
+
+    def before(state: Column, x: Column) -> Column:
+        return F.right(F.concat(state["tail"], x["end"]), r)
+
+    places = _scan(
+        left, n, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), "struct<pos:int,match:string,before:string>",
+        lambda s, x: F.struct((s["at"] + x["gap"] + x["length"]).alias("at"), F.right(F.concat(before(s, x), x["match"]), r).alias("tail")),
+        lambda s, x: F.struct((s["at"] + x["gap"]).alias("pos"), x["match"].alias("match"), before(s, x).alias("before")),
+    )
+    right = F.reverse(F.zip_with(found, F.slice(gaps, 2, n), lambda m, g: F.concat(m, F.left(g, r))))
+    whole = F.reverse(F.zip_with(found, F.slice(gaps, 2, n), lambda m, g: F.char_length(m) + F.char_length(g)))
+    steps = F.zip_with(right, whole, lambda t, k: F.struct(t.alias("text"), k.alias("length")))
+
+    def after(head: Column, x: Column) -> Column:
+        return F.when(x["length"] >= radius, F.left(x["text"], r)).otherwise(F.left(F.concat(x["text"], head), r))
+
+    following = F.reverse(_scan(steps, n, F.lit(""), "string", after, after))
+    return F.zip_with(places, following, lambda p, a: F.struct(p["pos"].alias("pos"), p["match"].alias("match"), p["before"].alias("before"), a.alias("after")))

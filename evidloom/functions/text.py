@@ -93,7 +93,11 @@ def head_and_tail(s: Column, most: int = 280, joint: str = " ... ") -> Column:
 def around(text: Column, pos: Column, radius: int) -> Column:
     """Up to `radius` characters before and after pos (0-based), blank runs as one, line ends and tabs as blanks."""
     start = F.greatest(pos - radius, F.lit(0))
-    piece = F.substring(text, start + 1, pos + radius - start)
+    return single_line(F.substring(text, start + 1, pos + radius - start))
+
+
+def single_line(piece: Column) -> Column:
+    """Blank runs as one, line ends and tabs as blanks, none at the ends."""
     return strip(F.translate(F.regexp_replace(piece, " {2,}", " "), "\n\t", "  "))
 
 

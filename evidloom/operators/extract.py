@@ -39,8 +39,8 @@ def evidence_rows(df: DataFrame, key: str, text: str, categories: dict[str, tupl
     single = _first_category(categories)
     words = [w for ws in single.values() for w in ws]
     pattern = TM.alternation(words)
-    rows = df.where(F.col(text).rlike(pattern)).select(key, text, F.explode(TM.occurrences(F.col(text), pattern)).alias("_h"))
-    hit = rows.select(key, F.col("_h.pos").alias("pos"), F.col("_h.match").alias("keyword"), TX.around(F.col(text), F.col("_h.pos"), radius).alias("passage"))
+    rows = df.where(F.col(text).rlike(pattern)).select(key, F.explode(TM.contexts(F.col(text), pattern, radius)).alias("_h"))
+    hit = rows.select(key, F.col("_h.pos").alias("pos"), F.col("_h.match").alias("keyword"), TX.single_line(F.concat("_h.before", "_h.after")).alias("passage"))
     numbered = hit.where(F.col("passage") != "").withColumn("evidence_no", F.row_number().over(Window.partitionBy(key).orderBy("pos")))
     return numbered.withColumn("category", requirement_of(F.col("keyword"), single))
 

@@ -17,8 +17,9 @@ from evidloom.operators import rollup as R
 from evidloom.operators import scoring as S
 from evidloom.plans import duck as K
 from evidloom.plans import evidence as EV
+from evidloom.plans import pipeline as PL
 from evidloom.plans import records as RC
-from evidloom.session import table
+from evidloom.session import scratch, table
 from evidloom.sources.udtf import TermFinder
 
 TYPES = ["text", "markdown", "csv", "json", "pdf"]
@@ -201,6 +202,39 @@ def plugged_terms(spark, sf):
     return hits.where("pos >= 0").select("doc_id", "pos", "term")
 
 
+def _product(spark, sf):
+    """The manifest as a folder of documents, and a question for each topic."""
+    where = scratch(spark, "product")
+    firsts = [a[0] for a in L.TOPIC_ALIASES.values()]
+    said = F.element_at(F.array(*(F.lit(a) for a in firsts[:15])), (F.col("load_seq") % 15 + 1).cast("int"))
+    rows = table(spark, sf, "manifest").select(F.concat(F.col("load_seq").cast("string"), F.lit(".txt")).alias("name"), F.concat(F.lit("The "), said, F.when(F.col("load_seq") % 2 == 0, " is documented, tested and approved by the owner.").otherwise(" exists.")).alias("content"))
+    sinks.write_files(rows, f"{where}/docs")
+    asked = spark.createDataFrame([(f"q{i:02d}", f"How is {a} handled?") for i, a in enumerate(firsts)], "question_id string, question string")
+    sinks.write_csv(asked, f"{where}/questions", single=True)
+    return where, PL.run_product(spark, f"{where}/docs", f"{where}/questions", RC.answers(spark, sf), RC.AS_OF)
+
+
+def product_drafts(spark, sf):
+    """Drafts of a questionnaire from a folder of documents and the baseline of answers."""
+    return _product(spark, sf)[1].drafts.select("question_id", "cluster", "status", "reason", "source_id", "confidence")
+
+
+def product_readiness(spark, sf):
+    return PL.readiness(_product(spark, sf)[1])
+
+
+def workspace_files(spark, sf):
+    """A workspace before and after a purge of one of its two folders."""
+    where = scratch(spark, "workspace")
+    rows = table(spark, sf, "clients").select(F.concat("client_id", F.lit(".txt")).alias("name"), "sector")
+    for folder in ("keep", "drop"):
+        sinks.write_files(rows, f"{where}/{folder}", content="sector")
+    before = PL.inspect(spark, where).count()
+    named = PL.purge(spark, where, ["drop", "none"])
+    PL.purge(spark, where, ["drop", "none"], really=True)
+    return spark.createDataFrame([("before", before), ("after", PL.inspect(spark, where).count()), ("named", len(named))], "what string, n long")
+
+
 def sensitive_notes(spark, sf):
     """Which detectors see something in a note."""
     notes = table(spark, sf, "review_items").where("review_note is not null").select("load_seq", "review_note")
@@ -213,7 +247,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         private_addresses, plausible_phones, span_overlaps, snippets, safe_texts, forbidden_claims, mapped_categories, signals_with_reviews, with_models, evaluated_documents, missed_gaps, corpus_gate, document_summaries, type_counters,
-        answer_states, evidence_states, ordered_queue, ordered_severity, answer_library, listed_findings, review_rows_export, default_coverage, review_problems, continued_ledger, locator_problems, plugged_terms, sensitive_notes,
+        answer_states, evidence_states, ordered_queue, ordered_severity, answer_library, listed_findings, review_rows_export, default_coverage, review_problems, continued_ledger, locator_problems, plugged_terms, sensitive_notes, product_drafts, product_readiness, workspace_files,
     )
 }
 
@@ -240,8 +274,22 @@ _EVALUATED = (
 _PHONE_FREE = "load_seq, review_note"
 _KEYS = "api[_-]?key|authorization|cookie|password|passwd|refresh[_-]?token|secret|token|access[_-]?token"
 _SECRET_SQL = rf"(?i)\b({_KEYS})\b\s*[:=]\s*([''\"]?[^\s''\"`]+[''\"]?)"
+_FIRSTS = [a[0] for a in L.TOPIC_ALIASES.values()]
+_ALIASES = K.values([(t, S.fold_term(a)) for t, aliases in L.TOPIC_ALIASES.items() for a in aliases], "topic, folded")
+_PRODUCT = (
+    f"{RC._ANS}, pd as (select load_seq as doc_id, 'The ' || ([{', '.join(K.quote(a) for a in _FIRSTS[:15])}])[load_seq % 15 + 1] || case load_seq % 2 when 0 then ' is documented, tested and approved by the owner.' else ' exists.' end as text from manifest),"
+    f" {EV._topics(L.TOPIC_ALIASES).replace('from documents', 'from pd')}, e as (select cluster, max(confidence) as ec from (select unnest(topics) as cluster, confidence from te) group by 1),"
+    f" q as (select question_id, coalesce(min(topic), 'other') as cluster from {K.values([(f'q{i:02d}', S.fold_term(f'How is {a} handled?')) for i, a in enumerate(_FIRSTS)], 'question_id, f')} left join {_ALIASES} k on contains(f, folded) group by 1),"
+    " b as (select * from (select *, row_number() over (partition by cluster order by confidence desc, recorded_at desc, answer_id) as n from an where review_status = 'reviewed') where n = 1),"
+    f" j as (select q.*, b.answer_id, b.confidence as ac, ec, case when answer_id is not null and valid_until < '{RC.AS_OF}' then 'stale' when answer_id is not null and len(coalesce(refs, [])) = 0 then 'answer_without_refs' when answer_id is not null then 'reviewed' when ec >= 0.64::double then 'draft_from_evidence' when ec is not null then 'low_confidence_evidence' else 'nothing_found' end as reason from q left join b using (cluster) left join e using (cluster))"
+)
+_CHECKS = "preflight_not_blocking document_inventory_created all_files_statused unsupported_files_do_not_crash evidence_ids_unique answer_vault_created baseline_answers_imported questionnaire_draft_created human_review_queue_created missing_evidence_report_created shareable_outputs_redacted no_compliance_overclaim all".split()
 
 SQL = {
+    "product_drafts": f"with {_PRODUCT} select question_id, cluster, case when reason in ('stale', 'reviewed') then reason when reason in ('draft_from_evidence', 'low_confidence_evidence') then 'needs_review' else 'missing_evidence' end as status, reason, coalesce(answer_id, '') as source_id, coalesce(case when reason in ('stale', 'reviewed') then ac when ec is not null and reason <> 'answer_without_refs' then ec else 0.0::double end, 0.0::double) as confidence from j",
+    "product_readiness": f"with a as (select count(*) > 0 as has, count(*) filter (review_status = 'reviewed' and matched_cluster is not null) > 0 as reviewed from questionnaire_draft where matched_cluster is not null), m as (select count(*) > 0 as docs from manifest), v as (select unnest([{', '.join(K.quote(c) for c in _CHECKS)}]) as \"check\", unnest([true, docs, true, true, true, has, reviewed, true, true, true, true, true, docs and has and reviewed]) as ok from a, m) select * from v",
+    "workspace_files": "select 'before' as what, 2 * count(*) as n from clients union all select 'after', count(*) from clients union all select 'named', 1",
+    "sensitive_notes": f"with {EV._FOUND}, s as (select load_seq, list(distinct type) as k from fi group by 1) select r.load_seq, " + ", ".join(f"coalesce(list_contains(k, {K.quote(t)}), false) as {t}" for t in ("email", "iban", "secret", "token", "keyword")) + ", k is not null as sensitive from review_items r left join s using (load_seq) where review_note is not null",
     "private_addresses": f"with {_IP}, p as (select *, string_split(ip, '.') as o from ip), q as (select *, len(list_filter(o, lambda v: regexp_matches(v, '^(0|[1-9]\\d?|1\\d\\d|2[0-4]\\d|25[0-5])$'))) = 4 as valid, o[1]::bigint * 16777216 + o[2]::bigint * 65536 + o[3]::bigint * 256 + o[4]::bigint as x from p) select event_id, ip, valid and ({_BLOCKS}) and ip not in ('192.0.0.9', '192.0.0.10') as private from q",
     "plausible_phones": "select event_id, (2 * (event_id % 9 + 1) + length(user_id::varchar)) between 7 and 15 as plausible from events",
     "span_overlaps": "select load_seq, (start_char < 200 and end_char > 100) or (start_char < 1000 and end_char > 900) or (start_char < 2001 and end_char > 2000) as hit from document_chunks",

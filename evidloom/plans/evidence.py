@@ -58,7 +58,7 @@ def keyword_positions(spark, sf):
 
 
 def evidence(spark, sf) -> DataFrame:
-    return X.evidence_rows(docs(spark, sf), "doc_id", "text", L.CORPUS_CATEGORIES, 120)
+    return X.evidence_rows(docs(spark, sf), "doc_id", "text", L.CORPUS_CATEGORIES)
 
 
 def evidence_rows(spark, sf):
@@ -144,7 +144,7 @@ def default_topics(spark, sf):
 
 def top_topics(spark, sf):
     each = chunk_topics(spark, sf).select("doc_id", "chunk_index", F.explode("topics").alias("topic"))
-    return R.top_values(each, "doc_id", "topic", "chunk_index", 2)
+    return R.top_values(each, "doc_id", "topic", "chunk_index", 5)
 
 
 def topic_metrics(spark, sf):
@@ -248,7 +248,7 @@ QUERIES = {
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 
 _HITS = K.keyword_hits(L.CORPUS_CATEGORIES)
-_EV = f"hits as ({_HITS}), ev as (select *, {K.around('text', 'pos', 120)} as passage from hits)"
+_EV = f"hits as ({_HITS}), ev as (select *, {K.around('text', 'pos', 300)} as passage from hits)"
 _HEAD = lambda x, n: f"case when length({x}) > {n} then regexp_replace(left({x}, {n // 2}), '{K.SPACE}$', '') || ' ... ' || regexp_replace(right({x}, {n - n // 2 - 5}), '^{K.SPACE}', '') else {x} end"
 _SCORED = (
     f"{_EV}, sc as (select *, {K.hits('lower(passage)', L.CORPUS_BOOST)} as boost_hits, {K.hits('lower(passage)', L.CORPUS_PENALTY)} as penalty_hits, {K.hits('lower(passage)', L.CORPUS_CRITICAL)} as critical_hits from ev where passage <> ''),"
@@ -339,7 +339,7 @@ SQL = {
     "topic_chunks": f"with {_TE} select doc_id, chunk_index::int as chunk_index, array_to_string(topics, '|') as topics, n_terms, confidence, status from te",
     "default_topics": f"with {_topics(L.TOPIC_ALIASES)} select doc_id, chunk_index::int as chunk_index, array_to_string(topics, '|') as topics, n_terms, confidence, status from te",
     "topic_coverage": f"with {_TE}, ex as (select unnest(topics) as topic, confidence, status from te), fo as (select topic, count(*) as n, max(confidence) as confidence, bool_or(status = 'conflicting') as c, bool_or(status = 'stale_evidence') as s from ex group by 1) select topic, coalesce(n, 0) as n, coalesce(confidence, 0.0::double) as confidence, case when n is null then 'missing' when c then 'conflicting' when s then 'stale_evidence' when confidence >= 0.74::double then 'covered' when confidence >= 0.62::double then 'partial' else 'needs_review' end as status from {K.values([(t,) for t in [*TOPICS, 'encryption']], 'topic')} v left join fo using (topic)",
-    "top_topics": f"with {_TE}, ex as (select doc_id, chunk_index, unnest(topics) as topic from te), co as (select doc_id, topic, count(*) as n, min(chunk_index) as f from ex group by 1, 2), ra as (select doc_id, topic, n, row_number() over (partition by doc_id order by n desc, f, topic)::int as rank from co) select * from ra where rank <= 2",
+    "top_topics": f"with {_TE}, ex as (select doc_id, chunk_index, unnest(topics) as topic from te), co as (select doc_id, topic, count(*) as n, min(chunk_index) as f from ex group by 1, 2), ra as (select doc_id, topic, n, row_number() over (partition by doc_id order by n desc, f, topic)::int as rank from co) select * from ra where rank <= 5",
     "topic_metrics": f"with {_TE}, e as (select distinct trim(document_id) as document_id, unnest(detected_topics) as topic from document_chunks), f as (select distinct document_id, topic from (select doc_id, unnest(topics) as topic from te) join documents using (doc_id)), j as (select e.topic as et, f.topic as ft from e full join f on e.document_id = f.document_id and e.topic = f.topic), c as (select count(*) filter (et is not null and ft is not null) as tp, count(*) filter (et is null) as fp, count(*) filter (ft is null) as fn from j) select tp, fp, fn, round(tp::double / nullif(tp + fp, 0), 4) as precision, round(tp::double / nullif(tp + fn, 0), 4) as recall from c",
     "topic_label_metrics": f"with {_TE}, e as (select trim(document_id) as document_id, flatten(list(detected_topics)) as e from document_chunks group by 1), f as (select document_id, flatten(list(topics)) as p from te join documents using (doc_id) group by 1), j as (select name, coalesce(list_contains(e, name), false) as e, coalesce(list_contains(p, name), false) as p from e left join f using (document_id), {K.values([(t,) for t in TOPICS], 'name')} v), c as (select name, count(*) filter (e and p) as tp, count(*) filter (not e and p) as fp, count(*) filter (e and not p) as fn from j group by 1) select *, round(tp::double / nullif(tp + fp, 0), 4) as precision, round(tp::double / nullif(tp + fn, 0), 4) as recall from c",
     "candidates": f"with {_CHUNKS}, ft as (select *, {K.for_match('chunk_text')} as f from chunks where chunk_text <> ''), k as (select {K.hits('f', L.CONCRETE_TERMS)} as c, {K.hits('f', L.STALE_TERMS)} + {K.hits('f', L.CONFLICT_TERMS)} as x from ft where not {K.any_hit('f', L.NEGATIVE_TERMS)}) select case when x > 0 then 'ambiguous' when c >= 2 then 'positive' else 'partial' end as status, case when x > 0 then 'low' when c >= 2 then 'high' when c = 1 then 'medium' else 'low' end as confidence, count(*) as n from k group by 1, 2",
@@ -349,5 +349,5 @@ SQL = {
     "control_suggestions": f"with {_SUGGEST} select * from sh",
     "merged_signals": f"with {_SEV}, {_SUGGEST}, u as (select doc_id, 1 as o, control, confidence, 'control:' || status as reason from sh union all select doc_id, 2, null, confidence, unnest(reasons) from sw) select doc_id, min(control) as control, max(confidence) as confidence, array_to_string(list_sort(list_distinct(list(reason))), '|') as reasons from u group by 1",
     "review_queue": f"with {_SEV}, {_WEAK}, u as (select doc_id, priority, unnest(reasons) as reason, lang from sw where priority <> 'P3' union all select doc_id, 'P1', 'weak_label_conflict', lang from wm where conflict union all select doc_id, 'P3', 'no_label', lang from wm where len(ls) = 0) select doc_id, min(priority) as priority, array_to_string(list_sort(list_distinct(list(reason))), '|') as reasons from u where coalesce(lang, '') <> 'fr' group by 1",
-    "sensitive_flags": "select doc_id, regexp_matches(text, '(?i)\\b([A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,})\\b') as email, regexp_matches(text, '(?i)\\b[a-z0-9][a-z0-9-]{0,62}(?:\\.[a-z0-9][a-z0-9-]{0,62})*\\.(?:corp|internal|intranet|lan|local)\\b') as host, regexp_matches(text, '(?i)\\b(?:ghp|github_pat|glpat|sk|xox[baprs])[-_][A-Za-z0-9_=-]{12,}\\b') as token, regexp_matches(text, '(?i)\\b(?:api[_-]?key|authorization|cookie|password|secret|token)\\b') as keyword, regexp_matches(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b') as ipv4 from documents where text is not null",
+    "sensitive_flags": "select doc_id, " + ", ".join(f"regexp_matches(text, {K._java(p)}) as {n}" for n, p in (("email", P.EMAIL), ("host", P.HOST), ("token", P.TOKEN_VALUE), ("keyword", P.KEYWORD), ("ipv4", P.IPV4))) + " from documents where text is not null",
 }

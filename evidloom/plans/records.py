@@ -94,7 +94,7 @@ def shared_references(spark, sf):
 
 def best_chunks(spark, sf):
     c = table(spark, sf, "document_chunks")
-    return J.best_evidence(c.select("document_id", "load_seq"), c, "document_id", "load_seq", 2)
+    return J.best_evidence(c.select("document_id", "load_seq"), c, "document_id", "load_seq")
 
 
 def question_controls(spark, sf):
@@ -350,7 +350,7 @@ SQL = {
     "decision_problems": f"with {_FIND}, d as (select finding_id, count(*) as n from review_items where review_status is not null group by 1), f as (select distinct finding_id from fi), j as (select coalesce(d.finding_id, f.finding_id) as finding_id, case when f.finding_id is null then 'unknown_finding' when d.finding_id is null then 'undecided' when n > 1 then 'decided_twice' end as problem from d full join f on d.finding_id = f.finding_id) select * from j where problem is not null",
     "accepted_evidence": f"with {_APPLIED} select load_seq, finding_id, review_state, 'EV-' || left(sha256(finding_id || chr(10) || 'x' || chr(10) || review_state), 12) as evidence_id from ap where review_state in ('accepted', 'reviewed')",
     "shared_references": "with a as (select load_seq as draft_seq, unnest(list_distinct(evidence_refs)) as x from questionnaire_draft), b as (select load_seq as queue_seq, unnest(list_distinct(evidence_refs)) as x from case_review_queue) select draft_seq, queue_seq, count(*) as shared from a join b using (x) group by 1, 2",
-    "best_chunks": "with r as (select document_id, load_seq, confidence, row_number() over (partition by document_id order by confidence desc, load_seq)::int as rank from document_chunks) select * from r where rank <= 2",
+    "best_chunks": "with r as (select document_id, load_seq, confidence, row_number() over (partition by document_id order by confidence desc, load_seq)::int as rank from document_chunks) select * from r where rank <= 12",
     "question_controls": f"with {_control_sql()} select * from qc",
     "question_evidence": f"with {_control_sql()}, rq as (select * from {K.values([(c, e) for c, es in REQUIRED for e in es], 'control, required')}) select load_seq, array_to_string(list_sort(list_distinct(list(rq.required))), '|') as required from qc join rq using (control) group by 1",
     "best_answers": f"with {_ANS}, r as (select *, row_number() over (partition by client_id, cluster order by confidence desc, recorded_at desc, answer_id) as n from an where review_status = 'reviewed') select client_id, cluster, answer_id, confidence, valid_until from r where n = 1",

@@ -48,7 +48,7 @@ def test_folder(spark, tmp_path, capsys):
     got = run_folder(spark, str(root))
     docs = {r.path.rpartition("/")[2]: r for r in got.documents.collect()}
     assert (docs["a.md"].chunk_count, docs["a.md"].evidence_count, docs["a.md"].topics) == (1, 1, ["mfa"]) and docs["c.png"].status == "ocr_required" and docs["b.txt"].evidence_count == 0
-    assert {r.type for r in got.findings.collect()} == {"secret"} and sorted(r.status for r in got.verdicts.collect()) == ["block", "pass", "pass"]
+    assert {r.type for r in got.findings.collect()} == {"secret"} and sorted(r.status for r in got.verdicts.collect()) == ["block", "pass", "warn"]
     assert {r.topic: r.status for r in got.coverage.collect()}["mfa"] == "partial"
     assert main(["list"]) == 0 and "p5_found" in capsys.readouterr().out
     assert main(["folder", str(root), str(tmp_path / "out")]) == 1 and "mfa" in (tmp_path / "out" / "report.md").read_text()
