@@ -19,9 +19,10 @@ from evidloom.session import materialize
 
 def train(df: DataFrame, label: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(terms, labels): (label, token, n) and (label, docs, total, prior, vocabulary). Rows without label or text are
-    left out. Counts are combined before the shuffle."""
+    left out. Counts are combined before the shuffle and written to shared storage, as all else is made of them."""
     rows = df.where(F.col(label).isNotNull() & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
-    terms = rows.select(F.col(label).alias("label"), F.explode(tokens(F.col(text))).alias("token")).groupBy("label", "token").agg(F.count("*").alias("n"))
+    each = rows.select(F.col(label).alias("label"), F.explode(tokens(F.col(text))).alias("token"))
+    terms = materialize(each.groupBy("label", "token").agg(F.count("*").alias("n")), "bayes-terms")
     docs = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("docs"))
     totals = terms.groupBy("label").agg(F.sum("n").alias("total"))
     sizes = terms.agg(F.countDistinct("token").alias("vocabulary"))
@@ -32,7 +33,7 @@ def train(df: DataFrame, label: str, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 LABEL_BLOCK = 200_000  # labels that a worker holds at once, some 30 MB
-MODEL_ROWS = 200_000  # rows of a model that is broadcast; a larger one is joined with frequent tokens dealt to several tasks
+MODEL_ROWS = 1_000_000  # rows of a model that is broadcast, some 40 MB; a larger one is joined with frequent tokens dealt to several tasks
 
 Block = tuple[list[str], np.ndarray, np.ndarray]  # labels, log priors, log denominators
 
@@ -79,9 +80,9 @@ def predict(df: DataFrame, key: str, text: str, terms: DataFrame, labels: DataFr
 
     The log score is the label's base score, as if no token had been seen in training, plus a correction for each token
     that was. Tokens meet the model in one join; a document's corrections come together in one row, and the labels pass
-    by in blocks of a bounded size, however many there are.
+    by in blocks of a bounded size, however many there are. terms and labels: as train() has them.
     """
-    model = materialize(terms.select("label", "token", F.log(F.col("n") + F.lit(1.0)).alias("g")), "bayes-terms")
+    model = terms.select("label", "token", F.log(F.col("n") + F.lit(1.0)).alias("g"))
     split = bind(df.select(key, text), "_tokens", tokens(F.col(text))).select(key, "_tokens")
     each = split.select(key, F.explode("_tokens").alias("token"))
     if model.count() <= model_rows:
