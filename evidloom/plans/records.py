@@ -340,6 +340,7 @@ _EVENTS = "ev as (select user_id, event_id, event_type, epoch_us(ts) as at_us, p
 
 SQL = {
     "bm25_top10": f"with tk as (select doc_id, {K.tokens('text')} as tk from documents), tf as (select doc_id, len(tk) as len, {_TF} from tk), st as (select count(*)::double as n, avg(len) as avgl, {_DF} from tf), sc as (select doc_id, round({_BM}, 6) as score from tf, st) select * from sc where score > 0 order by score desc, doc_id limit 10",
+    "bm25_set_top10": f"with tk as (select doc_id, {K.tokens('text')} as tk from documents), st as (select count(*)::double as n, avg(len(tk)) as avgl from tk), tf as (select doc_id, t, count(*)::double as tf, any_value(l)::double as l from (select doc_id, len(tk) as l, unnest(tk) as t from tk) group by 1, 2), df as (select t, count(*)::double as df from tf group by 1), sc as (select q.doc_id as query_id, d.doc_id, round(sum(ln(1.0::double + (n - df + 0.5::double) / (df + 0.5::double)) * (d.tf * 2.5::double) / (d.tf + 1.5::double * (0.25::double + 0.75::double * d.l / avgl))), 6) as score from tf q join tf d using (t) join df using (t), st where q.doc_id % 50 = 0 group by 1, 2), r as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from sc where score > 0) select * from r where rank <= 10",
     "simhash_fingerprints": f"with {_PRINTS} select doc_id, lower(lpad(to_hex(fp), 16, '0')) as fp from fp",
     "near_duplicate_pairs": f"with {_PRINTS}, u as (select distinct fp, case when fp >= 9223372036854775808::ubigint then (fp - 9223372036854775808::ubigint)::bigint - 9223372036854775807 - 1 else fp::bigint end as s from fp) select lower(lpad(to_hex(a.fp), 16, '0')) as fp_a, lower(lpad(to_hex(b.fp), 16, '0')) as fp_b, bit_count(xor(a.s, b.s))::int as distance from u a join u b on a.s < b.s and bit_count(xor(a.s, b.s)) <= 6",
     "near_duplicate_links": f"with {_PRINTS}, u as (select distinct fp from fp), l as (select a.fp, count(*) as links from u a join u b on a.fp <> b.fp and bit_count(xor(a.fp, b.fp)) <= 6 group by 1), c as (select fp, min(doc_id) as class_id, count(*) as copies from fp group by 1) select doc_id, class_id, copies, coalesce(links, 0) as links from fp join c using (fp) left join l using (fp)",
