@@ -23,7 +23,7 @@ from evidloom.llm import gear
 from evidloom.operators.skew import HOT_ROWS, hot_of, hot_values, join_groups, spread_join
 from evidloom.session import materialize
 
-SLICE = 1_500_000  # characters that are in work at once
+SLICE = 600_000  # characters that are in work at once
 HOT = 64  # rows with one digest above which documents are matched by their spans before they meet
 PART = 1000  # rows of a hot span that one task pairs with all others
 
