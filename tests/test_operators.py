@@ -321,3 +321,23 @@ def test_a_set_of_queries_is_searched_as_each_alone(spark, sf):
     asked = spark.createDataFrame([("x", "B a a"), ("y", "none"), ("z", None), ("w", "zz")], "q string, t string")
     assert [(r.query_id, r.k) for r in search.bm25_set(asked, "q", "t", few, "k", "t", 2).orderBy("query_id", "rank").collect()] == [("w", 4), ("x", 1), ("x", 2)]
     assert search.bm25_set(asked, "q", "t", few.limit(0), "k", "t").count() == 0
+
+
+def test_near_pairs_broadcast_no_side(spark):
+    prints = spark.range(3000).select("id", F.xxhash64("id").alias("fp"))
+    plan = H.near_pairs(prints, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_votes_do_not_depend_on_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(H, "_AT_ONCE", 3)
+    texts = ["a b c", "a", "b b c d e f g h", "x", "y z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([toks(t) for t in texts])], names=["k", "t"])
+    (got,) = H._votes(iter([batch.slice(1)]))
+    sums = [list(r.values())[1:] for r in got.to_pylist()]
+    assert [sum(1 << i for i in range(64) if s[i] >= 0) for s in sums] == [model_simhash(t) & (1 << 64) - 1 for t in texts[1:]]
+    twice = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "a"), (2, "!")], "doc_id long, text string")
+    got = {(r.doc_id, r.fp) for r in H.fingerprints(twice, "doc_id", "text").collect()}
+    assert got == {(1, model_simhash("a b c")), (None, 0), (2, 0)}
