@@ -92,6 +92,8 @@ def classes(prints: DataFrame, key: str) -> DataFrame:
 
 def links(prints: DataFrame, key: str, most: int = 6) -> DataFrame:
     """(key, class_id, copies, links): per document its class and how many other fingerprints lie within `most` bits."""
+    prints = materialize(prints, "prints")  # read three times
     pairs = near_pairs(prints, key, most)
-    both = pairs.select(F.col("fp_a").alias("fp")).unionAll(pairs.select(F.col("fp_b").alias("fp"))).groupBy("fp").agg(F.count("*").alias("links"))
+    each = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp"))  # a union would find the pairs twice
+    both = each.groupBy("fp").agg(F.count("*").alias("links"))
     return classes(prints, key).join(both, "fp", "left").select(key, "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -378,3 +378,9 @@ def test_best_of_a_task_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "_ASKED", 1)
     both = [search.bm25_set(q, "q", "t", few, "k", "t", 2).orderBy("query_id", "rank").collect() for q in (twice, once)]
     assert both[0] == both[1] and [(r.query_id, r.k) for r in both[0]] == [("w", 4), ("x", 1), ("x", 2)]
+
+
+def test_links_find_pairs_once_without_broadcast(spark):
+    prints = spark.range(3000).select("id", F.xxhash64("id").alias("fp"))
+    plan = H.links(prints, "id")._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+Join) \[combination", plan) == ["SortMergeJoin"]
